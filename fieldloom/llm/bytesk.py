@@ -70,12 +70,12 @@ def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each row the number of words before it (one more entry than rows)."""
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each row the number of words before it (one more entry than rows). between: the bytes that are in no word."""
     n = len(off) - 1
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    space = SPACE[data]
+    space = between[data]
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = space[:-1]
     edge[off] = True

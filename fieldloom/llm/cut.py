@@ -24,6 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch: texts may be long, and a batch is held in the JVM and in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark, most: int = 4 << 20) -> None:
+    """Bounds the bytes of an Arrow batch: texts may be long, and a batch is held in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

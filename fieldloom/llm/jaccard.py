@@ -1,0 +1,276 @@
+"""Exact n-gram Jaccard join of whole texts with a count-vector R-tree.
+
+A document is its set of word shingles, each a 64-bit hash. Shingles are hashed into groups; the
+numbers per group make a point, and two sets share at most the summed minima of their coordinates.
+Points are packed into an R-tree, node pairs whose bound is below what the threshold needs are
+pruned, and the pairs that survive are verified on the sets themselves.
+
+Sets meet before that by the groups' contents. Linked sets of at most S shingles differ in at most
+D = floor(2 S (100 - p) / (100 + p)) of them, so of more than D groups one at least is the same in
+both. Each document sends a hash of every non-empty group, with one grouping per band of sizes; a
+document that leaves so many groups empty that only empty ones might agree sends those as well.
+Documents that share a hash are joined in a star, the stars' components are blocks, and no linked
+pair lies outside a block. Copies send equal rows and are one node.
+
+A block is cut into chunks of bounded bytes, each with the block's smallest document as a hub. Near
+copies of the hub are settled there, in time linear in the block. Only what no chunk could link to
+the hub is compared with the block's other chunks; no pairs are written out, just the members' roots.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import bytesk
+from .components import components
+from .cut import cut, small_batches
+
+CHUNK_BYTES = 4 << 20
+FANOUT = 8
+ONE = np.uint64(1)
+
+
+def shingle_sets(values: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The ascending distinct shingle hashes of each text; texts with fewer words are one shingle, without words none."""
+    data, off = bytesk.column(values)
+    for i, j in bytesk.slices(off):
+        part, o = bytesk.LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
+        starts, ends, first = bytesk.words(part, o)
+        hashes = bytesk.span_hashes(part, starts, ends)
+        runs = bytesk.rolling(hashes, words)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            s = np.sort(runs[a : b - words + 1] if b - a >= words else bytesk.rolling(hashes[a:b], b - a) if b > a else runs[:0])
+            yield s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    n = np.uint64(len(s))
+    both = bytesk.mix(np.array([s.sum(dtype=np.uint64) + n, bytesk.mix(s).sum(dtype=np.uint64) ^ n], np.uint64))
+    return tuple(both.view(np.int64).tolist())
+
+
+def bands(percent: int, up_to: int) -> list[tuple[int, int, int]]:
+    """(largest size, D, groups) of each band of set sizes, to the band that holds up_to."""
+    out, top = [], (100 + percent - 1) // (2 * (100 - percent))
+    while True:
+        d = 2 * top * (100 - percent) // (100 + percent)
+        out.append((top, d, d + 2 + d // 10 if d else 1))
+        if top >= up_to:
+            return out
+        top = max(top + 1, top * 3 // 2)
+
+
+def group_hashes(s: np.ndarray, percent: int, known: list[tuple[int, int, int]]) -> np.ndarray:
+    """What a set sends to meet every set that it might be linked with."""
+    out, n, mixed, high = [], len(s), bytesk.mix(s ^ bytesk.BASES[1]), s >> np.uint64(32)
+    for band, (top, d, groups) in enumerate(known):
+        if n > top:
+            continue
+        if band and percent * (known[band - 1][0] + 1) > 100 * n and n <= known[band - 1][0]:
+            break
+        g = (high * np.uint64(groups)) >> np.uint64(32)
+        at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        salt = bytesk.mix((g[at] + ONE) * bytesk.BASES[0] + np.uint64(band))
+        out.append(bytesk.mix(np.add.reduceat(mixed, at) + salt))
+        if len(at) <= d:
+            empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[at])
+            out.append(bytesk.mix(bytesk.mix((empty + ONE) * bytesk.BASES[1] + np.uint64(band)) + ONE))
+    return np.concatenate(out)
+
+
+def stars(keys: np.ndarray, values: np.ndarray, hub_key=None, hub=None):
+    """For ascending (key, value) rows, the first value of each key paired with its other values; the hub of the last key goes on to the next call."""
+    new = np.append(keys[0] != hub_key, keys[1:] != keys[:-1])
+    at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+    hubs = np.where(at >= 0, values[at], 0 if hub is None else hub)
+    pairs = np.unique(np.stack([hubs, values])[:, hubs != values], axis=1) if (hubs != values).any() else np.zeros((2, 0), np.int64)
+    return pairs, keys[-1], hubs[-1]
+
+
+def meeting_edges(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """Edges between the first identity words of sets that share a group."""
+    schema = "met boolean, a long, b long"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bands(percent, 1024)
+        for batch in batches:
+            hashes, keys = [], []
+            for s in shingle_sets(batch.column(0), words):
+                if len(s):
+                    if len(s) > known[-1][0] * percent // 100:
+                        known = bands(percent, 2 * len(s))
+                    hashes.append(group_hashes(s, percent, known))
+                    keys.append(np.full(len(hashes[-1]), identity(s)[0]))
+            if hashes:  # what meets within a batch is joined here, and one of them goes on
+                h, k = np.concatenate(hashes).view(np.int64), np.concatenate(keys)
+                order = np.lexsort((k, h))
+                h, k = h[order], k[order]
+                pairs, _, _ = stars(h, k)
+                first = np.append(True, h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(pairs.shape[1] + first.sum()) < pairs.shape[1]), pa.array(np.append(pairs[0], h[first])), pa.array(np.append(pairs[1], k[first]))], names=["met", "a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = hub = None
+        for batch in batches:
+            met, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            found = [np.stack([a[met], b[met]])]
+            if not met.all():
+                pairs, key, hub = stars(a[~met], b[~met], key, hub)
+                found.append(pairs)
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    sent = docs.select(F.col(text)).mapInArrow(send, schema)
+    return sent.repartition("a").sortWithinPartitions("met", "a", "b").mapInArrow(meet, "a long, b long").distinct()
+
+
+class CountTree:
+    """An R-tree over group counts, packed once; children of a node are consecutive."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+        slab = np.argsort(np.argsort(sizes, kind="stable")) // max(1, int(np.sqrt(len(sizes) * FANOUT)))
+        self.order = np.lexsort((counts[:, int(np.argmax(counts.var(axis=0)))], slab))
+        level = (counts[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [level]
+        while len(level[0]) > FANOUT:
+            at = np.arange(0, len(level[0]), FANOUT)
+            level = (np.maximum.reduceat(level[0], at, axis=0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at))
+            self.levels.append(level)
+
+    def candidates(self, percent: int, settled: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of points, 2 x n, whose bounds allow a link, except where both are settled."""
+        done = [settled[self.order]]
+        for top, _, _ in self.levels[1:]:
+            done.append(np.logical_and.reduceat(done[-1], np.arange(0, len(done[-1]), FANOUT)))
+        at = len(self.levels) - 1
+        a, b = np.triu_indices(len(self.levels[at][0]))
+        work = [(at, a, b)]
+        while work:
+            at, a, b = work.pop()
+            if len(a) > 4096:
+                work += [(at, a[4096:], b[4096:])]
+                a, b = a[:4096], b[:4096]
+            most, low, high = self.levels[at]
+            ok = ~(done[at][a] & done[at][b]) & (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
+            a, b = a[ok], b[ok]
+            shared = np.minimum(most[a], most[b]).sum(axis=1)
+            ok = (100 + percent) * shared >= percent * (low[a] + low[b])
+            a, b = a[ok], b[ok]
+            if not at:
+                yield np.stack([self.order[a], self.order[b]])[:, a != b]
+            elif len(a):
+                i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+                x, y = (a[:, None] * FANOUT + i).ravel(), (b[:, None] * FANOUT + j).ravel()
+                ok = (x <= y) & (y < len(self.levels[at - 1][0])) & (x < len(self.levels[at - 1][0]))
+                work.append((at - 1, x[ok], y[ok]))
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def local_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the number of the first set of its component; the first set is the hub."""
+    n = len(sets)
+    parent = list(range(n))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    sizes = np.array([len(s) for s in sets], np.int64)
+    groups = 1 << min(10, max(4, int(sizes.max() // 8).bit_length()))
+    counts = np.array([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets], np.int32)
+    shared = np.minimum(counts, counts[0]).sum(axis=1)
+    for i in np.flatnonzero((100 + percent) * shared >= percent * (sizes + sizes[0]))[1:].tolist():
+        if linked(sets[0], sets[i], percent):
+            parent[i] = 0
+    settled = np.array(parent) == 0
+    if not settled.all():
+        for pairs in CountTree(counts, sizes).candidates(percent, settled):
+            for i, j in pairs.T.tolist():
+                a, b = find(i), find(j)
+                if a != b and linked(sets[i], sets[j], percent):
+                    parent[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(n)])
+
+
+def chunk_roots(tasks: DataFrame, words: int, percent: int) -> DataFrame:
+    """tasks: block, chunk, part, rep, h1, text. (block, rep, root) within each group of the first three, root being the smallest member linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        reps, expected, sets, seen = [], table.column("h1").to_pylist(), [], set()
+        for rep, h, s in zip(table.column("rep").to_pylist(), expected, shingle_sets(table.column("text"), words), strict=True):
+            if rep not in seen and len(s) and identity(s)[0] == h:  # not another text under the same id
+                seen.add(rep)
+                reps.append(rep)
+                sets.append(s)
+        ids = np.array(reps, np.int64)
+        return pa.table({"block": np.full(len(ids), table.column("block")[0].as_py()), "rep": ids, "root": ids[local_roots(sets, percent)] if len(ids) else ids})
+
+    return tasks.groupBy("block", "chunk", "part").applyInArrow(run, "block long, rep long, root long")
+
+
+def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(s), *identity(s)) for s in shingle_sets(batch.column(1), words)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], names=["doc_id", "n", "h1", "h2"])
+
+    out = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return out
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Null, empty and blank texts have no
+    shingle and are linked with nothing. Rows with equal texts are linked whatever their ids; a row
+    with a null id takes part only through its copies with an id, and alone has a null component.
+    Where an id repeats with different texts, links are those of each text. An empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
+    known = cut(features(docs, text, doc_id, words))
+    blocks = components(meeting_edges(docs, text, words, percent))
+    same = ["h1", "h2", "n"]
+    classes = known.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").where("rep is not null").select("block", "h1", "rep", "n"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")))
+    dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), F.lit(0).alias("part"), "rep", "h1")
+    hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.rep", "hub.h1")
+    roots = cut(chunk_roots(dealt.union(hubs).join(texts, "rep"), words, percent))
+    left = roots.join(of.where("chunks > 1"), "block").where(F.col("root") != F.col("hub.rep")).select("block", "rep")
+    if not left.isEmpty():  # what its own chunk could not link to the hub meets the block's other chunks
+        rest = reps.join(left, ["block", "rep"], "left_semi")
+        parts = rest.groupBy("block").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).alias("parts"))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        sizes = of.join(parts, "block").select("block", "chunks", "parts")
+        whole = dealt.drop("part").join(sizes, "block").select("block", "chunk", every("parts").alias("part"), "rep", "h1")
+        odd = rest.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).select("block", every("chunks").alias("chunk"), "part", "rep", "h1")
+        more = chunk_roots(whole.union(odd).join(texts, "rep"), words, percent)
+        edges = roots.union(more).select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        found = components(edges).withColumnsRenamed({"node": "rep"})
+    else:
+        found = roots.select("rep", "root").distinct()
+    named = classes.join(found, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
+    return known.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs without the documents that are linked, at once or through others, with one of a smaller id; rows that share an id stay or go together."""
+    found = jaccard_components(docs, words, percent, doc_id=doc_id, **options)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

@@ -58,7 +58,7 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded_pieces(docs: DataFrame, text: str, doc_id: str, length: int, end: int, path: str) -> DataFrame:
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = encoder(path)

@@ -45,7 +45,7 @@ def js_distance(p: Column, q: Column) -> Column:
     share = lambda h, s: F.transform(h, lambda x: x / s)
     term = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     both = bound(F.struct(p.alias("p"), q.alias("q"), total(p, 0.0).alias("a"), total(q, 0.0).alias("b")), lambda s: F.when((s["a"] > 0) & (s["b"] > 0), total(F.zip_with(share(s["p"], s["a"]), share(s["q"], s["b"]), lambda x, y: term(x, y) + term(y, x)), 0.0)))
-    return F.sqrt(F.greatest(both / 2, F.lit(0.0)))
+    return F.sqrt(F.abs(both) / 2)
 
 
 def repeat_words(words: Column) -> Column:

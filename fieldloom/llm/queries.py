@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, tokens
+from . import exact, jaccard, lines, mixing, packing, quality, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: four-word shingles, similarity of 0.85 or more."""
+    return jaccard.jaccard_components(documents(spark, sf_dir), words=4, percent=85)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the lines that many documents share."""
+    df = lines.line_dedup(documents(spark, sf_dir))
+    return df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 50 words that a smaller document has."""
+    df = substring.substring_dedup(documents(spark, sf_dir))
+    return df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 2,048 tokens."""
     return packing.pack_documents(documents(spark, sf_dir))
@@ -46,8 +63,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -69,7 +69,7 @@ def section_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     without tokens. Ids may be null or repeat: each row of docs is handled by itself.
     """
     path = path or vocabulary()
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = encoder(path)
