@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
         twice = hooks.select(F.col("node").alias("to"), F.col("to").alias("root"))
         moved = cut(hooks.join(twice, "to").select("node", "root"))
         a, b = moved.select(F.col("node").alias("a"), F.col("root").alias("ra")), moved.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = cut(left.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
+        fewer = cut(left.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct())
+        drop(left)
+        left = fewer
         if found is None:
             found = moved
         else:
             step = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            found = cut(found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            longer = cut(found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            drop(found)
+            drop(moved)
+            found = longer
         turn += 1
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,8 +1,13 @@
-"""Cutting lineage where an iterative or branching plan would otherwise recompute its input."""
+"""Cutting lineage where an iterative or branching plan would otherwise recompute its input.
+
+Tables are written as Parquet to the shared folder and read again. Unlike a checkpoint of the rows, a
+table brings true sizes to the planner; estimates carried over many joins multiply without bound.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -18,10 +23,27 @@ def checkpoint_dir(spark) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _folder(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into reliable shared storage; a lost executor costs no recomputation of its input."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once into shared storage; a lost executor costs no recomputation of its input. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table behind a result of cut() that nothing will read again."""
+    files, at = _folder(df.sparkSession, df._cut)
+    files.delete(at, True)
 
 
 def small_batches(spark, most: int = 4 << 20) -> None:
