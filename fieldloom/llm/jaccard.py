@@ -12,6 +12,13 @@ document that leaves so many groups empty that only empty ones might agree sends
 Documents that share a hash are joined in a star, the stars' components are blocks, and no linked
 pair lies outside a block. Copies send equal rows and are one node.
 
+Passages that many short documents share make blocks larger than their near copies. A block of more
+than one chunk is therefore met again by prefixes: its shingles are counted within the block, and a
+document's rarest ones, as many as a linked document can't lack altogether, make the new edges.
+
+Texts are fetched for members of blocks only; a bit array of fixed size over their ids keeps most
+others from being shuffled for that.
+
 A block is cut into chunks of bounded bytes, each with the block's smallest document as a hub. Near
 copies of the hub are settled there, in time linear in the block. Only what no chunk could link to
 the hub is compared with the block's other chunks; no pairs are written out, just the members' roots.
@@ -31,6 +38,7 @@ from .components import components
 from .cut import cut, small_batches
 
 CHUNK_BYTES = 4 << 20
+FILTER_WORDS = 1 << 20  # 64 bits each
 FANOUT = 8
 ONE = np.uint64(1)
 
@@ -233,6 +241,37 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return out
 
 
+def prefix_edges(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """members: block, rep, h1, text. Edges (a, b) between members of a block that share a shingle of both their prefixes, in the order of frequency in the block."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(3), words))
+            for i, (s, h) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)):
+                if len(s) and identity(s)[0] == h:
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(s), batch.column(c)[i].as_py())) for c in (0, 1)], pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["block", "rep", "n", "shingle"])
+
+    rows = members.select("block", "rep", "h1", "text").mapInArrow(spell, "block long, rep long, n long, shingle long").dropDuplicates(["block", "rep", "shingle"])
+    rows = cut(rows)
+    shared = rows.groupBy("block", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    known = rows.join(shared, ["block", "shingle"]).groupBy("block", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    # shingles of this document alone come first in its prefix
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
+    prefix = cut(known.where(length > 0).select("block", "rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
+    hubs = prefix.groupBy("block", "shingle").agg(F.min("rep").alias("hub"))
+    return prefix.join(hubs, ["block", "shingle"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """docs (with column) without most of the rows whose id isn't in ids; a join is still to follow."""
+    bits = FILTER_WORDS.bit_length() - 1
+    h = F.xxhash64(column)
+    word, bit = h.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.shiftrightunsigned(h, bits).bitwiseAND(F.lit(63))
+    mask = F.expr("shiftleft(1L, cast(bit as int))")
+    held = cut(ids.select(word.alias("word"), bit.alias("bit")).select("word", mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    return docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(held), "word").where(F.col("mask").bitwiseAND(mask) != 0).drop("word", "bit", "mask")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
@@ -247,8 +286,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     same = ["h1", "h2", "n"]
     classes = known.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").where("rep is not null").select("block", "h1", "rep", "n"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")))
+    texts = with_ids(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")), reps.select("rep"), "rep")
+    chunks = F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")
+    large = reps.groupBy("block").agg(chunks).where("chunks > 1").select("block")
+    if not large.isEmpty():
+        members = reps.join(large, "block", "left_semi").join(texts, "rep")
+        again = components(prefix_edges(members, words, percent)).withColumnsRenamed({"node": "rep", "root": "again"})
+        inside = reps.join(large, "block", "left_semi").join(again, "rep").select(F.col("again").alias("block"), "h1", "rep", "n")
+        reps = cut(reps.join(large, "block", "left_anti").union(inside))
+    of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), chunks))
     dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), F.lit(0).alias("part"), "rep", "h1")
     hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.rep", "hub.h1")
     roots = cut(chunk_roots(dealt.union(hubs).join(texts, "rep"), words, percent))
