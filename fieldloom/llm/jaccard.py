@@ -12,9 +12,9 @@ document that leaves so many groups empty that only empty ones might agree sends
 Documents that share a hash are joined in a star, the stars' components are blocks, and no linked
 pair lies outside a block. Copies send equal rows and are one node.
 
-Passages that many short documents share make blocks larger than their near copies. A block of more
-than one chunk is therefore met again by prefixes: its shingles are counted within the block, and a
-document's rarest ones, as many as a linked document can't lack altogether, make the new edges.
+Passages that many short documents share make blocks larger than their near copies. A block of some
+size is therefore met again by prefixes: its shingles are counted within the block, and a document's
+rarest ones, as many as a linked document can't lack altogether, make the new edges.
 
 Texts are fetched for members of blocks only; a bit array of fixed size over their ids keeps most
 others from being shuffled for that.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesk
@@ -38,6 +38,7 @@ from .components import components
 from .cut import cut, small_batches
 
 CHUNK_BYTES = 4 << 20
+LARGE_BYTES = 1 << 17
 FILTER_WORDS = 1 << 20  # 64 bits each
 FANOUT = 8
 ONE = np.uint64(1)
@@ -64,18 +65,23 @@ def identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int, int]]:
-    """(largest size, D, groups) of each band of set sizes, to the band that holds up_to."""
-    out, top = [], (100 + percent - 1) // (2 * (100 - percent))
+    """(largest size, D, groups) of each band of set sizes, to the band that holds up_to. The smallest sets of a band have about four shingles a group."""
+    out, below, top = [], 0, (100 + percent - 1) // (2 * (100 - percent))
     while True:
         d = 2 * top * (100 - percent) // (100 + percent)
-        out.append((top, d, d + 2 + d // 10 if d else 1))
+        out.append((top, d, max(d + 1, round((below + 1) / 4))))
         if top >= up_to:
             return out
-        top = max(top + 1, top * 3 // 2)
+        below, top = top, max(top + 1, top * 13 // 10)
 
 
 def group_hashes(s: np.ndarray, percent: int, known: list[tuple[int, int, int]]) -> np.ndarray:
-    """What a set sends to meet every set that it might be linked with."""
+    """What a set sends to meet every set that it might be linked with.
+
+    Groups of one shingle are mostly shared by accident, so a set with more than D larger groups sends
+    only those: a linked set has one of them unchanged. Other sets send all groups, and the empty
+    ones too; of two such sets the unchanged group may be any.
+    """
     out, n, mixed, high = [], len(s), bytesk.mix(s ^ bytesk.BASES[1]), s >> np.uint64(32)
     for band, (top, d, groups) in enumerate(known):
         if n > top:
@@ -85,10 +91,13 @@ def group_hashes(s: np.ndarray, percent: int, known: list[tuple[int, int, int]])
         g = (high * np.uint64(groups)) >> np.uint64(32)
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         salt = bytesk.mix((g[at] + ONE) * bytesk.BASES[0] + np.uint64(band))
-        out.append(bytesk.mix(np.add.reduceat(mixed, at) + salt))
-        if len(at) <= d:
+        sent = bytesk.mix(np.add.reduceat(mixed, at) + salt)
+        larger = np.diff(np.append(at, n)) > 1
+        if larger.sum() > d:
+            out.append(sent[larger])
+        else:
             empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[at])
-            out.append(bytesk.mix(bytesk.mix((empty + ONE) * bytesk.BASES[1] + np.uint64(band)) + ONE))
+            out += [sent, bytesk.mix(bytesk.mix((empty + ONE) * bytesk.BASES[1] + np.uint64(band)) + ONE)]
     return np.concatenate(out)
 
 
@@ -251,10 +260,11 @@ def prefix_edges(members: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(s) and identity(s)[0] == h:
                     yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(s), batch.column(c)[i].as_py())) for c in (0, 1)], pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["block", "rep", "n", "shingle"])
 
-    rows = members.select("block", "rep", "h1", "text").mapInArrow(spell, "block long, rep long, n long, shingle long").dropDuplicates(["block", "rep", "shingle"])
-    rows = cut(rows)
-    shared = rows.groupBy("block", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    known = rows.join(shared, ["block", "shingle"]).groupBy("block", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    rows = members.select("block", "rep", "h1", "text").mapInArrow(spell, "block long, rep long, n long, shingle long")
+    times = F.count(F.lit(1)).over(Window.partitionBy("block", "shingle"))
+    shared = rows.withColumn("times", times).where("times > 1")
+    # a set: a row that is there twice counts twice above, which leaves the order the same for all, but is one member
+    known = shared.groupBy("block", "rep", "n").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common"))
     # shingles of this document alone come first in its prefix
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
     prefix = cut(known.where(length > 0).select("block", "rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
@@ -272,7 +282,7 @@ def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(held), "word").where(F.col("mask").bitwiseAND(mask) != 0).drop("word", "bit", "mask")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
     Words are runs without ASCII white space, A-Z lower-cased. Null, empty and blank texts have no
@@ -288,7 +298,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").where("rep is not null").select("block", "h1", "rep", "n"))
     texts = with_ids(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")), reps.select("rep"), "rep")
     chunks = F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")
-    large = reps.groupBy("block").agg(chunks).where("chunks > 1").select("block")
+    large = reps.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > large_bytes).select("block")
     if not large.isEmpty():
         members = reps.join(large, "block", "left_semi").join(texts, "rep")
         again = components(prefix_edges(members, words, percent)).withColumnsRenamed({"node": "rep", "root": "again"})

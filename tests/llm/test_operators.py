@@ -26,7 +26,7 @@ def want(rows):
 @pytest.mark.parametrize(("words", "percent", "chunk"), [(4, 85, 4 << 20), (5, 80, 40_000), (3, 60, 20_000)])
 def test_jaccard(spark, seed, words, percent, chunk):
     made = texts.rows(seed)
-    df = jaccard.jaccard_components(texts.table(spark, made), words, percent, chunk_bytes=chunk)
+    df = jaccard.jaccard_components(texts.table(spark, made), words, percent, chunk_bytes=chunk, large_bytes=chunk // 2)
     assert got(df, "doc_id", "n_shingles", "component_id") == want(brute.components(made, words, percent))
 
 
