@@ -19,18 +19,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.trim(F.coalesce(text, F.lit("")))), BLANKS), lambda w: w != "")
 
 
-def shared(a: Column, b: Column) -> Column:
-    """How many entries two arrays have in common, repeats counted: equal neighbours in both sorted arrays are numbered, and numbered entries intersected."""
-    bind = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
-    numbered = lambda x: bind(F.sort_array(x), lambda s: bind(F.transform(s, lambda w, i: F.when(F.coalesce(F.get(s, i - 1) == w, F.lit(False)), F.lit(None).cast("int")).otherwise(i)), lambda firsts: F.transform(s, lambda w, i: F.struct(w.alias("w"), (i - F.array_max(F.slice(firsts, F.lit(1), i + 1))).alias("k")))))
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
-def f1(a: Column, b: Column) -> Column:
-    """F1 of two arrays of tokens as bags; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * shared(a, b) / (F.size(a) + F.size(b)))
-
-
 @pandas_udf(T.DoubleType())
 def word_f1(a: pd.Series, b: pd.Series) -> pd.Series:
     """ROUGE-1 F1 of two texts: words in lower case, as bags; 0 if either has none."""
@@ -99,9 +87,20 @@ def rouge_tokens(text: Column) -> Column:
 
 def rouge_n(a: Column, b: Column, n: int) -> Column:
     """F1 of bags of word n-grams; both without any: 1."""
-    grams = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    p, q = grams(rouge_tokens(a)), grams(rouge_tokens(b))
-    return F.when((F.size(p) == 0) & (F.size(q) == 0), 1.0).otherwise(f1(p, q))
+
+    @pandas_udf(T.DoubleType())
+    def run(p: pd.Series, q: pd.Series) -> pd.Series:
+        from collections import Counter
+
+        bag = lambda t: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+
+        def one(x, y):
+            x, y = bag(list(x)), bag(list(y))
+            return 2 * (x & y).total() / (x.total() + y.total()) if x or y else 1.0
+
+        return pd.Series(map(one, p, q), dtype=float)
+
+    return run(rouge_tokens(a), rouge_tokens(b))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -165,10 +164,9 @@ def same_texts(a: Column, b: Column) -> Column:
 
 def char_entropy(text: Column) -> Column:
     """Bits per character of a text by its own character frequencies; 0 for an empty one."""
-    bind = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    counts = bind(chars, lambda s: F.transform(F.array_distinct(s), lambda c: F.size(F.filter(s, lambda x: x == c)).cast("double")))
-    return F.when(F.length(text) > 0, bind(counts, lambda n: -F.aggregate(n, F.lit(0.0), lambda a, x: a + x / F.length(text) * F.log2(x / F.length(text))))).otherwise(0.0)
+    chars = F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""))
+    counts = F.transform(chars, lambda c: F.struct((F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("n"), F.length(text).alias("s")))
+    return F.when(F.length(text) > 0, -F.aggregate(counts, F.lit(0.0), lambda a, x: a + x["n"] / x["s"] * F.log2(x["n"] / x["s"]))).otherwise(0.0)
 
 
 def first_sentence(text: Column) -> Column:

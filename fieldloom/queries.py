@@ -68,7 +68,7 @@ def bag(a: str, b: str) -> str:
 
 
 def f1(a: str, b: str) -> str:
-    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {bag(a, b)} / (len({a}) + len({b})) END"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {bag(a, b)} / (len({a}) + len({b})) END"
 
 
 def sql_score(gt: str, pred: str) -> str:
@@ -522,8 +522,8 @@ def rule_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATUS = """WITH u AS (SELECT 'layout-' || (user_id % 50) AS layout_id, CASE event_id % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'xpath' ELSE 'regex' END AS lang, user_id, ts FROM events),
 l AS (SELECT layout_id, lang, max(ts) AS last, count(DISTINCT user_id) AS annotators FROM u GROUP BY ALL),
-c AS (SELECT 'layout-' || (user_id % 50) AS layout_id, 'css' AS lang, max(ts) AS at FROM events WHERE event_type = 'view' GROUP BY ALL)
-SELECT layout_id, lang, CASE WHEN lang = 'regex' THEN 'none' WHEN last > at THEN 'stale' ELSE 'approved' END AS status, annotators FROM l LEFT JOIN c USING (layout_id, lang)"""
+c AS (SELECT 'layout-' || (user_id % 50) AS layout_id, 'css' AS lang, max(ts) AS done FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT layout_id, lang, CASE WHEN lang = 'regex' THEN 'none' WHEN last > done THEN 'stale' ELSE 'approved' END AS status, annotators FROM l LEFT JOIN c USING (layout_id, lang)"""
 
 
 def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -540,8 +540,8 @@ def gt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_status(spark, sf_dir).select("layout_id", "lang", "status", "annotators")
 
 
-@query("""WITH q AS (SELECT event_id AS request_id, 'host' || (user_id % 20) AS host, round(epoch_us(ts) / 1000000.0::DOUBLE, 3) AS at, value % 5 AS crawl_delay FROM events)
-SELECT request_id, round(coalesce(greatest(0, greatest(2, least(crawl_delay, 30)) - (at - lag(at) OVER (PARTITION BY host ORDER BY at, request_id))), 0), 3) AS pause FROM q""")
+@query("""WITH q AS (SELECT event_id AS request_id, 'host' || (user_id % 20) AS host, round(epoch_us(ts) / 1000000.0::DOUBLE, 3) AS sent, value % 5 AS crawl_delay FROM events)
+SELECT request_id, round(coalesce(greatest(0, greatest(2, least(crawl_delay, 30)) - (sent - lag(sent) OVER (PARTITION BY host ORDER BY sent, request_id))), 0), 3) AS pause FROM q""")
 def host_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = study.table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string")).alias("host"), F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 3).alias("at"), (F.col("value") % 5).alias("crawl_delay"))
     return maintenance.request_spacing(q, 2.0).select("request_id", F.round("pause", 3).alias("pause"))
