@@ -15,8 +15,8 @@ from ..functions import metrics as m
 def _counts(ratings: DataFrame, subject: list[str], category: str, by: list[str]) -> DataFrame:
     """Per subject of two ratings or more: n, and pairs that agree over all pairs."""
     rated = ratings.where(F.col(category).isNotNull() & (F.col(category).cast("string") != ""))
-    per = rated.groupBy(*by, *subject, category).agg(F.count(F.lit(1)).alias("c"))
-    each = per.groupBy(*by, *subject).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("n >= 2")
+    per = rated.groupBy(*by, *subject, category).agg(F.count(F.lit(1)).alias("k_count"))
+    each = per.groupBy(*by, *subject).agg(F.sum("k_count").alias("n"), F.sum(F.col("k_count") * F.col("k_count")).alias("squares")).where("n >= 2")
     return each.withColumn("po", (F.col("squares") - F.col("n")) / (F.col("n") * (F.col("n") - 1)))
 
 
@@ -30,9 +30,9 @@ def fleiss_kappa(ratings: DataFrame, subject: list[str], category: str, by: list
     by = by or []
     each = _counts(ratings, subject, category, by)
     rated = ratings.where(F.col(category).isNotNull() & (F.col(category).cast("string") != ""))
-    whole = rated.groupBy(*by, category, *subject).agg(F.count(F.lit(1)).alias("c"))
-    pooled = whole.join(each.select(*by, *subject), [*by, *subject], "left_semi").groupBy(*by, category).agg(F.sum("c").alias("c"))
-    pe = pooled.groupBy(*by).agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.pow(F.sum("c").cast("double"), F.lit(2.0))).alias("pe"))
+    whole = rated.groupBy(*by, category, *subject).agg(F.count(F.lit(1)).alias("k_count"))
+    pooled = whole.join(each.select(*by, *subject), [*by, *subject], "left_semi").groupBy(*by, category).agg(F.sum("k_count").alias("k_count"))
+    pe = pooled.groupBy(*by).agg((F.sum(F.col("k_count").cast("double") * F.col("k_count")) / F.pow(F.sum("k_count").cast("double"), F.lit(2.0))).alias("pe"))
     po = each.groupBy(*by).agg(F.avg("po").alias("po"), F.count(F.lit(1)).alias("n_subjects"))
     both = po.join(pe, by) if by else po.crossJoin(pe)
     kappa = F.when(F.col("n_subjects") < 2, None).when(F.col("pe") >= 1, 1.0).otherwise((F.col("po") - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0)))
@@ -41,10 +41,10 @@ def fleiss_kappa(ratings: DataFrame, subject: list[str], category: str, by: list
 
 def nominal_alpha(ratings: DataFrame, unit: list[str], category: str) -> DataFrame:
     """Krippendorff's alpha for a distance of 0 or 1, exact, from counts alone; units with one value are left out."""
-    per = ratings.groupBy(*unit, category).agg(F.count(F.lit(1)).alias("c"))
-    units = per.groupBy(*unit).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares")).where("m >= 2")
+    per = ratings.groupBy(*unit, category).agg(F.count(F.lit(1)).alias("k_count"))
+    units = per.groupBy(*unit).agg(F.sum("k_count").alias("m"), F.sum(F.col("k_count") * F.col("k_count")).alias("squares")).where("m >= 2")
     within = units.agg((F.sum((F.col("m") * F.col("m") - F.col("squares")) / (F.col("m") - 1)) / F.sum("m")).alias("d_o"), F.sum("m").cast("double").alias("n"), F.count(F.lit(1)).alias("units"))
-    pooled = per.join(units.select(*unit), unit, "left_semi").groupBy(category).agg(F.sum("c").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("squares"))
+    pooled = per.join(units.select(*unit), unit, "left_semi").groupBy(category).agg(F.sum("k_count").cast("double").alias("k_count")).agg(F.sum(F.col("k_count") * F.col("k_count")).alias("squares"))
     both = within.crossJoin(pooled).withColumn("d_e", (F.col("n") * F.col("n") - F.col("squares")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0.0)))
     alpha = F.when(F.col("d_e") == 0, 1.0).otherwise(1 - F.col("d_o") / F.nullif("d_e", F.lit(0.0)))
     return both.where("units > 0").select(F.round(alpha, 6).alias("alpha"), F.round("d_o", 6).alias("d_o"), F.round("d_e", 6).alias("d_e"), "units")

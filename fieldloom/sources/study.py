@@ -28,9 +28,8 @@ def lenient_text(content: Column) -> Column:
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files of one document each, with their name as file; documents that can't be read are left out."""
-    df = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    return df.withColumn("file", name).where("_corrupt_record is null").drop("_corrupt_record")
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return df.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
 def host(url: Column) -> Column:
