@@ -1,0 +1,23 @@
+"""The corpus queries against their DuckDB twins, and all of them for one row per document."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+import twins  # noqa: E402
+
+from fieldloom.llm.queries import QUERIES, SQL  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_twin(spark, sf, name):
+    twins.assert_twins(spark, sf, QUERIES[name], SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_every_document_is_there(spark, sf, name):
+    ids = QUERIES[name](spark, sf).select("doc_id").distinct().count()
+    assert ids == spark.read.parquet(f"{sf}/documents.parquet").count()
