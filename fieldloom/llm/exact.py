@@ -62,7 +62,8 @@ def exact_dedup(docs: DataFrame, carry: list[str], text: str = "text", doc_id: s
     probed = probed.select("row", "id", "n", F.sha2("norm", 256).alias("text_sha256"), maybe.alias("maybe"))
     suspects = cut(probed.where("maybe").drop("maybe").withColumn("no", F.monotonically_increasing_id()))
     rank = F.struct(F.col("n"), F.col("id").isNotNull().alias("known"), F.bitwise_not("id").alias("id"), F.bitwise_not("no").alias("no"))
-    groups = suspects.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own: the join's two sides are then plain exchanges, and the planner can split a large group
+    groups = cut(suspects.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("group_size")))
     copies = suspects.join(groups, "text_sha256").select("row", F.bitwise_not("best.id").alias("keep_id"), "group_size", (F.col("no") == F.bitwise_not("best.no")).alias("kept"), "text_sha256")
     alone = probed.where("not maybe").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(copies)

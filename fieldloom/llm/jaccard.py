@@ -321,7 +321,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
         found = components(edges).withColumnsRenamed({"node": "rep"})
     else:
         found = roots.select("rep", "root").distinct()
-    named = classes.join(found, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
+    # a table of its own: the join's two sides are then plain exchanges, and the planner can split the rows of a text with many copies
+    named = cut(classes.join(found, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id")))
     return known.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
