@@ -13,7 +13,7 @@ Documents that share a hash are joined in a star, the stars' components are bloc
 pair lies outside a block. Copies send equal rows and are one node.
 
 Passages that many short documents share make blocks larger than their near copies. A block of some
-size is therefore met again by prefixes: its shingles are counted within the block, and a document's
+size is therefore met again by prefixes: shingles are counted over all such blocks, and a document's
 rarest ones, as many as a linked document can't lack altogether, make the new edges.
 
 Texts are fetched for members of blocks only; a bit array of fixed size over their ids keeps most
@@ -64,23 +64,34 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return tuple(both.view(np.int64).tolist())
 
 
+def spread(percent: int) -> tuple[float, float]:
+    """Ratio of a band's largest to its smallest size, and shingles per group for the smallest: as many as leave more than D groups of two and more."""
+    share = 2 * (100 - percent) / (100 + percent)
+    ratio = 1.3 if share < 0.2 else 1.15
+    for per_group in np.arange(6, 1.5, -0.1):
+        if (1 - np.exp(-per_group) * (1 + per_group)) / per_group >= 1.06 * share * ratio:
+            break
+    return ratio, float(per_group)
+
+
 def bands(percent: int, up_to: int) -> list[tuple[int, int, int]]:
-    """(largest size, D, groups) of each band of set sizes, to the band that holds up_to. The smallest sets of a band have about four shingles a group."""
+    """(largest size, D, groups) of each band of set sizes, to the band that holds up_to."""
+    ratio, per_group = spread(percent)
     out, below, top = [], 0, (100 + percent - 1) // (2 * (100 - percent))
     while True:
         d = 2 * top * (100 - percent) // (100 + percent)
-        out.append((top, d, max(d + 1, round((below + 1) / 4))))
+        out.append((top, d, max(d + 1, round((below + 1) / per_group))))
         if top >= up_to:
             return out
-        below, top = top, max(top + 1, top * 13 // 10)
+        below, top = top, max(top + 1, int(top * ratio))
 
 
 def group_hashes(s: np.ndarray, percent: int, known: list[tuple[int, int, int]]) -> np.ndarray:
     """What a set sends to meet every set that it might be linked with.
 
     Groups of one shingle are mostly shared by accident, so a set with more than D larger groups sends
-    only those: a linked set has one of them unchanged. Other sets send all groups, and the empty
-    ones too; of two such sets the unchanged group may be any.
+    only those: a linked set has one of them unchanged, and sends it too. Other sets send all groups, and
+    if those are no more than D, the empty ones as well; of two such sets the unchanged group may be any.
     """
     out, n, mixed, high = [], len(s), bytesk.mix(s ^ bytesk.BASES[1]), s >> np.uint64(32)
     for band, (top, d, groups) in enumerate(known):
@@ -95,9 +106,11 @@ def group_hashes(s: np.ndarray, percent: int, known: list[tuple[int, int, int]])
         larger = np.diff(np.append(at, n)) > 1
         if larger.sum() > d:
             out.append(sent[larger])
-        else:
+            continue
+        out.append(sent)
+        if len(at) <= d:
             empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), g[at])
-            out += [sent, bytesk.mix(bytesk.mix((empty + ONE) * bytesk.BASES[1] + np.uint64(band)) + ONE)]
+            out.append(bytesk.mix(bytesk.mix((empty + ONE) * bytesk.BASES[1] + np.uint64(band)) + ONE))
     return np.concatenate(out)
 
 
@@ -250,26 +263,26 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return out
 
 
-def prefix_edges(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """members: block, rep, h1, text. Edges (a, b) between members of a block that share a shingle of both their prefixes, in the order of frequency in the block."""
+def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """members: block, rep, h1, n; texts: rep, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(3), words))
             for i, (s, h) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)):
                 if len(s) and identity(s)[0] == h:
-                    yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(s), batch.column(c)[i].as_py())) for c in (0, 1)], pa.array(np.full(len(s), len(s))), pa.array(s.view(np.int64))], names=["block", "rep", "n", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(1)[i].as_py())), pa.array(s.view(np.int64))], names=["rep", "shingle"])
 
-    rows = members.select("block", "rep", "h1", "text").mapInArrow(spell, "block long, rep long, n long, shingle long")
-    times = F.count(F.lit(1)).over(Window.partitionBy("block", "shingle"))
+    rows = members.join(texts, "rep").select("block", "rep", "h1", "text").mapInArrow(spell, "rep long, shingle long")
+    times = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
     shared = rows.withColumn("times", times).where("times > 1")
     # a set: a row that is there twice counts twice above, which leaves the order the same for all, but is one member
-    known = shared.groupBy("block", "rep", "n").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common"))
+    known = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common")).join(members.select("rep", "n"), "rep")
     # shingles of this document alone come first in its prefix
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
-    prefix = cut(known.where(length > 0).select("block", "rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
-    hubs = prefix.groupBy("block", "shingle").agg(F.min("rep").alias("hub"))
-    return prefix.join(hubs, ["block", "shingle"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    prefix = cut(known.where(length > 0).select("rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
+    hubs = prefix.groupBy("shingle").agg(F.min("rep").alias("hub"))
+    return prefix.join(hubs, "shingle").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -300,8 +313,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     chunks = F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")
     large = reps.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > large_bytes).select("block")
     if not large.isEmpty():
-        members = reps.join(large, "block", "left_semi").join(texts, "rep")
-        again = components(prefix_edges(members, words, percent)).withColumnsRenamed({"node": "rep", "root": "again"})
+        members = reps.join(large, "block", "left_semi")
+        again = components(prefix_edges(members, texts, words, percent)).withColumnsRenamed({"node": "rep", "root": "again"})
         inside = reps.join(large, "block", "left_semi").join(again, "rep").select(F.col("again").alias("block"), "h1", "rep", "n")
         reps = cut(reps.join(large, "block", "left_anti").union(inside))
     of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), chunks))
