@@ -64,7 +64,9 @@ def words(x: str) -> str:
 
 
 def bag(a: str, b: str) -> str:
-    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda w: least(len(list_filter({a}, lambda z: z = w)), len(list_filter({b}, lambda z: z = w))))), 0)"
+    """Common words of two bags; counted over the shorter one."""
+    over = lambda x: f"coalesce(list_sum(list_transform(list_distinct({x}), lambda w: least(len(list_filter({a}, lambda z: z = w)), len(list_filter({b}, lambda z: z = w))))), 0)"
+    return f"(CASE WHEN len({a}) <= len({b}) THEN {over(a)} ELSE {over(b)} END)"
 
 
 def f1(a: str, b: str) -> str:
