@@ -1,18 +1,20 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A byte is eight binary decisions; the bits already decided make a node, and a context is the classes
-of up to three bytes before it (64 classes: letters without case, digits, kinds of punctuation, UTF-8
-bytes). Each node of each context holds a Krichevsky-Trofimov estimator. From the longest context
-up, the weighted probability of what was seen in a context is half its own block probability plus
-half the product over its longer contexts; the posterior of its own half is its share when the depths
-are mixed. All of this depends on counts alone: tasks count what they read, one group per last byte
-computes its subtree, and scoring looks up a probability per byte in a table.
-
-The table has a row of 256 numbers per context seen, 64^3 + 64^2 + 65 rows at most whatever the
-corpus (272 MB; some tens of thousands of rows in practice), so it may be broadcast.
+A byte is eight binary decisions; the bits already decided make a node, and a context is up to ``depth``
+bytes before it (true bytes, six at most: a context and its byte are one 64-bit key). Each node of each
+context holds a Krichevsky-Trofimov estimator. From the longest context up, the weighted probability of
+what was seen in a context is half its own block probability plus half the product over its longer
+contexts; the posterior of its own half is its share when the depths are mixed. All of this depends on
+counts alone: tasks count what they read, one group per last two bytes computes its subtree, and the two
+depths above are summed up and go to all tasks.
+
+The table has a row for each context and byte that occurs in any text, and so grows with the corpus.
+Those of texts held out count as seen 0 times: they change no weight, and get their probability from the
+longest contexts seen. The commonest ``TOP_CONTEXTS`` are broadcast; all others of a document go to
+their probabilities by a join.
 
 The base score needs the count of every word. The commonest ``TOP_WORDS`` are broadcast; all other
-words of a document go to their counts by a join, so the vocabulary may be of any size.
+words of a document go to their counts by the same join, so the vocabulary may be of any size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,39 +30,27 @@ from . import bytesk
 from .cut import cut, small_batches
 
 TOP_WORDS = 1 << 19
+TOP_CONTEXTS = 1 << 21
 FLUSH = 2_000_000
 STOP = 255  # no byte of UTF-8; ends a text, and stands for what comes before one
 END_WORD = np.int64(0x2545F4914F6CDD1D)
-DEPTH, KINDS = 3, 64
-
-
-def byte_classes() -> np.ndarray:
-    """The class of each byte, below KINDS."""
-    out = np.full(256, 35, np.int64)
-    letters = np.arange(26)
-    out[65 + letters], out[97 + letters] = letters, letters
-    for kind, chars in ((26, b" "), (27, b"\t\n\x0b\x0c\r"), (28, b"0123456789"), (29, b"."), (30, b","), (31, b"'\"`"), (32, b"-_/"), (33, b"!?;:"), (34, b"#$%&()*+<=>@[\\]^{|}~")):
-        out[list(chars)] = kind
-    out[0x80:0xC0] = 42 + np.arange(64) % 22
-    out[0xC0:0xFF] = 38 + np.arange(63) % 4
-    out[0xC3], out[STOP] = 37, 36
-    return out
-
+DEPTH, DEEPEST = 3, 6
+CLASSES = np.arange(256, dtype=np.uint64)  # what a byte is in a context: itself
 
-CLASSES = byte_classes()
 
-
-def coded(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and byte for every byte of each text and the stop that ends it, and where each text begins among them."""
+def coded(part: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of context and byte (the last byte of the context highest, the byte itself lowest) for every byte of each text and the stop that ends it, and where each text begins among them."""
     n = np.diff(off)
-    first = off[:-1] + DEPTH * np.arange(1, len(n) + 1)
-    padded = np.full(len(part) + DEPTH * (len(n) + 1), STOP, np.uint8)
+    first = off[:-1] + depth * np.arange(1, len(n) + 1)
+    padded = np.full(len(part) + depth * (len(n) + 1), STOP, np.uint8)
     padded[np.arange(len(part)) + np.repeat(first - off[:-1], n)] = part
     begin = off[:-1] + np.arange(len(n))
     at = np.arange(len(part) + len(n)) + np.repeat(first - begin, n + 1)
-    kind = CLASSES[padded].astype(np.int32)
-    context = (kind[at - 3] * KINDS + kind[at - 2]) * KINDS + kind[at - 1]
-    return context, padded[at], begin
+    kind = CLASSES[padded]
+    key = padded[depth:].astype(np.uint64)
+    for d in range(1, depth + 1):
+        key |= kind[depth - d : len(kind) - d] << np.uint64(8 * (depth + 1 - d))
+    return key[at - depth].view(np.int64), begin
 
 
 class Counter:
@@ -70,9 +59,9 @@ class Counter:
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
         found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found.astype(np.int64), n))
+        self.parts.append((found.astype(np.int64), n * times))
         self.held += len(found)
         if self.held > FLUSH and len(self.parts) > 1:
             self.merge()
@@ -96,8 +85,8 @@ def word_keys(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return bytesk.span_hashes(low, starts, ends).view(np.int64), first
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(word, key, n) over all training texts: words by hash, and context-byte pairs by code."""
+def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
+    """(word, key, n): words of training texts by hash, and contexts with their byte by key; those in texts held out have n = 0 if nowhere else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {True: Counter(), False: Counter()}
@@ -108,18 +97,23 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             data, off = bytesk.column(batch.column(0))
+            held = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in bytesk.slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                counters[True].add(np.append(word_keys(part, o)[0], np.full(j - i, END_WORD)))
-                context, byte, _ = coded(part, o)
-                counters[False].add(context * np.int32(256) + byte)
+                learned = ~held[i:j]
+                keys, first = word_keys(part, o)
+                counters[True].add(np.append(keys[np.repeat(learned, np.diff(first))], np.full(learned.sum(), END_WORD)))
+                keys, _ = coded(part, o, depth)
+                learned = np.repeat(learned, np.diff(o) + 1)
+                counters[False].add(keys[learned])
+                counters[False].add(keys[~learned], 0)
             for word, counter in counters.items():
                 if counter.held > FLUSH:
                     yield out(word)
         yield out(True)
         yield out(False)
 
-    seen = docs.where("not held_out").select("text").mapInArrow(run, "word boolean, key long, n long")
+    seen = docs.select("text", "held_out").mapInArrow(run, "word boolean, key long, n long")
     return seen.groupBy("word", "key").agg(F.sum("n").alias("n"))
 
 
@@ -140,13 +134,20 @@ def nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total[:, 0:512:2][:, :256], total[:, 1:512:2][:, :256]
 
 
+HALVES, WHOLES = lgamma(np.arange(1 << 12) + 0.5), lgamma(np.arange(1 << 12) + 1.0)
+
+
+def log_gamma(x: np.ndarray, shift: float, table: np.ndarray) -> np.ndarray:
+    """lgamma(x + shift) for whole x, small ones looked up."""
+    out = table[np.minimum(x, len(table) - 1).astype(np.int64)]
+    large = x >= len(table)
+    out[large] = lgamma(x[large] + shift)
+    return out
+
+
 def block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block probability of so many zeros and ones."""
-    out = np.zeros_like(zeros)
-    some = zeros + ones > 0
-    a, b = zeros[some], ones[some]
-    out[some] = lgamma(a + 0.5) + lgamma(b + 0.5) - np.log(np.pi) - lgamma(a + b + 1)
-    return out
+    return log_gamma(zeros, 0.5, HALVES) + log_gamma(ones, 0.5, HALVES) - np.log(np.pi) - log_gamma(zeros + ones, 1.0, WHOLES)
 
 
 class Depth:
@@ -161,101 +162,115 @@ class Depth:
         self.weighted = own if longer is None else np.logaddexp(own, longer) - np.log(2)
         self.share = np.ones_like(own) if longer is None else np.exp(own - np.log(2) - self.weighted)
 
-    def mixed(self, rows: np.ndarray, longer: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Probability of a one at rows, mixed with that of the longer context where it was seen."""
-        p = self.estimate[rows]
-        return np.where(seen, self.share[rows] * p + (1 - self.share[rows]) * longer, p)
-
-
-def grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and rows summed by them."""
-    found, at = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(found), counts.shape[1]))
-    np.add.at(out, at, counts)
-    return found, out
-
-
-def subtree(codes: np.ndarray, n: np.ndarray):
-    """The depths 1 to 3 under one last byte: contexts (numbers of the two bytes before), and Depth for each."""
-    c3, at = np.unique(codes >> 8, return_inverse=True)
-    counts = np.zeros((len(c3), 256))
-    counts[at, codes & 255] = n
-    d3 = Depth(counts, None)
-    parent = c3 % (KINDS * KINDS)
-    c2, counts2 = grouped(parent, counts)
-    d2 = Depth(counts2, grouped(parent, d3.weighted)[1])
-    d1 = Depth(counts2.sum(axis=0, keepdims=True), d2.weighted.sum(axis=0, keepdims=True))
-    return counts2.sum(axis=0), c3, c2, d1, d2, d3
-
-
-def byte_logs(p: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from the probabilities of a one at the 255 nodes."""
-    out = np.zeros((len(p), 256))
-    byte = np.arange(256)
+
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For keys that share their last two bytes, sorted: the probability of each bit of each one's byte, mixed over
+    the depths from 2 (nan: not seen there), counts of the 256 bytes, and log weighted probabilities of the 256 nodes."""
+    pairs, counts, up = {depth: keys.view(np.uint64)}, {depth: n.astype(float)}, {}
+    for d in range(depth - 1, 1, -1):
+        longer = pairs[d + 1]
+        pairs[d], up[d] = np.unique(longer >> np.uint64(16) << np.uint64(8) | longer & np.uint64(255), return_inverse=True)
+        counts[d] = np.bincount(up[d], counts[d + 1])
+    probability, weights = np.empty((len(keys), 8), np.float32), np.zeros(256)
     for k in range(8):
-        node, bit = (256 | byte) >> (8 - k), (byte >> (7 - k)) & 1
-        q = p[:, node]
-        out += np.log10(np.where(bit, q, 1 - q))
-    return out
+        # all pairs under a node lie side by side
+        run, estimate, share, seen = {}, {}, {}, {}
+        for d in range(depth, 1, -1):
+            node, bit = pairs[d] >> np.uint64(8 - k), pairs[d] >> np.uint64(7 - k) & np.uint64(1) > 0
+            new = np.append(True, node[1:] != node[:-1])
+            run[d], first = np.cumsum(new) - 1, np.flatnonzero(new)
+            ones, both = np.add.reduceat(counts[d] * bit, first), np.add.reduceat(counts[d], first)
+            own = block(both - ones, ones)
+            if d == depth:
+                weighted = own
+            else:
+                longer = np.bincount(run[d][up[d][begun]], weighted, len(first))
+                weighted = np.logaddexp(own, longer) - np.log(2)
+                share[d] = np.exp(own - np.log(2) - weighted)[run[d]]
+            of_bit = np.where(bit, ones[run[d]], (both - ones)[run[d]])
+            estimate[d], seen[d] = (of_bit + 0.5) / (both[run[d]] + 1), (both > 0)[run[d]]
+            begun = first
+        weights[(256 | (pairs[2][first] & np.uint64(255)).astype(np.int64)) >> (8 - k)] = weighted
+        # the probability is fixed + left x what the longer contexts say
+        fixed, left, p = np.zeros(len(pairs[2])), np.ones(len(pairs[2])), np.where(seen[2], estimate[2], np.nan)
+        for d in range(2, depth):
+            fixed, left = (fixed + left * share[d] * estimate[d])[up[d]], (left * (1 - share[d]))[up[d]]
+            p = np.where(seen[d + 1], fixed + left * estimate[d + 1], p[up[d]])
+        probability[:, k] = p
+    total = np.zeros(256)
+    total[(pairs[2] & np.uint64(255)).astype(np.int64)] = counts[2]
+    return probability, total, weights
+
+
+def context_table(counts: DataFrame, depth: int) -> DataFrame:
+    """(key, n, log) of each context and byte: log10 probability of the byte."""
+    spark = counts.sparkSession
+    pairs = counts.where("not word").select("key", "n", F.shiftrightunsigned("key", 8 * (depth - 1)).alias("last"))
+    names = ["key", "n", "bits"]
+
+    def fixed(values: np.ndarray) -> pa.Array:
+        """Rows as binary values."""
+        rows = np.ascontiguousarray(values)
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int64) * rows[:1].nbytes), pa.py_buffer(rows)]).cast(pa.binary())
+
+    def grow(table: pa.Table) -> pa.Table:
+        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        probability, total, weights = subtree(key, n, depth)
+        ends = pa.array([table.column("last")[0].as_py(), None], pa.int64())
+        sums = fixed(np.concatenate([total, weights])[None])
+        return pa.table([pa.concat_arrays([pa.array(key), ends[:1]]), pa.concat_arrays([pa.array(n), ends[1:]]), pa.concat_arrays([fixed(probability), sums])], names=names)
+
+    grown = cut(pairs.groupBy("last").applyInArrow(grow, "key long, n long, bits binary"))
+
+    def add(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x.as_buffer()) for x in table.column("bits"))
+        return pa.table([pa.array([table.column("key")[0].as_py() >> 8]), pa.array([sums.tobytes()])], names=["key", "bits"])
+
+    # a row for each last byte, so 256 at most
+    last = grown.where("n is null").groupBy(F.shiftright("key", 8).alias("one")).applyInArrow(add, "key long, bits binary").collect()
+    sums = np.zeros((256, 512))
+    for r in last:
+        sums[r.key] = np.frombuffer(r.bits)
+    d1 = Depth(sums[:, :256], sums[:, 256:])
+    root = Depth(sums[:, :256].sum(axis=0, keepdims=True), d1.weighted.sum(axis=0, keepdims=True))
+    short, whole = [], []
+    for e0, e1 in ((1 - root.estimate, 1 - d1.estimate), (root.estimate, d1.estimate)):
+        short.append(np.where(d1.seen, root.share * e0 + (1 - root.share) * e1, e0))
+        whole.append(root.share * e0 + (1 - root.share) * d1.share * e1)
+    held = spark.sparkContext.broadcast((np.array(short), np.array(whole), (1 - root.share) * (1 - d1.share)))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, whole, left = held.value
+        for batch in batches:
+            data, _ = bytesk.column(batch.column(2))
+            bits = data.view(np.float32).reshape(-1, 8).astype(float)
+            key = batch.column(0).to_numpy()
+            byte, last, log = key & 255, key >> 8 * depth, np.zeros(len(key))
+            for k in range(8):
+                node, bit, p = (256 | byte) >> (8 - k), byte >> (7 - k) & 1, bits[:, k]
+                log += np.log10(np.where(np.isnan(p), short[bit, last, node], whole[bit, last, node] + left[last, node] * p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log.astype(np.float32))], names=["key", "n", "log"])
+
+    return grown.where("n is not null").mapInArrow(finish, "key long, n long, log float")
 
 
-def context_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each context of three bytes the row that serves it, and the rows: log10 probability of each byte."""
-    kinds = counts.where("not word").select("key", "n").withColumn("last", F.shiftright("key", 8).bitwiseAND(F.lit(KINDS - 1)))
-
-    def top(df: pd.DataFrame) -> pd.DataFrame:
-        total, *_, d1, _, _ = subtree(df["key"].to_numpy(), df["n"].to_numpy())
-        return pd.DataFrame({"total": [total.tobytes()], "weighted": [d1.weighted.tobytes()]})
-
-    tops = kinds.groupBy("last").applyInPandas(top, "total binary, weighted binary").collect()
-    root_counts = sum((np.frombuffer(r.total) for r in tops), np.zeros(256))[None]
-    root = Depth(root_counts, sum((np.frombuffer(r.weighted) for r in tops), np.zeros(256))[None])
-
-    def rows(df: pd.DataFrame) -> pd.DataFrame:
-        _, c3, c2, d1, d2, d3 = subtree(df["key"].to_numpy(), df["n"].to_numpy())
-        one = lambda n: np.zeros(n, np.int64)
-        up2 = np.searchsorted(c2, c3 % (KINDS * KINDS))
-        to_root = lambda p: byte_logs(root.mixed(one(len(p)), p, d1.seen[one(len(p))]))
-        under2 = lambda p: to_root(d1.mixed(one(len(p[0])), p[0], p[1]))
-        full = under2((d2.mixed(up2, d3.estimate, d3.seen), d2.seen[up2]))
-        short = under2((d2.estimate, d2.seen))
-        shortest = to_root(d1.estimate)
-        keys = np.concatenate([c3, -1 - c2, [-1 - KINDS * KINDS - df["last"].iat[0]]])
-        return pd.DataFrame({"context": keys, "logs": [x.astype(np.float32).tobytes() for x in np.concatenate([full, short, shortest])]})
-
-    found = kinds.groupBy("last").applyInPandas(rows, "context long, logs binary").toArrow()
-    context = found.column("context").to_numpy()
-    table = np.empty((len(context) + 1, 256), np.float32)
-    at = 0
-    for chunk in found.column("logs").chunks:
-        for x in chunk:
-            table[at] = np.frombuffer(x.as_buffer(), np.float32)
-            at += 1
-    table[-1] = byte_logs(root.estimate)
-    index = np.full((KINDS, KINDS, KINDS), len(context), np.int32)
-    own = np.arange(len(context), dtype=np.int32)
-    single = context < -KINDS * KINDS
-    index[:, :, -1 - KINDS * KINDS - context[single]] = own[single]
-    double = (context < 0) & ~single
-    index.reshape(KINDS, KINDS * KINDS)[:, -1 - context[double]] = own[double]
-    index = index.ravel()
-    index[context[context >= 0]] = own[context >= 0]
-    return index, table
-
-
-def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_words: int = TOP_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_words: int = TOP_WORDS, depth: int = DEPTH, top_contexts: int = TOP_CONTEXTS) -> DataFrame:
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Rows whose crc32 of the id as text is divisible by 10 are held out and not learned from; a null
     id counts as the empty text and is held out. Null and empty texts have one token and one byte,
     the end. With nothing to learn from, base_score is 0 and each byte costs eight bits. Repeated
-    rows are learned from and scored one by one. An empty table gives no rows.
+    rows are learned from and scored one by one. An empty table gives no rows. depth: bytes of context.
     """
+    if not 2 <= depth <= DEEPEST:
+        raise ValueError(f"depth is from 2 to {DEEPEST}")
     spark = docs.sparkSession
     small_batches(spark)
     crc = F.crc32(F.coalesce(docs[doc_id].cast("string"), F.lit("")).cast("binary"))
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), (crc % 10 == 0).alias("held_out"), docs[text].alias("text"))
-    counts = cut(corpus_counts(base))
+    counts = cut(corpus_counts(base, depth))
     vocabulary = counts.where("word").select("key", "n")
     total, distinct, ends = vocabulary.agg(F.sum("n"), F.count("n"), F.max(F.when(F.col("key") == int(END_WORD), F.col("n")))).first()
     total, distinct = total or 0, distinct or 0
@@ -264,52 +279,75 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_w
     order = np.argsort(top.column("key").to_numpy())
     known_keys, known_logs = top.column("key").to_numpy()[order], np.log10(top.column("n").to_numpy()[order] + 0.1) - scale
     held = spark.sparkContext.broadcast((known_keys, known_logs))
-    model = spark.sparkContext.broadcast(context_table(counts))
+    # contexts by how often they were seen, in steps of an eighth of a doubling: the commonest steps that top_contexts holds
+    contexts = context_table(counts, depth).withColumn("step", F.floor(8 * F.log2(F.col("n") + 1.0)))
+    steps, least, room = contexts.groupBy("step").count().orderBy(F.desc("step")).collect(), None, top_contexts
+    for r in steps:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    common = contexts.where(F.lit(False) if least is None else F.col("step") >= least).select("key", "log").toArrow()
+    order = np.argsort(common.column("key").to_numpy())
+    model = spark.sparkContext.broadcast((common.column("key").to_numpy()[order], common.column("log").to_numpy()[order].astype(np.float32)))
     end_log = float(np.log10((ends or 0) + 0.1)) - scale
 
-    def lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table, logs = held.value
+    def lookup(keys: np.ndarray, of) -> tuple[np.ndarray, np.ndarray]:
+        table, logs = of.value
         if not len(table):
             return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        hit = table[at] == keys
-        return hit, np.where(hit, logs[at], 0.0)
+        found, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(table, found), len(table) - 1)
+        hit = table[at] == found
+        return hit[back], np.where(hit, logs[at].astype(float), 0.0)[back]
+
+    def others(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, distinct keys in each, and times."""
+        order = np.lexsort((keys, row))
+        row, keys = row[order], keys[order]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else row
+        return row[new], keys[new], np.diff(np.append(new, len(row)))
+
+    names = ["doc_id", "print", "word", "key", "times", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table = model.value
+        """A row for each text with what the broadcast tables give, and rows for what they don't hold."""
         for batch in batches:
             data, off = bytesk.column(batch.column(3))
             for i, j in bytesk.slices(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 keys, first = word_keys(part, o)
-                hit, logs = lookup(keys)
+                hit, logs = lookup(keys, held)
                 sums = lambda x: np.diff(np.append(0, np.cumsum(x))[first])  # noqa: B023, E731
-                context, byte, begin = coded(part, o)
-                whole = np.add.reduceat(table[index[context], byte].astype(float), begin)
-                out = [np.diff(first) + 1, sums(hit.astype(np.int64)) + bool(ends), sums(logs) + end_log, whole, np.diff(o) + 1]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in range(3)], *map(pa.array, out)], names=["doc_id", "print", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = bytesk.column(batch.column(2))
-            for i, j in bytesk.slices(off):
-                keys, first = word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                other = ~lookup(keys)[0]
-                row, keys = np.repeat(np.arange(j - i), np.diff(first))[other], keys[other]
-                order = np.lexsort((keys, row))
-                row, keys = row[order], keys[order]
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else row
-                at = pa.array(np.append(np.arange(j - i), row[new]))  # and for every row one that counts it
-                times = np.append(np.zeros(j - i, np.int64), np.diff(np.append(new, len(row))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(at), batch.column(1).slice(i, j - i).take(at), pa.array(np.append(np.full(j - i, END_WORD), keys[new])), pa.array(times), pa.array((times == 0).astype(np.int64))], names=["doc_id", "print", "key", "times", "rows"])
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                found = [(True, *others(row[~hit], keys[~hit]))]
+                out = [np.diff(first) + 1, sums(hit.astype(np.int64)) + bool(ends), sums(logs) + end_log]
+                keys, begin = coded(part, o, depth)
+                hit, logs = lookup(keys, model)
+                row = np.repeat(np.arange(j - i), np.diff(o) + 1)
+                found.append((False, *others(row[~hit], keys[~hit])))
+                out += [np.add.reduceat(logs, begin), np.diff(o) + 1]
+                one = lambda c, i=i, j=j, batch=batch: batch.column(c).slice(i, j - i)
+                # word is null, so that no key joins these
+                yield pa.RecordBatch.from_arrays([one(0), one(1), pa.nulls(j - i, pa.bool_()), one(1), pa.array(np.zeros(j - i, np.int64)), one(2), *map(pa.array, out)], names=names)
+                for word, row, keys, times in found:
+                    if len(row):
+                        at = pa.array(row)
+                        none = [pa.nulls(len(row), t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
+                        yield pa.RecordBatch.from_arrays([one(0).take(at), one(1).take(at), pa.array(np.full(len(row), word)), pa.array(keys), pa.array(times), *none], names=names)
 
     marked = base.select("doc_id", F.xxhash64("text").alias("print"), "held_out", "text")
-    scored = marked.mapInArrow(score, "doc_id long, print long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
-    rare = marked.select("doc_id", "print", "text").mapInArrow(rest, "doc_id long, print long, key long, times long, rows long").join(vocabulary, "key", "left")
-    known = F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
-    value = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.1) - scale)
-    rare = rare.groupBy(F.col("doc_id").alias("id"), F.col("print").alias("p")).agg(F.sum("rows").alias("rows"), F.sum(known).alias("known"), F.sum(value).alias("value"))
+    scored = marked.mapInArrow(score, "doc_id long, print long, word boolean, key long, times long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
+    values = vocabulary.select(F.lit(True).alias("word"), "key", (F.log10(F.col("n") + 0.1) - scale).alias("value"))
+    if room < 0:
+        less = contexts if least is None else contexts.where(F.col("step") < least)
+        values = values.unionAll(less.select(F.lit(False), "key", F.col("log").cast("double")))
+    value = F.col("times") * F.coalesce("value", F.log10(F.lit(0.1)) - scale)
+    known = F.when(F.col("word") & F.col("value").isNotNull(), F.col("times"))
+    once = [F.first(c, ignorenulls=True).alias(c) for c in ("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")]
+    more = [F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (("more_known", known), ("more_base", F.when(F.col("word"), value)), ("more_score", F.when(~F.col("word"), value)))]
+    df = scored.join(values, ["word", "key"], "left").groupBy("doc_id", "print").agg(F.count("n_tokens").alias("rows"), *once, *more)
     # rows that repeat have all been summed, and share alike
-    rare = rare.select("id", "p", F.expr("known div rows").alias("more_known"), (F.col("value") / F.col("rows")).alias("more"))
-    df = scored.join(rare, scored.doc_id.eqNullSafe(rare.id) & (scored.print == rare.p), "left")
-    return df.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
+    df = df.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    total_score = F.col("score") + F.col("more_score") / F.col("rows")
+    return df.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.expr("more_known div rows")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base") / F.col("rows")).alias("base_score"), total_score.alias("score"), (-total_score * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

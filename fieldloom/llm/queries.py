@@ -68,7 +68,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document, by words and by context-tree weighting."""
-    return lm.lm_scores(documents(spark, sf_dir))
+    return lm.lm_scores(documents(spark, sf_dir), depth=lm.DEEPEST)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
