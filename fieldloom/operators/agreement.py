@@ -6,6 +6,8 @@ category that holds most ratings is one number per task.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,24 +73,40 @@ def by_layout(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return content.join(users, "layout_id", "left").join(po, "layout_id", "left")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df, computed once into the folder in spark.checkpoint.dir (a temporary one where there is none: tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
+    return df.checkpoint()
+
+
 def content_alpha(values: DataFrame, by: str = "field", max_pairs: int = 20_000) -> DataFrame:
     """Krippendorff's alpha of extracted values per field, distance 1 less similarity.
 
     Observed distances come from pairs within a cell. Expected ones come from the pool of all values:
-    each value meets the next ones in an order by hash, as many as give about max_pairs pairs, or
-    all of them where the pool has no more pairs than that.
+    each value meets the next ones in an order by hash (the first follow the last), as many as give about
+    max_pairs pairs and one at least, or all of them where the pool has no more pairs than that.
     """
     key = ["layout_id", "page", "field"]
     said = values.where("vals is not null").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("m >= 2")
+    # read six times below; pages are parsed once
+    said = _kept(said)
     distance = lambda pairs: pairs.withColumn("raw", m.raw_score(F.col("a"), F.col("b"), F.col("metric"))).withColumn("d", 1 - m.pair_similarity(F.col("raw"), F.col("a"), F.col("b")))
     inner = distance(said.select(*key, "metric", "m", F.col("user").alias("ua"), F.col("vals").alias("a")).join(said.select(*key, F.col("user").alias("ub"), F.col("vals").alias("b")), key).where("ua < ub"))
     observed = inner.groupBy(by).agg(F.sum(2 * F.col("d") / (F.col("m") - 1)).alias("s"))
     size = said.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*key).alias("units"))
+    # places in the order: by slices of the hash, so that a field's values needn't meet in one task
     order = F.xxhash64(*[F.col(c) for c in (*key, "user")])
-    # sampled pool: no more values than have max_pairs pairs among them take part, chosen by hash
-    most = int((2 * max_pairs) ** 0.5) + 1
-    ranked = said.select(by, "metric", "vals", order.alias("o")).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("o"))).where(F.col("k") <= most)
-    outer = distance(ranked.select(by, "metric", F.col("k").alias("ka"), F.col("vals").alias("a")).join(ranked.select(by, F.col("k").alias("kb"), F.col("vals").alias("b")), by).where("ka < kb"))
+    sliced = said.select(by, "metric", "vals", *[c for c in (*key, "user") if c != by], order.alias("o")).withColumn("slice", F.shiftrightunsigned("o", 54))
+    before = sliced.groupBy(by, "slice").agg(F.count(F.lit(1)).alias("k_count")).withColumn("before", F.sum("k_count").over(Window.partitionBy(by).orderBy("slice")) - F.col("k_count"))
+    within = Window.partitionBy(by, "slice").orderBy("o", *key, "user")
+    place = (F.col("before") + F.row_number().over(within) - 1).alias("place")
+    pool = sliced.join(before.select(by, "slice", "before"), [by, "slice"]).select(by, "metric", "vals", place).join(size.select(by, "n"), by)
+    whole = F.col("n") * (F.col("n") - 1) <= 2 * max_pairs
+    steps = F.when(whole, F.col("n") - 1 - F.col("place")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(max_pairs) / F.col("n"))))
+    meets = F.explode(F.when(steps > 0, F.transform(F.sequence(F.lit(1).cast("long"), steps.cast("long")), lambda x: (F.col("place") + x) % F.col("n"))))
+    outer = distance(pool.select(by, "metric", F.col("vals").alias("a"), meets.alias("place")).join(pool.select(by, "place", F.col("vals").alias("b")), [by, "place"]))
     expected = outer.groupBy(by).agg(F.avg("d").alias("d_e"))
     both = observed.join(size, by).join(expected, by).withColumn("d_o", F.col("s") / F.col("n"))
     return both.select(by, F.round(F.when(F.col("d_e") == 0, 1.0).otherwise(1 - F.col("d_o") / F.nullif("d_e", F.lit(0.0))), 3).alias("alpha"), "units", F.col("n").alias("n_values"))
