@@ -17,9 +17,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Odd multipliers of the two independent polynomial hashes.
+#: Seeds of the two independent hashes; odd, so that multiplying by them is a bijection.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_powers: dict[int, np.ndarray] = {}
+STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,24 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    had = _powers.get(int(base))
-    if had is None or len(had) < n:
-        size = max(1024, 1 << int(n - 1).bit_length()) if n else 1024
-        had = np.full(size, base, np.uint64)
-        had[0] = 1
-        with np.errstate(over="ignore"):
-            had = np.cumprod(had, dtype=np.uint64)
-        _powers[int(base)] = had
-    return had[:n]
-
-
-def inverse(base: np.uint64) -> np.uint64:
-    """The inverse of an odd number modulo 2 ** 64."""
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
 def column(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; null is the empty text."""
     if isinstance(values, pa.ChunkedArray):
@@ -87,35 +69,59 @@ def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tup
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASES[0]) -> np.ndarray:
-    """64-bit hashes of disjoint ascending byte spans, none of them empty."""
+    """64-bit hashes of disjoint ascending byte spans, none of them empty.
+
+    Blocks of eight bytes are mixed with their place in the span before they are summed: no sum of products, in which regular
+    texts cancel out (polynomials modulo 2 ** 64 give Thue-Morse words and their complements equal hashes, whatever the base).
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    blocks = (size + 7) >> 3
+    if blocks.max() == 1:
+        values = eight[starts] & (~np.uint64(0) >> (np.uint64(64) - (size << 3).astype(np.uint64)))
+        return mix(mix((values ^ base) + STEP) + size.astype(np.uint64) * base)
+    first = np.cumsum(blocks) - blocks
     out = np.empty(len(starts), np.uint64)
-    for at, to in slices(np.append(starts, ends[-1]), 1 << 20):
-        n = size[at:to]
-        first = np.cumsum(n) - n
-        inside = np.arange(int(n.sum())) - np.repeat(first, n)
-        values = (data[inside + np.repeat(starts[at:to], n)].astype(np.uint64) + np.uint64(1)) * powers(base, int(n.max()))[inside]
-        out[at:to] = np.add.reduceat(values, first)
-    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for at, to in slices(np.append(first, first[-1] + blocks[-1]), 1 << 18):
+        n = blocks[at:to]
+        begin = first[at:to] - first[at]
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        left = np.minimum(np.repeat(size[at:to], n) - (inside << 3), 8)
+        values = eight[(inside << 3) + np.repeat(starts[at:to], n)] & (~np.uint64(0) >> (np.uint64(64) - (left << 3).astype(np.uint64)))
+        out[at:to] = np.add.reduceat(mix((values ^ base) + (inside + 1).astype(np.uint64) * STEP), begin)
+    return mix(out + size.astype(np.uint64) * base)
+
+
+def doubled(hashes: np.ndarray, m: int, by: int, base: np.uint64) -> np.ndarray:
+    """Hashes of runs of m + by entries from those of runs of m; by is from 1 to m, so runs may overlap."""
+    return mix(hashes[: len(hashes) - by] * base + mix(hashes[by:] + np.uint64(int(STEP) * (m + by) % (1 << 64))))
 
 
 def rolling(hashes: np.ndarray, k: int, base: np.uint64 = BASES[0]) -> np.ndarray:
-    """Hashes of all runs of k consecutive entries, from prefix sums; runs may cross rows, callers mask those."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """Hashes of all runs of k consecutive entries, by doubling their length; runs may cross rows, callers mask those."""
+    if len(hashes) < k:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
-    return mix((total[k:] - total[:n]) * powers(inverse(base), n))
+    out, m = mix(hashes ^ base), 1
+    while m < k:
+        by = min(m, k - m)
+        out, m = doubled(out, m, by, base), m + by
+    return out
 
 
 def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASES[0]) -> np.ndarray:
-    """Hashes of arbitrary runs [start, end) of entries."""
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(inverse(base), len(hashes) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """Hashes of arbitrary runs [start, end) of entries, none of them empty, from the two longest runs of a power of two in each."""
+    n = ends - starts
+    out, level, m = np.zeros(len(starts), np.uint64), mix(hashes ^ base), 1
+    while len(n) and m <= n.max():
+        mine = np.flatnonzero((n >= m) & (n < 2 * m))
+        out[mine] = mix(level[starts[mine]] * base + mix(level[ends[mine] - m] + STEP * n[mine].astype(np.uint64)))
+        m *= 2
+        if m <= n.max():
+            level = doubled(level, m // 2, m // 2, base)
+    return out
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

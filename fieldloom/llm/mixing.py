@@ -3,7 +3,7 @@
 Each source has a share of the training tokens (its target) and a schedule that shifts the share over
 training time. The schedule's integral is the source's cumulative demand; the position of a document
 is the time at which the demand reaches the tokens of its source that come before it. Documents of a
-source follow one another in the order of a hash of their id, in as many passes as the target needs.
+source follow one another in the order of a hash of their id and text, in as many passes as the target needs.
 
 Running sums don't gather a source in one task: tokens are first summed per source and hash prefix
 (4,096 prefixes), those sums are accumulated, and only the documents of one prefix are then windowed.
@@ -62,17 +62,18 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "do
     a pass over its source if its middle comes before the target does, so each source's tokens are
     within half a document of the target and no document is taken more than max_repeat times.
     Sources without a word take nothing. Repeated rows count each; reruns agree, since the order
-    depends on ids (and, for equal ids, on texts) only. An empty table gives no rows.
+    depends on ids and texts only. Rows with one id, or none, are spread by their texts; only rows
+    equal in both are numbered by one task. An empty table gives no rows.
     """
-    key = F.md5(F.coalesce(docs[doc_id].cast("string"), F.lit("")))
-    base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[doc_id].alias("id"), docs[source].alias("source"), key.alias("key"), F.xxhash64(docs[text]).alias("tie"), n_words(docs[text]).alias("size"))
+    key = F.md5(F.concat(F.coalesce(docs[doc_id].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(docs[text], F.lit("")))))
+    base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[doc_id].alias("id"), docs[source].alias("source"), key.alias("key"), n_words(docs[text]).alias("size"))
     base = base.withColumn("prefix", F.substring("key", 1, 3))
     sums = cut(base.groupBy("source", "prefix").agg(F.sum("size").alias("prefix_size")))
     runs = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     plan = targets(sums.groupBy("source").agg(F.sum("prefix_size").alias("source_size")), weights, max_repeat)
     starts = sums.withColumn("start", F.coalesce(F.sum("prefix_size").over(runs), F.lit(0))).select(F.col("source").alias("s"), F.col("prefix").alias("p"), "start")
     starts = starts.join(plan, starts.s.eqNullSafe(plan.source)).drop("source")
-    inside = Window.partitionBy("source", "prefix").orderBy("key", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "prefix").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
     df = base.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     df = df.join(starts, df.source.eqNullSafe(F.col("s")) & (df.prefix == F.col("p")))
     middle = F.col("start") + F.col("before") + F.col("size") / 2.0
@@ -83,7 +84,11 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "do
     return df.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.when(F.col("copies") > 0, at).otherwise(F.array().cast("array<double>")).alias("positions"))
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """docs as training takes them: a row per copy, range-sorted by position; the columns stay those of docs."""
-    df = mix(docs, docs.columns, **options).select("row", F.explode("positions").alias("position"))
-    return df.orderBy("position").select("row.*")
+def curriculum(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs as training takes them: a row per copy, range-sorted by position; the columns stay those of docs.
+
+    Rows that mix() takes no copy of go. Rows at equal positions follow in the order of a hash of id and text. Null ids, texts and sources
+    are treated as in mix(); an empty table gives no rows.
+    """
+    df = mix(docs, docs.columns, text, doc_id, **options).select("row", F.explode("positions").alias("position"))
+    return df.orderBy("position", F.xxhash64(f"row.{doc_id}", f"row.{text}")).select("row.*")

@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +64,7 @@ def encoded_pieces(docs: DataFrame, text: str, doc_id: str, length: int, end: in
         for batch in batches:
             rows = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.asarray([*encode.encode_ordinary(value.as_py() or ""), end], "<u4")
+                ids = np.asarray([*encode(value.as_py() or ""), end], "<u4")
                 rows += [(key, piece, at, n, zlib.crc32(ids[at : at + n].tobytes())) for piece, (at, n) in enumerate(cut_pieces(len(ids), length))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -76,17 +75,20 @@ def encoded_pieces(docs: DataFrame, text: str, doc_id: str, length: int, end: in
 def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, end: int = 0, path: str | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the end token alone. Ids may be null or repeat; each row of docs is
-    packed by itself. An empty table gives no rows. A shard holds about shard_rows pieces and leaves
-    at most a few sequences with room, so shards cost well under a thousandth of all sequences.
+    Null and empty texts are the end token alone; a text of any length is encoded whole. Ids are whole
+    numbers, and may be null or repeat; each row of docs is packed by itself. An empty table gives no
+    rows. Other columns aren't read. A shard holds about shard_rows pieces, whatever their ids, and
+    leaves at most a few sequences with room, so shards cost well under a thousandth of all sequences.
     """
     pieces = cut(encoded_pieces(docs, text, doc_id, length, end, path or vocabulary()))
     shards = max(1, -(-pieces.count() // shard_rows))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
-        sequence, offset = pack(df["length"].to_numpy(), length)
-        return df.assign(sequence_id=(int(df["shard"].iat[0]) << 32) + sequence, offset=offset).drop(columns="shard")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        sequence, offset = pack(table.column("length").to_numpy(), length)
+        first = table.column("shard")[0].as_py() << 32
+        return table.drop(["shard"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # rows are read from a table, so their numbers are the same when a task runs again; they part rows that are equal otherwise
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -57,7 +57,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mixing.mix(documents(spark, sf_dir), ["doc_id"])
     first = F.when(F.size("positions") > 0, F.get("positions", F.lit(0)))
     out = df.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", first.alias("position"))
-    return out.orderBy("position").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    # most rows of an oversized source are taken nowhere: by the hash they don't all end in one range
+    return out.orderBy("position", F.xxhash64("doc_id", "size")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
 FROM d"""
 
 SQL_MIXING = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::varchar, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM r),

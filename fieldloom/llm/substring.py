@@ -35,7 +35,7 @@ class Runs:
     def __init__(self, part: np.ndarray, off: np.ndarray, length: int, gram: int):
         self.starts, self.ends, self.first = bytesk.words(part, off)
         self.length = length
-        self.hashes = bytesk.span_hashes(part, self.starts, self.ends)
+        self.hashes, self.second = (bytesk.span_hashes(part, self.starts, self.ends, base) for base in bytesk.BASES)
         n, wide = np.diff(self.first), length - gram + 1
         at = np.repeat(self.first[:-1], np.maximum(n - length + 1, 0))
         inside = np.maximum(n - length + 1, 0)
@@ -50,7 +50,11 @@ class Runs:
         new = np.flatnonzero(np.append(True, (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])))
         self.row, self.begin, self.count, self.anchor = row[new], self.window[new], np.diff(np.append(new, len(at))), grams[anchors[new]]
         place = bytesk.mix((anchors[new] - self.begin).astype(np.uint64))
-        self.r1, self.r2 = (bytesk.range_hashes(self.hashes, self.begin, self.begin + self.count + length - 1, base) ^ place for base in bytesk.BASES)
+        self.r1, self.r2 = (h ^ place for h in self.ranges(self.begin, self.begin + self.count + length - 1))
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of word ranges, from two independent hashes of each word."""
+        return tuple(bytesk.range_hashes(h, starts, ends, base) for h, base in zip((self.hashes, self.second), bytesk.BASES, strict=True))
 
 
 def runs_of(batch: pa.RecordBatch, column: int, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, Runs]]:
@@ -68,6 +72,14 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return np.append(True, differs)
 
 
+def dealt(sent: DataFrame, key: str) -> DataFrame:
+    """Rows of one key together, but for those that a smaller document in their own batch has settled: they ask nothing, and go anywhere.
+
+    A passage that every document has thus sends one row a batch to one task, not one a document.
+    """
+    return sent.repartition(F.when(F.col("known"), F.xxhash64("id", key)).otherwise(F.col(key)))
+
+
 def repeated_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(id, r1, whole): runs of a document that a smaller one has whole, and runs to be compared window by window."""
     schema = "known boolean, a long, r1 long, r2 long, id long"
@@ -118,7 +130,7 @@ def repeated_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
             own, r1, flag = np.concatenate(rows, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(r1), pa.array(flag.astype(bool))], names=["id", "r1", "whole"])
 
-    sent = docs.mapInArrow(send, schema).repartition("a").sortWithinPartitions("known", "a", "r1", "r2", "id")
+    sent = dealt(docs.mapInArrow(send, schema), "a").sortWithinPartitions("known", "a", "r1", "r2", "id")
     return sent.mapInArrow(meet, "id long, r1 long, whole boolean")
 
 
@@ -136,13 +148,19 @@ def repeated_windows(docs: DataFrame, probes: DataFrame, length: int, gram: int)
                 at = np.repeat(r.begin[take], n) + inside
                 own, range_ = np.repeat(ids[i + r.row[take]], n), np.repeat(r.r1.view(np.int64)[take], n)
                 if len(at):
-                    w1, w2 = (bytesk.range_hashes(r.hashes, at, at + length, base).view(np.int64) for base in bytesk.BASES)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (w1, w2, own, range_, inside)], names=["w1", "w2", "id", "r1", "at"])
+                    w1, w2 = (w.view(np.int64) for w in r.ranges(at, at + length))
+                    order = np.lexsort((own, w2, w1))
+                    w1, w2, own, range_, inside = (c[order] for c in (w1, w2, own, range_, inside))
+                    head = np.maximum.accumulate(np.where(firsts(w1, w2), np.arange(len(w1)), 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own > own[head], w1, w2, own, range_, inside)], names=["known", "w1", "w2", "id", "r1", "at"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            w1, w2, own, r1, at = (c.to_numpy() for c in batch.columns)
+            known, w1, w2, own, r1, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in (own, r1, at)], names=["id", "r1", "at"])
+                w1, w2, own, r1, at = (c[~known] for c in (w1, w2, own, r1, at))
             if len(w1):
                 if last:
                     w1, w2, own, r1, at = (np.append(x, y) for x, y in zip((*last, 0, 0), (w1, w2, own, r1, at), strict=True))
@@ -152,8 +170,8 @@ def repeated_windows(docs: DataFrame, probes: DataFrame, length: int, gram: int)
                 yield pa.RecordBatch.from_arrays([pa.array(own[later]), pa.array(r1[later]), pa.array(at[later])], names=["id", "r1", "at"])
 
     asked = probes.groupBy("id").agg(F.collect_set("r1").alias("asked"))
-    sent = docs.join(asked, "id").select("id", "text", "asked").mapInArrow(send, "w1 long, w2 long, id long, r1 long, at long")
-    return sent.repartition("w1").sortWithinPartitions("w1", "w2", "id").mapInArrow(meet, "id long, r1 long, at long")
+    sent = docs.join(asked, "id").select("id", "text", "asked").mapInArrow(send, "known boolean, w1 long, w2 long, id long, r1 long, at long")
+    return dealt(sent, "w1").sortWithinPartitions("known", "w1", "w2", "id").mapInArrow(meet, "id long, r1 long, at long")
 
 
 def chosen(r: Runs, lists: pa.Array, i: int) -> np.ndarray:

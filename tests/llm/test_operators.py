@@ -187,9 +187,7 @@ def hf():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("seed", SEEDS)
@@ -256,6 +254,88 @@ def test_tokens_that_cross():
     assert inside.tolist() == [2, 1, 1] and crossing.tolist() == [1, 1, 0]
 
 
+LONG = 2_000_000
+RUNS = ["a lake " + " " * LONG + " froze", "\t" * LONG, "x" * LONG, "\n" * LONG + "end", "a" + "\u3000" * LONG, "1" * LONG, "-" * LONG + "<|endoftext|>", "Ab \n" * (LONG // 4)]
+
+
+def test_long_runs(spark):
+    """Texts of two million characters without a break, against the library the vocabulary file is made for."""
+    import zlib
+
+    expected = [[*hf().encode(t, add_special_tokens=False).ids, 0] for t in RUNS]
+    docs = texts.table(spark, list(enumerate(RUNS)), 8)
+    found = {r.doc_id: r for r in packing.pack_documents(docs, length=4 * LONG).collect()}
+    assert [(found[k].length, found[k].ids_crc32) for k in range(len(RUNS))] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in expected]
+    per_doc = tokens.section_tokens(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert {r.doc_id: (r.n, r.of) for r in per_doc} == {k: (len(x) - 1,) * 2 for k, x in enumerate(expected)}
+
+
+def test_added_token_and_runs_have_the_ids_of_the_file():
+    encode, sizes = tokens.encoder(tokens.vocabulary())
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "B ", " ", "\n", "<|endoftext|>", "é", "'s", "漢", "12", "\u3000", "\x1c", "<|"], rng.integers(1, 30)))
+        ids = encode(t)
+        assert ids == hf().encode(t, add_special_tokens=False).ids
+        assert sizes[ids].sum() == len(t.encode())
+
+
+def test_packing_ids_stay_whole_numbers(spark):
+    made = [(9007199254740993, "a b"), (None, "c d"), (9007199254740995, "e f")]
+    assert got(packing.pack_documents(texts.table(spark, made, 1)), "doc_id") == want([(i,) for i, _ in made])
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    per_shard = packing.pack_documents(many, shard_rows=300).groupBy(F.shiftright("sequence_id", 32)).count().collect()
+    assert len(per_shard) == 10 and max(r["count"] for r in per_shard) < 500
+
+
+def thue_morse(a, b, steps=11):
+    """Two texts that every polynomial modulo 2 ** 64 with an odd base takes for one."""
+    x, y = a, b
+    for _ in range(steps):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_texts_on_which_polynomial_hashes_collide(spark):
+    x, y = thue_morse("a", "b")
+    line = lines.line_dedup(texts.table(spark, [(k, (x, y)[k % 2]) for k in range(6)]))
+    assert {r.n_dropped for r in line.collect()} == {0}
+    near = jaccard.jaccard_components(texts.table(spark, [(k, (x, y)[k % 2]) for k in range(6)]))
+    assert got(near, "doc_id", "component_id") == want((k, k % 2) for k in range(6))
+    around = " ".join(f"w{k}" for k in range(30))
+    sub = substring.substring_dedup(texts.table(spark, [(k, f"{around} {(x, y)[k]} {around}") for k in range(2)]))
+    assert {r.n_removed for r in sub.collect()} == {0}
+    u, v = thue_morse("p ", "q ")
+    assert len({*bytesk.rolling(bytesk.span_hashes(np.frombuffer((u + v).encode(), np.uint8), *bytesk.words(np.frombuffer((u + v).encode(), np.uint8), np.array([0, 2 * len(u)]))[:2]), 2048)[[0, 2048]].tolist()}) == 2
+
+
+def test_hashes_of_spans():
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in rng.integers(1, 40, 3000)]
+    raw = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = bytesk.words(raw, np.array([0, len(raw)]))
+    found = collections.defaultdict(set)
+    for w, h in zip(words, bytesk.span_hashes(raw, starts, ends).tolist(), strict=True):
+        found[w].add(h)
+    assert all(len(h) == 1 for h in found.values()) and len({h for x in found.values() for h in x}) == len(found)
+    alone = [bytesk.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words[:200]]
+    assert all(h in found[w] for w, h in zip(words, alone, strict=False))
+    hashes = bytesk.span_hashes(raw, starts, ends)
+    for k in (1, 2, 5, 20, 37):
+        runs = bytesk.rolling(hashes, k)
+        assert len(runs) == len(hashes) - k + 1 and runs[11] == bytesk.rolling(hashes[11 : 11 + k], k)[0]
+    a, b = np.array([3, 700, 5]), np.array([90, 701, 2900])
+    twice = np.concatenate([hashes[k:m] for k, m in zip(a, b, strict=True)])
+    ends = np.cumsum(b - a)
+    assert (bytesk.range_hashes(hashes, a, b) == bytesk.range_hashes(twice, ends - (b - a), ends)).all()
+
+
+def test_mixing_spreads_rows_without_an_id(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w w "), "id").alias("text"), F.lit("a").alias("source"))
+    out = mixing.mix(docs, ["text"]).collect()
+    assert len(out) == 5000 and sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs.repartition(3), ["text"]).collect()))
+
+
 def test_empty_table(spark):
     docs = texts.table(spark, texts.rows(1)).where("false")
     assert jaccard.jaccard_components(docs).collect() == jaccard.keep_one(docs).collect() == []
