@@ -35,50 +35,87 @@ FLUSH = 2_000_000
 STOP = 255  # no byte of UTF-8; ends a text, and stands for what comes before one
 END_WORD = np.int64(0x2545F4914F6CDD1D)
 DEPTH, DEEPEST = 3, 6
-CLASSES = np.arange(256, dtype=np.uint64)  # what a byte is in a context: itself
+RAW = 1 << 22
 
 
 def coded(part: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of context and byte (the last byte of the context highest, the byte itself lowest) for every byte of each text and the stop that ends it, and where each text begins among them."""
     n = np.diff(off)
-    first = off[:-1] + depth * np.arange(1, len(n) + 1)
-    padded = np.full(len(part) + depth * (len(n) + 1), STOP, np.uint8)
-    padded[np.arange(len(part)) + np.repeat(first - off[:-1], n)] = part
-    begin = off[:-1] + np.arange(len(n))
-    at = np.arange(len(part) + len(n)) + np.repeat(first - begin, n + 1)
-    kind = CLASSES[padded]
-    key = padded[depth:].astype(np.uint64)
-    for d in range(1, depth + 1):
-        key |= kind[depth - d : len(kind) - d] << np.uint64(8 * (depth + 1 - d))
-    return key[at - depth].view(np.int64), begin
+    stops = off[:-1] + n + (depth + 1) * np.arange(len(n))  # where texts end, ``depth`` stops and one before each but the first
+    padded = np.full(7 + len(part) + (depth + 1) * len(n), STOP, np.uint8)
+    inside = np.ones(len(padded) - 7, bool)
+    for d in range(depth + 1):
+        inside[stops + d] = False
+    padded[7:][inside] = part
+    inside[stops] = True
+    # eight bytes up to each place, the last of them highest
+    eight = np.ndarray((len(inside),), "<u8", padded, strides=(1,))[inside]
+    context = (eight >> np.uint64(8 * (6 - depth))) & np.uint64((1 << 8 * (depth + 1)) - 256)
+    return (context | eight >> np.uint64(56)).view(np.int64), off[:-1] + np.arange(len(n))
 
 
 class Counter:
-    """Counts of 64-bit keys; holds a few million distinct ones at most between flushes."""
+    """Counts of 64-bit keys: a block of keys as they come, and the distinct keys seen so far with their counts, in order; holds a few million at most between flushes."""
 
     def __init__(self):
-        self.parts, self.held = [], 0
-
-    def add(self, keys: np.ndarray, times: int = 1) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found.astype(np.int64), n * times))
-        self.held += len(found)
-        if self.held > FLUSH and len(self.parts) > 1:
-            self.merge()
+        self.block, self.used = np.empty(RAW, np.int64), 0
+        self.keys = self.n = np.zeros(0, np.int64)
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) > FLUSH
+
+    def add(self, keys: np.ndarray) -> None:
+        while len(keys):
+            taken = keys[: RAW - self.used]
+            self.block[self.used : self.used + len(taken)] = taken
+            self.used += len(taken)
+            keys = keys[len(taken) :]
+            if self.used == RAW:
+                self.merge()
+
+    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys among some in order, and their counts."""
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[at], np.diff(np.append(at, len(keys)))
 
     def merge(self) -> None:
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        found, at = np.unique(keys, return_inverse=True)
-        self.parts, self.held = [(found, np.bincount(at, n).astype(np.int64))], len(found)
+        if not self.used:
+            return
+        block = self.block[: self.used]
+        block.sort()
+        keys, n = self.distinct(block)
+        self.used = 0
+        at = np.searchsorted(self.keys, keys)
+        old = np.append(self.keys, keys[-1:])[at] == keys
+        old[at == len(self.keys)] = False
+        self.n[at[old]] += n[old]
+        new = ~old
+        if new.any():
+            place = at[new] + np.arange(new.sum())
+            kept = np.ones(len(self.keys) + len(place), bool)
+            kept[place] = False
+            for name, values in (("keys", keys[new]), ("n", n[new])):
+                out = np.empty(len(kept), np.int64)
+                out[place], out[kept] = values, getattr(self, name)
+                setattr(self, name, out)
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.parts:
-            self.merge()
-        out = self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 2
-        self.parts, self.held = [], 0
+        self.merge()
+        out = self.keys, self.n
+        self.keys = self.n = np.zeros(0, np.int64)
         return out
 
 
+class ContextCounter(Counter):
+    """Counts of keys of 56 bits; those that come with a lowest bit of 1 below them are kept and count 0 times."""
+
+    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = keys >> 1
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        return both[at], np.add.reduceat(~keys & 1, at)
+
+
 def word_keys(part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = bytesk.LOWER[part]
     starts, ends, first = bytesk.words(low, off)
@@ -89,7 +126,7 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(word, key, n): words of training texts by hash, and contexts with their byte by key; those in texts held out have n = 0 if nowhere else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = {True: Counter(), False: Counter()}
+        counters = {True: Counter(), False: ContextCounter()}
 
         def out(word: bool) -> pa.RecordBatch:
             keys, n = counters[word].flush()
@@ -104,17 +141,41 @@ def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
                 keys, first = word_keys(part, o)
                 counters[True].add(np.append(keys[np.repeat(learned, np.diff(first))], np.full(learned.sum(), END_WORD)))
                 keys, _ = coded(part, o, depth)
-                learned = np.repeat(learned, np.diff(o) + 1)
-                counters[False].add(keys[learned])
-                counters[False].add(keys[~learned], 0)
-            for word, counter in counters.items():
-                if counter.held > FLUSH:
-                    yield out(word)
+                counters[False].add(keys << 1 | np.repeat(held[i:j], np.diff(o) + 1))
+                for word, counter in counters.items():
+                    if counter.full:
+                        yield out(word)
         yield out(True)
         yield out(False)
 
     seen = docs.select("text", "held_out").mapInArrow(run, "word boolean, key long, n long")
-    return seen.groupBy("word", "key").agg(F.sum("n").alias("n"))
+    # tasks send distinct keys: to sum them once more before they move would cost more than it saves
+    return seen.repartition("word", "key").groupBy("word", "key").agg(F.sum("n").alias("n"))
+
+
+def lookup(keys: np.ndarray, table: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some ascending keys whether it is in an ascending table, and its value (0 if not)."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    hit = table[at] == keys
+    return hit, np.where(hit, logs[at], 0.0)
+
+
+def grouped(keys: np.ndarray, row: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, row) in the order of keys: row, times, and the distinct keys with the number of the one each pair has. row is below 256; whole: keys have 64 bits, not 56."""
+    if whole:
+        order = np.lexsort((row, keys))
+        keys, row = keys[order], row[order]
+        at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        key, row, n = keys[at], row[at], len(keys)
+    else:
+        both = keys.view(np.uint64) << np.uint64(8) | row.astype(np.uint64)
+        both.sort()
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        key, row, n = (both[at] >> np.uint64(8)).view(np.int64), (both[at] & np.uint64(255)).astype(np.int64), len(both)
+    first = np.append(True, key[1:] != key[:-1])[: len(key)]
+    return row, np.diff(np.append(at, n)), key[first], np.cumsum(first) - 1
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -276,9 +337,8 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_w
     total, distinct = total or 0, distinct or 0
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     top = vocabulary.orderBy(F.desc("n"), "key").limit(top_words).toArrow()
-    order = np.argsort(top.column("key").to_numpy())
-    known_keys, known_logs = top.column("key").to_numpy()[order], np.log10(top.column("n").to_numpy()[order] + 0.1) - scale
-    held = spark.sparkContext.broadcast((known_keys, known_logs))
+    ordered = lambda t, log: (lambda o: (t.column("key").to_numpy()[o], log[o]))(np.argsort(t.column("key").to_numpy()))
+    held = spark.sparkContext.broadcast(ordered(top, np.log10(top.column("n").to_numpy() + 0.1) - scale))
     # contexts by how often they were seen, in steps of an eighth of a doubling: the commonest steps that top_contexts holds
     contexts = context_table(counts, depth).withColumn("step", F.floor(8 * F.log2(F.col("n") + 1.0)))
     steps, least, room = contexts.groupBy("step").count().orderBy(F.desc("step")).collect(), None, top_contexts
@@ -288,65 +348,49 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_w
             break
         least = r.step
     common = contexts.where(F.lit(False) if least is None else F.col("step") >= least).select("key", "log").toArrow()
-    order = np.argsort(common.column("key").to_numpy())
-    model = spark.sparkContext.broadcast((common.column("key").to_numpy()[order], common.column("log").to_numpy()[order].astype(np.float32)))
+    model = spark.sparkContext.broadcast(ordered(common, common.column("log").to_numpy().astype(np.float32)))
     end_log = float(np.log10((ends or 0) + 0.1)) - scale
 
-    def lookup(keys: np.ndarray, of) -> tuple[np.ndarray, np.ndarray]:
-        table, logs = of.value
-        if not len(table):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        found, back = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(table, found), len(table) - 1)
-        hit = table[at] == found
-        return hit[back], np.where(hit, logs[at].astype(float), 0.0)[back]
-
-    def others(row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, distinct keys in each, and times."""
-        order = np.lexsort((keys, row))
-        row, keys = row[order], keys[order]
-        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else row
-        return row[new], keys[new], np.diff(np.append(new, len(row)))
-
-    names = ["doc_id", "print", "word", "key", "times", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes"]
+    names, of_text = ["doc_id", "print", "word", "key", "times", "of_text"], ["held_out", "n_tokens", "n_known", "base", "score", "n_bytes"]
+    kind = "struct<held_out:boolean,n_tokens:long,n_known:long,base:double,score:double,n_bytes:long>"
+    arrow = pa.struct([pa.field(n, t) for n, t in zip(of_text, (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with what the broadcast tables give, and rows for what they don't hold."""
         for batch in batches:
             data, off = bytesk.column(batch.column(3))
-            for i, j in bytesk.slices(off):
+            for i, j in ((a, min(a + 256, to)) for start, to in bytesk.slices(off) for a in range(start, to, 256)):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 keys, first = word_keys(part, o)
-                hit, logs = lookup(keys, held)
-                sums = lambda x: np.diff(np.append(0, np.cumsum(x))[first])  # noqa: B023, E731
-                row = np.repeat(np.arange(j - i), np.diff(first))
-                found = [(True, *others(row[~hit], keys[~hit]))]
-                out = [np.diff(first) + 1, sums(hit.astype(np.int64)) + bool(ends), sums(logs) + end_log]
-                keys, begin = coded(part, o, depth)
-                hit, logs = lookup(keys, model)
-                row = np.repeat(np.arange(j - i), np.diff(o) + 1)
-                found.append((False, *others(row[~hit], keys[~hit])))
-                out += [np.add.reduceat(logs, begin), np.diff(o) + 1]
+                sums, more = [np.diff(first) + 1], []
+                for word, keys, ends_ in ((True, keys, np.diff(first)), (False, coded(part, o, depth)[0], np.diff(o) + 1)):
+                    row, times, distinct, of = grouped(keys, np.repeat(np.arange(j - i), ends_), word)
+                    hit, logs = lookup(distinct, *(held if word else model).value)
+                    hit = hit[of]
+                    if word:
+                        sums.append(np.bincount(row, times * hit, minlength=j - i).astype(np.int64) + bool(ends))
+                    sums.append(np.bincount(row, times * logs[of], minlength=j - i) + (end_log if word else 0.0))
+                    more.append((word, row[~hit], distinct[of[~hit]], times[~hit]))
+                sums.append(np.diff(o) + 1)
                 one = lambda c, i=i, j=j, batch=batch: batch.column(c).slice(i, j - i)
                 # word is null, so that no key joins these
-                yield pa.RecordBatch.from_arrays([one(0), one(1), pa.nulls(j - i, pa.bool_()), one(1), pa.array(np.zeros(j - i, np.int64)), one(2), *map(pa.array, out)], names=names)
-                for word, row, keys, times in found:
+                yield pa.RecordBatch.from_arrays([one(0), one(1), pa.nulls(j - i, pa.bool_()), one(1), pa.array(np.zeros(j - i, np.int64)), pa.StructArray.from_arrays([one(2), *map(pa.array, sums)], fields=list(arrow))], names=names)
+                for word, row, keys, times in more:
                     if len(row):
                         at = pa.array(row)
-                        none = [pa.nulls(len(row), t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                        yield pa.RecordBatch.from_arrays([one(0).take(at), one(1).take(at), pa.array(np.full(len(row), word)), pa.array(keys), pa.array(times), *none], names=names)
+                        yield pa.RecordBatch.from_arrays([one(0).take(at), one(1).take(at), pa.array(np.full(len(row), word)), pa.array(keys), pa.array(times), pa.nulls(len(row), arrow)], names=names)
 
     marked = base.select("doc_id", F.xxhash64("text").alias("print"), "held_out", "text")
-    scored = marked.mapInArrow(score, "doc_id long, print long, word boolean, key long, times long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
+    scored = marked.mapInArrow(score, f"doc_id long, print long, word boolean, key long, times long, of_text {kind}")
     values = vocabulary.select(F.lit(True).alias("word"), "key", (F.log10(F.col("n") + 0.1) - scale).alias("value"))
     if room < 0:
         less = contexts if least is None else contexts.where(F.col("step") < least)
         values = values.unionAll(less.select(F.lit(False), "key", F.col("log").cast("double")))
     value = F.col("times") * F.coalesce("value", F.log10(F.lit(0.1)) - scale)
     known = F.when(F.col("word") & F.col("value").isNotNull(), F.col("times"))
-    once = [F.first(c, ignorenulls=True).alias(c) for c in ("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")]
+    once = [F.first(f"of_text.{c}", ignorenulls=True).alias(c) for c in of_text]
     more = [F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (("more_known", known), ("more_base", F.when(F.col("word"), value)), ("more_score", F.when(~F.col("word"), value)))]
-    df = scored.join(values, ["word", "key"], "left").groupBy("doc_id", "print").agg(F.count("n_tokens").alias("rows"), *once, *more)
+    df = scored.join(values, ["word", "key"], "left").groupBy("doc_id", "print").agg(F.count("of_text").alias("rows"), *once, *more)
     # rows that repeat have all been summed, and share alike
     df = df.withColumn("each", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     total_score = F.col("score") + F.col("more_score") / F.col("rows")

@@ -48,7 +48,7 @@ def plain_ctw(train, text):
     def steps(t):
         raw = [255] * 3 + list(t.encode()) + [255]
         for k in range(3, len(raw)):
-            kinds = tuple(int(lm.CLASSES[raw[k - d]]) for d in (1, 2, 3))
+            kinds = tuple(raw[k - d] for d in (1, 2, 3))
             node = 1
             for b in range(7, -1, -1):
                 bit = raw[k] >> b & 1
