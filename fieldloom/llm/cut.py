@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where it names none (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it names none, a temporary one serves a local session (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -42,10 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a result of cut() that nothing will read again."""
-    files, at = _folder(df.sparkSession, df._cut)
+    remove(df.sparkSession, df._cut)
+
+
+def remove(spark, path: str) -> None:
+    files, at = _folder(spark, path)
     files.delete(at, True)
 
 
 def small_batches(spark, most: int = 4 << 20) -> None:
-    """Bounds the bytes of an Arrow batch: texts may be long, and a batch is held in the JVM and in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    """Bounds the bytes of an Arrow batch: texts may be long, and a batch is held in the JVM and in Python.
+
+    The planner reads the setting when a result is computed, so it stays for the session; a lower one is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name).removesuffix("b")
+    if not had.isdigit() or int(had) > most:
+        spark.conf.set(name, str(most))

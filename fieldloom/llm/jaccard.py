@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesk
@@ -41,6 +41,7 @@ CHUNK_BYTES = 4 << 20
 LARGE_BYTES = 1 << 17
 FILTER_WORDS = 1 << 20  # 64 bits each
 FANOUT = 8
+HOT, SALTS = 1 << 12, 64
 ONE = np.uint64(1)
 
 
@@ -263,26 +264,46 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return out
 
 
+def with_value(rows: DataFrame, values: DataFrame, value: str, times: str) -> DataFrame:
+    """rows (rep, shingle) with the value of their shingle; values: a row per shingle, times being its number of rows.
+
+    A shingle with more than 1/HOT of all rows is joined in SALTS parts; there are fewer than HOT of them, so they are broadcast to mark their rows.
+    """
+    values = cut(values.select("shingle", *dict.fromkeys((value, times))))
+    hot = values.where(F.col(times) > rows.count() // HOT).select("shingle", F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "shingle", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int"))
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread_ = values.join(F.broadcast(hot), "shingle", "left").select("shingle", value, F.explode(every).alias("salt"))
+    return marked.join(spread_, ["shingle", "salt"]).select("rep", "shingle", value)
+
+
 def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """members: block, rep, h1, n; texts: rep, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(batch.column(3), words))
-            for i, (s, h) in enumerate(zip(sets, batch.column(2).to_pylist(), strict=True)):
+            rows, hashes, held = [], [], 0
+            for i, (s, h) in enumerate(zip(shingle_sets(batch.column(3), words), batch.column(2).to_pylist(), strict=True)):
                 if len(s) and identity(s)[0] == h:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(1)[i].as_py())), pa.array(s.view(np.int64))], names=["rep", "shingle"])
+                    rows.append(np.full(len(s), batch.column(1)[i].as_py()))
+                    hashes.append(s.view(np.int64))
+                    held += len(s)
+                if rows and (held > 1 << 18 or i == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["rep", "shingle"])
+                    rows, hashes, held = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["rep", "shingle"])
 
     rows = members.join(texts, "rep").select("block", "rep", "h1", "text").mapInArrow(spell, "rep long, shingle long")
-    times = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    shared = rows.withColumn("times", times).where("times > 1")
+    rows = cut(rows)
+    shared = with_value(rows, rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times", "times")
     # a set: a row that is there twice counts twice above, which leaves the order the same for all, but is one member
     known = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common")).join(members.select("rep", "n"), "rep")
     # shingles of this document alone come first in its prefix
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
     prefix = cut(known.where(length > 0).select("rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
-    hubs = prefix.groupBy("shingle").agg(F.min("rep").alias("hub"))
-    return prefix.join(hubs, "shingle").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = prefix.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("times"))
+    return with_value(prefix, hubs, "hub", "times").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -340,7 +361,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that are linked, at once or through others, with one of a smaller id; rows that share an id stay or go together."""
+    """docs without the documents that are linked, at once or through others, with one of a smaller id.
+
+    Rows that share an id stay or go together. Rows with a null id stay, and so do null, empty and blank texts, which are
+    linked with nothing; a document all of whose copies have no id is never dropped. Other columns stay as they are; an empty table gives no rows.
+    """
     found = jaccard_components(docs, words, percent, doc_id=doc_id, **options)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns)

@@ -75,3 +75,22 @@ def test_packing_and_run(run):
     assert firsts == per_doc
     key = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
     assert key(whole) == key(after)
+
+
+def test_empty_table_and_nulls(spark, tmp_path):
+    docs = texts.table(spark, texts.rows(3, 40, ids=False)).drop("row", "h1")
+    docs.where("false").write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
+    long = spark.createDataFrame([(None, "A sentence of some words that says little. " * 30 + " " * 1_000_000 + "end", None, None, 5)], docs.schema)
+    docs.union(long).coalesce(4).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert all(r.length >= 1 for r in out) and len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
+def test_hot_shingles_are_joined_in_parts(spark, monkeypatch):
+    from fieldloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    made = [(k, " ".join(["one common passage of six words", f"and then a{k} b{k} c{k % 7} d{k % 5}"])) for k in range(120)] + texts.rows(4, 60)
+    df = jaccard.jaccard_components(texts.table(spark, [(k, t) for k, (_, t) in enumerate(made)]), 3, 60, chunk_bytes=8_000, large_bytes=500)
+    assert sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id").collect())) == sorted(brute.components([(k, t) for k, (_, t) in enumerate(made)], 3, 60))
