@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet and reads
 it again as the next stage's docs. All stages but the last keep the columns of documents.
+
+Rows with nulls: a null text counts as empty and fails the first stage's rules; null ids, languages and sources
+stay in, as the stages' operators define. Of rows that are equal one stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; the stages' tables go to the shared checkpoint folder."""
+    """The rows of the last stage; the stages' tables go to the shared checkpoint folder, each until the next one is written."""
     at = f"{cut.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if k:
+            cut.remove(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
