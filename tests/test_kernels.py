@@ -92,7 +92,7 @@ def test_normal_form_merge_and_languages():
 
 
 @pytest.mark.parametrize(("rule", "path"), [
-    ("div.body > p", "//div[contains(@class, 'body')]/p"), ("#x a[href]", "//*[@id='x']//a[@href]"), ("h1, h2", "//h1 | //h2"), ("a:hover", None), ("a + b", None), ("> a", None), ("[a^='b c'] d", "//*[starts-with(@a, 'b c')]//d"), ("", None),
+    ("div.body > p", "//div[contains(@class, 'body')]/p"), ("#x a[href]", "//*[@id='x']//a[@href]"), ("h1, h2", "//h1 | //h2"), ("a:hover", None), ("a + b", None), ("> a", None), ("[a^='b c'] d", "//*[starts-with(@a, 'b c')]//d"), ("", None), ("a\\:b", None), ("[a='x' i]", None), ("A.b#c", "//a[contains(@class, 'b')][@id='c']"), ("p:not(.x)", None), (None, None), ("h1, a + b", None),
 ])
 def test_readable_xpath(rule, path):
     assert css.readable_xpath(rule) == path
@@ -103,6 +103,11 @@ def test_translated_rules_find_the_same(page, rule):
     assert sorted(dom.visible_text(x) for x in xpath.evaluate(page.tree(False), css.css_to_xpath(rule))) == sorted(texts(page, rule, merge=True))
 
 
+def test_strict_and_partial_translations():
+    assert css.readable_xpath("a.b", strict=True) == "//a[contains(concat(' ', normalize-space(@class), ' '), ' b ')]"
+    assert css.css_to_xpath("h1, a:hover") == "descendant-or-self::*/h1" and css.css_to_xpath("a:hover") is None is css.css_to_xpath(" ")
+
+
 def test_literals():
     assert css.xpath_literal("a") == "'a'" and css.xpath_literal("a'b") == '"a\'b"'
     assert xpath.evaluate(dom.parse("<a/>"), css.xpath_literal("a'b\"c")) == ["a'b\"c"]
@@ -112,14 +117,31 @@ def test_literals():
 def test_generated_regex_fits(page, rule):
     kind = "url" if rule == "nav a" else "text"
     made = regexgen.generate(rule, [PAGE], [page.values(rule, "css", kind, True)], kind)
-    assert made["passed"] == 1 if rule != "nav a" else made["regex"]
+    assert made["passed"] == made["total"] == 1
     assert regexgen.candidates("a + b") == [] == regexgen.candidates("a:hover")
 
 
 def test_generated_regex_counts_nesting():
     html = '<div class="o"><div>a</div>b</div><div>c</div>'
     made = regexgen.generate("div.o", [html], [["a b"]])
-    assert made["strategy"] != "simple" and rx.values(html, made["regex"], "text") == ["a b"]
+    assert made["strategy"].startswith("nested") and rx.values(html, made["regex"], "text") == ["a b"]
+    assert regexgen.Seen.on([dom.parse(html)], css.read("div.o")).depth == 1
+
+
+@pytest.mark.parametrize(("rule", "html", "values"), [
+    (".x", "<p class='a x'>1</p><b data-q='class=x'>2</b><span class=x>3</span>", ["1", "3"]), ("[data-k$='9']", '<i data-k="a9">1</i><i data-k="9a">2</i>', ["1"]), ("p[lang|=en]", "<p lang='en-GB'>1</p><p lang='eng'>2</p>", ["1"]),
+    ("h2, .t b", "<h2>1</h2><div class='t'><b>2</b></div><b>3</b>", ["1", "2"]), ("ul li", "<li>0</li><ul><li>1</li><li>2</li></ul>", ["1", "2"]), ("a[title]", '<a href="x"title="t">1</a><a href=title>2</a>', ["1"]),
+])
+def test_generated_regex_reads_attributes(rule, html, values):
+    made = regexgen.generate(rule, [html], [values])
+    assert made["passed"] == 1 and rx.values(html, made["regex"], "text") == values
+
+
+def test_regex_of_links_in_several_ancestors():
+    html = '<a href="/0">n</a><nav><a class="k" href=/1>1</a><a href=\'/2\'>2</a></nav><a href="/3">3</a>'
+    made = regexgen.generate("nav a", [html], [["/1", "/2"]], "url")
+    assert made["passed"] == 1 and rx.values(html, made["regex"], "url") == ["/1", "/2"]
+    assert regexgen.generate("a:hover", [html], [[]]) is None is regexgen.generate("", [html], [[]])
 
 
 def test_cleaning():
