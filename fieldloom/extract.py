@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import css, dom, rx, xpath
 
-RULE = "struct<rule_id:string,lang:string,kind:string,merge:boolean,rule:string>"
+RULE = "struct<rule_id:string,lang:string,kind:string,merge:boolean,rule:string,ref:string>"
 
 
 def css_elements(tree: dom.Node, rule: str, merge: bool) -> list[dom.Node]:
@@ -69,36 +69,65 @@ class Page:
         raise ValueError(f"unknown rule language: {lang}")
 
 
+#: Rule rows that are sent to all tasks as they are; more are joined to the pages of their layout.
+MAX_SENT = 100_000
+#: Bytes a core gets at least before pages are left in the partitions they came in.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(pages: DataFrame) -> DataFrame:
-    """pages in as many partitions as there are cores at least; larger inputs have them anyway and don't move."""
+    """pages in as many partitions as there are cores, if they are so few bytes that files alone would leave cores idle; larger inputs don't move."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return pages.repartition(cores) if size < cores * SPREAD_BYTES else pages
 
 
 def rule_values(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], html: str = "html") -> DataFrame:
-    """A row per page and rule of its layout: the columns to keep, rule_id, vals (array of strings; empty if nothing matched).
+    """A row per page and rule of its layout: the columns to keep, rule_id, vals (array of strings; empty if nothing matched), ref_vals.
 
     rules: the columns ``on`` that name a layout, rule_id, lang (css, xpath, regex), kind (text, image,
-    url), merge, rule. Rules are gathered per layout and joined to its pages; only the columns needed go to
-    Python, and html goes no further.
+    url), merge, rule (null or empty finds nothing), and if wanted ref: another rule_id of the layout, whose values stand
+    beside in ref_vals. Rules are few as a rule: up to MAX_SENT go to all tasks once, and pages stay where they are. More are
+    gathered per layout and joined to its pages. Only the columns needed go to Python, and html goes no further.
     """
-    sets = rules.groupBy(*on).agg(F.collect_list(F.struct(F.col("rule_id").cast("string"), "lang", "kind", F.coalesce("merge", F.lit(False)).alias("merge"), "rule").cast(RULE)).alias("rules"))
-    work = spread(pages).join(sets, on).select(*keep, F.col(html).alias("html"), "rules")
-    kept = work.select(*keep).schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "rule_id string", "vals array<string>"])
-    n = len(keep)
+    ref = F.col("ref") if "ref" in rules.columns else F.lit(None)
+    flat = rules.select(*on, F.col("rule_id").cast("string").alias("rule_id"), "lang", "kind", F.coalesce("merge", F.lit(False)).alias("merge"), "rule", ref.cast("string").alias("ref"))
+    kept = pages.select(*keep).schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "rule_id string", "vals array<string>", "ref_vals array<string>"])
+    n, m = len(keep), len(on)
+    few = flat.limit(MAX_SENT + 1).collect()
+    sent = None
+    if len(few) <= MAX_SENT:
+        sets: dict[tuple, list] = {}
+        for r in few:
+            sets.setdefault(tuple(r)[:m], []).append(tuple(r)[m:])
+        sent = pages.sparkSession.sparkContext.broadcast({k: v for k, v in sets.items() if None not in k})
+        work = spread(pages).select(*keep, F.col(html).alias("html"), *[F.col(c).alias(f"on_{c}") for c in on])
+    else:
+        each = flat.groupBy(*on).agg(F.collect_list(F.struct("rule_id", "lang", "kind", "merge", "rule", "ref").cast(RULE)).alias("rules"))
+        work = spread(pages).join(each, on).select(*keep, F.col(html).alias("html"), "rules")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, ids, values = [], [], []
-            for i, (html_, rules_) in enumerate(zip(batch.column(n), batch.column(n + 1).to_pylist(), strict=True)):
+            row, ids, values, beside = [], [], [], []
+            if sent is None:
+                listed = [[tuple(r.values()) for r in x] for x in batch.column(n + 1).to_pylist()]
+            else:
+                keys = zip(*[batch.column(n + 1 + k).to_pylist() for k in range(m)], strict=True)
+                listed = [sent.value.get(k, ()) for k in keys]
+            for i, (html_, rules_) in enumerate(zip(batch.column(n), listed, strict=True)):
+                if not rules_:
+                    continue
                 page = Page(html_.as_py())
-                for r in rules_:
-                    row.append(i)
-                    ids.append(r["rule_id"])
-                    values.append(page.values(r["rule"], r["lang"], r["kind"], r["merge"]))
+                found = [(r[0], page.values(r[4], *r[1:4])) for r in rules_]
+                by_id = dict(found)
+                row += [i] * len(rules_)
+                ids += [k for k, _ in found]
+                values += [v for _, v in found]
+                beside += [None if r[5] is None else by_id.get(r[5], []) for r in rules_]
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(n)], pa.array(ids, pa.string()), pa.array(values, pa.list_(pa.string()))], names=[*keep, "rule_id", "vals"])
+            lists = [pa.array(x, pa.list_(pa.string())) for x in (values, beside)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(n)], pa.array(ids, pa.string()), *lists], names=[*keep, "rule_id", "vals", "ref_vals"])
 
     return work.mapInArrow(run, schema)
 

@@ -123,7 +123,10 @@ def joined(values: Column) -> Column:
 def raw_score(gt: Column, pred: Column, metric: Column) -> Column:
     """The unrounded score; null without ground truth, 0 without a prediction."""
     same = F.when(joined(gt) == joined(pred), 1.0).otherwise(0.0)
-    score = F.when(metric == "jaccard", jaccard(without_space(gt), without_space(pred))).when(metric == "exact_match", same).otherwise(word_f1(F.array_join(gt, " "), F.array_join(pred, " ")))
+    # Spark computes this for every row, so rows that don't need it send nulls
+    by_words = ~F.coalesce(metric, F.lit("")).isin("jaccard", "exact_match") & (F.size(gt) > 0) & (F.size(pred) > 0)
+    words_of = word_f1(F.when(by_words, F.array_join(gt, " ")), F.when(by_words, F.array_join(pred, " ")))
+    score = F.when(metric == "jaccard", jaccard(without_space(gt), without_space(pred))).when(metric == "exact_match", same).otherwise(words_of)
     return F.when(F.size(F.coalesce(gt, F.array())) == 0, None).when(F.size(F.coalesce(pred, F.array())) == 0, 0.0).otherwise(score)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from .summaries import pairs_of
 
 
 def _counts(ratings: DataFrame, subject: list[str], category: str, by: list[str]) -> DataFrame:
@@ -53,11 +54,15 @@ def nominal_alpha(ratings: DataFrame, unit: list[str], category: str) -> DataFra
 
 
 def pair_similarities(values: DataFrame) -> DataFrame:
-    """Annotators paired within their cell; values: user, layout_id, page, field, metric, vals (null: no rule, so no value)."""
+    """Annotators paired within their cell: layout_id, page, field, metric, user_a, user_b, a, b, similarity; values: user, layout_id, page, field, metric, vals (null: no rule, so no value).
+
+    A cell's values are gathered in one row (a value per annotator) and paired inside it.
+    """
     key = ["layout_id", "page", "field"]
-    said = values.where("vals is not null")
-    left, right = (said.select(*key, F.col("user").alias(f"user_{s}"), F.col("vals").alias(s), *(["metric"] if s == "a" else [])) for s in "ab")
-    pairs = left.join(right, key).where("user_a < user_b").withColumn("raw", m.raw_score(F.col("a"), F.col("b"), F.col("metric")))
+    cell = values.where("vals is not null").groupBy(*key).agg(F.collect_list(F.struct("user", "vals")).alias("all"), F.min("metric").alias("metric"))
+    pairs = cell.select(*key, "metric", F.explode(pairs_of(F.col("all"), "user")).alias("p"))
+    pairs = pairs.select(*key, "metric", F.col("p.a.user").alias("user_a"), F.col("p.b.user").alias("user_b"), F.col("p.a.vals").alias("a"), F.col("p.b.vals").alias("b"))
+    pairs = pairs.withColumn("raw", m.raw_score(F.col("a"), F.col("b"), F.col("metric")))
     return pairs.withColumn("similarity", m.pair_similarity(F.col("raw"), F.col("a"), F.col("b"))).drop("raw")
 
 

@@ -39,10 +39,11 @@ def experiment_summary(cells: DataFrame) -> DataFrame:
 
 
 def experiment_breakdown(cells: DataFrame, templates: DataFrame) -> DataFrame:
-    """Means of layout means per field, and per template over all fields; templates: layout_id, template_id. One pass over the layouts by grouping sets."""
-    fields = layout_fields(cells).groupBy("exp_id", "field").agg(mean("mean").alias("mean")).select("exp_id", F.lit("field").alias("axis"), F.col("field").alias("value"), "mean")
-    by = layout_summary(cells).join(templates, "layout_id").groupBy("exp_id", "template_id").agg(mean("mean").alias("mean"))
-    return fields.union(by.select("exp_id", F.lit("template"), "template_id", "mean"))
+    """Means by field and by template (templates: layout_id, template_id), both from one pass over the cells as grouping sets."""
+    sets = cells.groupingSets([[*LAYOUT, "field"], LAYOUT], *LAYOUT, "field").agg(mean("score").alias("mean"), F.grouping("field").alias("whole"))
+    named = sets.join(templates.select("layout_id", "template_id"), "layout_id", "left")
+    axis = F.when(F.col("whole") == 1, F.struct(F.lit("template").alias("axis"), F.col("template_id").alias("value"))).otherwise(F.struct(F.lit("field").alias("axis"), F.col("field").alias("value")))
+    return named.withColumn("a", axis).groupBy("exp_id", "a.axis", "a.value").agg(mean("mean").alias("mean"))
 
 
 def label_histogram(cells: DataFrame) -> DataFrame:
@@ -85,25 +86,27 @@ def compare(cells: DataFrame, a: str, b: str) -> DataFrame:
     return x.join(y, "layout_id").withColumn("delta", F.round(F.col("mean_b") - F.col("mean_a"), 4)).orderBy(F.desc_nulls_last(F.abs("delta")), "layout_id")
 
 
-def common_cells(cells: DataFrame) -> DataFrame:
-    """Cells of layouts and pages that every member of the group has."""
-    n = cells.select("exp_id").distinct().agg(F.count(F.lit(1)).alias("members"))
-    both = cells.groupBy("layout_id", "page").agg(F.countDistinct("exp_id").alias("have")).crossJoin(F.broadcast(n)).where("have = members").select("layout_id", "page")
-    return cells.join(both, ["layout_id", "page"], "left_semi")
+def pairs_of(listed: Column, who: str) -> Column:
+    """Pairs (a, b) of an array's structs in the order of their member ``who``."""
+    return F.flatten(F.transform(listed, lambda a: F.transform(F.filter(listed, lambda b: a[who] < b[who]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def cross_check(cells: DataFrame) -> DataFrame:
-    """Per common cell: how far the members' values agree (null if no pair found anything) and how they score on average.
+def cross_check(cells: DataFrame, members: int | None = None) -> DataFrame:
+    """Per cell of the layouts and pages that every member has: how far the members' values agree (null if no pair found anything) and how they score on average.
 
-    cells: exp_id, layout_id, page, field, metric, pred, score. Members are paired within their cell.
+    cells: exp_id, layout_id, page, field, metric, pred, score. members: how many experiments there are, counted if not given.
+    A page's cells are gathered in one row (members times fields), and members are paired inside it: one shuffle, no join.
     """
-    common = common_cells(cells)
-    key = ["layout_id", "page", "field"]
-    left = common.select(*key, "metric", F.col("exp_id").alias("ea"), F.col("pred").alias("a"))
-    right = common.select(*key, F.col("exp_id").alias("eb"), F.col("pred").alias("b"))
-    pairs = left.join(right, key).where("ea < eb").withColumn("raw", m.raw_score(F.col("a"), F.col("b"), F.col("metric")))
-    agree = pairs.withColumn("agree", m.pair_agreement(F.round("raw", 4), F.col("a"), F.col("b"))).groupBy(*key).agg(mean("agree").alias("agree"))
-    return agree.join(common.groupBy(*key).agg(mean("score").alias("gt_mean")), key)
+    n = members or cells.select("exp_id").distinct().count()
+    page = cells.groupBy("layout_id", "page").agg(F.collect_list(F.struct("field", "exp_id", "metric", "pred", "score")).alias("all"))
+    both = page.where(F.size(F.array_distinct(F.col("all.exp_id"))) == n)
+    per = both.withColumn("field", F.explode(F.array_distinct(F.col("all.field")))).select("layout_id", "page", "field", F.filter("all", lambda c: c["field"] == F.col("field")).alias("cell"))
+    scored = F.filter(F.col("cell.score"), lambda s: s.isNotNull())
+    gt_mean = F.round(F.aggregate(scored, F.lit(0.0), lambda x, s: x + s) / F.nullif(F.size(scored), F.lit(0)), 4)
+    pairs = per.select("layout_id", "page", "field", gt_mean.alias("gt_mean"), F.explode_outer(pairs_of(F.col("cell"), "exp_id")).alias("p"))
+    raw = m.raw_score(F.col("p.a.pred"), F.col("p.b.pred"), F.col("p.a.metric"))
+    agree = m.pair_agreement(F.round("raw", 4), F.col("p.a.pred"), F.col("p.b.pred"))
+    return pairs.withColumn("raw", raw).withColumn("agree", F.when(F.col("p").isNotNull(), agree)).groupBy("layout_id", "page", "field").agg(mean("agree").alias("agree"), F.max("gt_mean").alias("gt_mean"))
 
 
 def cross_check_by(checked: DataFrame, by: list[str]) -> DataFrame:

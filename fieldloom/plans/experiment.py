@@ -9,7 +9,8 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..extract import rule_values
@@ -46,11 +47,14 @@ def sample_pages(scope: DataFrame, config: Config = Config()) -> DataFrame:
         return scope.groupBy(*key).agg(F.min("page").alias("sample_page"))
     seed = config.seed
 
-    @F.udf("string")
-    def draw(domain, layout, pages):
-        return random.Random(f"{seed}|{domain}|{layout}").choice(pages)
+    @F.pandas_udf("long")
+    def place(domain: pd.Series, layout: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([random.Random(f"{seed}|{d}|{x}").choice(range(k)) for d, x, k in zip(domain, layout, n, strict=True)], dtype="int64")
 
-    return scope.groupBy(*key).agg(F.sort_array(F.collect_list("page")).alias("pages")).select(*key, draw("domain", "layout_id", "pages").alias("sample_page"))
+    # drawn from the number of pages, a row per layout; then the page of that rank by name
+    drawn = scope.groupBy(*key).agg(F.count("page").alias("n")).where("n > 0").withColumn("place", place("domain", "layout_id", "n"))
+    ranked = scope.where("page is not null").withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("page")) - 1)
+    return ranked.join(drawn, key).where("rank = place").select(*key, F.col("page").alias("sample_page"))
 
 
 def grid(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: DataFrame) -> DataFrame:
@@ -58,23 +62,20 @@ def grid(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules:
 
     pages: layout_id, page, html. fields: layout_id, field, type, metric, merge. gt_rules: layout_id, field,
     rule (CSS). model_rules: exp_id, layout_id, field, lang, rule. Rules of all experiments and of the ground
-    truth run together, so each page is parsed once. A missing rule finds nothing.
+    truth run together, so each page is parsed once, and cells come out of that pass: pages don't shuffle. A missing rule finds
+    nothing. An experiment has cells for the layouts it has a rule row for.
     """
-    kinds = fields.select("layout_id", "field", m.field_kind(F.col("type")).alias("kind"), "merge")
-    gt = gt_rules.select("layout_id", "field", F.lit("css").alias("lang"), "rule", F.lit("").alias("exp_id"))
-    every = gt.unionByName(model_rules.select("layout_id", "field", "lang", "rule", "exp_id")).where("coalesce(rule, '') <> ''").join(kinds, ["layout_id", "field"])
-    rules = every.select("layout_id", F.to_json(F.struct("exp_id", "field")).alias("rule_id"), "lang", "kind", "merge", "rule")
-    found = rule_values(pages, rules, ["layout_id"], ["layout_id", "page"])
-    at = F.from_json("rule_id", "exp_id string, field string")
-    values = found.select("layout_id", "page", at.alias("r"), "vals").select("layout_id", "page", "r.exp_id", "r.field", "vals")
-    # one shuffle gathers a cell's ground truth and all predictions
-    cell = values.groupBy("layout_id", "page", "field").agg(F.max(F.when(F.col("exp_id") == "", F.col("vals"))).alias("gt"), F.map_from_entries(F.collect_list(F.when(F.col("exp_id") != "", F.struct("exp_id", "vals")))).alias("preds"))
-    wanted = pages.select("layout_id", "page").join(fields.select("layout_id", "field", "metric"), "layout_id")
-    members = model_rules.select("layout_id", "exp_id").distinct().groupBy("layout_id").agg(F.collect_list("exp_id").alias("members"))
-    full = wanted.join(members, "layout_id").join(cell, ["layout_id", "page", "field"], "left").withColumn("exp_id", F.explode("members"))
-    none = F.array().cast("array<string>")
-    full = full.select("exp_id", "layout_id", "page", "field", "metric", F.coalesce("gt", none).alias("gt"), F.coalesce(F.element_at("preds", F.col("exp_id")), none).alias("pred"))
-    return summaries.score_cells(full)
+    kinds = fields.select("layout_id", "field", m.field_kind(F.col("type")).alias("kind"), "merge", "metric")
+    # the rules of all cells, missing ones too: a table by layout, not by page
+    members = model_rules.select("layout_id", "exp_id").distinct().join(kinds, "layout_id").join(model_rules.select("layout_id", "exp_id", "field", "lang", "rule"), ["layout_id", "exp_id", "field"], "left")
+    gt = kinds.join(gt_rules.select("layout_id", "field", "rule"), ["layout_id", "field"], "left")
+    name = lambda exp: F.to_json(F.struct(exp.alias("exp_id"), "field", "metric"))
+    rules = members.select("layout_id", name(F.col("exp_id")).alias("rule_id"), F.coalesce("lang", F.lit("css")).alias("lang"), "kind", "merge", "rule", name(F.lit("")).alias("ref"))
+    rules = rules.unionByName(gt.select("layout_id", name(F.lit("")).alias("rule_id"), F.lit("css").alias("lang"), "kind", "merge", "rule", F.lit(None).cast("string").alias("ref")))
+    found = rule_values(pages, rules, ["layout_id"], ["layout_id", "page"]).where("ref_vals is not null")
+    at = F.from_json("rule_id", "exp_id string, field string, metric string")
+    cell = found.withColumn("r", at).select("r.exp_id", "layout_id", "page", "r.field", "r.metric", F.col("ref_vals").alias("gt"), F.col("vals").alias("pred"))
+    return summaries.score_cells(cell)
 
 
 def mark_samples(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -102,8 +103,6 @@ def run(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: D
 
 def regex_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """For CSS rules the regular expressions that give the same values on the given pages of their layout: layout_id, field, regex, strategy, passed, total, tried; rules: layout_id, field, kind, rule. pages must be few per layout (sample pages)."""
-    import pandas as pd
-
     from ..extract import Page
 
     def make(df: pd.DataFrame) -> pd.DataFrame:

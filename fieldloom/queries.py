@@ -320,7 +320,7 @@ h AS (SELECT k.*, g.gt_mean FROM k JOIN (SELECT layout_id, page, field, round(av
 
 @query(f"{CHECKED} SELECT field, round(avg(agree), 4) AS agree, round(avg(gt_mean), 4) AS gt_mean, count(agree) AS n FROM h GROUP BY field")
 def cross_check_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.cross_check_by(summaries.cross_check(study.cells(spark, sf_dir)), ["field"])
+    return summaries.cross_check_by(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), ["field"])
 
 
 def sql_odd(test: str) -> str:
@@ -329,12 +329,12 @@ def sql_odd(test: str) -> str:
 
 @query(sql_odd("agree >= 0.9 AND gt_mean < 0.3"))
 def cross_check_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir)), "suspicious")
+    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), "suspicious")
 
 
 @query(sql_odd("agree < 0.3"))
 def cross_check_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir)), "hard")
+    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), "hard")
 
 
 @query(f"{CELLS}, x AS (SELECT exp_id, label, sum(1 - score) AS lost FROM c WHERE score IS NOT NULL GROUP BY ALL) SELECT exp_id, label, round(lost, 4) AS lost, round(lost / nullif(sum(lost) OVER (PARTITION BY exp_id), 0), 3) AS share FROM x")

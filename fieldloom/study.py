@@ -37,27 +37,46 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", host(F.col("url")).alias("domain"), lang.alias("lang"), F.concat(F.lit("layout-"), lang).alias("layout_id"), name.alias("page"), "url", "html")
 
 
+#: Layouts are known to the driver up to this number; beyond it they stay a plan.
+MAX_LAYOUTS = 10_000
+
+
+def layouts(p: DataFrame) -> DataFrame:
+    """The distinct layouts of pages, read once for a table of pages."""
+    if not hasattr(p, "_layouts"):
+        found = p.select("layout_id").distinct()
+        few = found.limit(MAX_LAYOUTS + 1).collect()
+        p._layouts = p.sparkSession.createDataFrame(few, found.schema) if len(few) <= MAX_LAYOUTS else found
+    return p._layouts
+
+
+def per_layout(p: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """The same rows for every layout: a handful, written into the plan as an array."""
+    table_ = p.sparkSession.createDataFrame(rows, schema).agg(F.collect_list(F.struct(*[x.split()[0] for x in schema.split(", ")])).alias("rows"))
+    return layouts(p).crossJoin(F.broadcast(table_)).select("layout_id", F.explode("rows").alias("r")).select("layout_id", "r.*")
+
+
 def fields(p: DataFrame) -> DataFrame:
-    spark = p.sparkSession
-    return p.select("layout_id").distinct().join(F.broadcast(spark.createDataFrame(FIELDS, "field string, type string, metric string, merge boolean")))
+    return per_layout(p, FIELDS, "field string, type string, metric string, merge boolean")
 
 
 def ruled(p: DataFrame, sets: dict[str, tuple[str, dict[str, str]]], owner: str) -> DataFrame:
     rows = [(name, lang, f, rule) for name, (lang, rules) in sets.items() for f, rule in rules.items()]
-    return p.select("layout_id").distinct().join(F.broadcast(p.sparkSession.createDataFrame(rows, f"{owner} string, lang string, field string, rule string")))
+    return per_layout(p, rows, f"{owner} string, lang string, field string, rule string")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells of the four models, scored, with the sample page marked."""
+def cells(spark: SparkSession, sf_dir: str, models: dict = MODELS) -> DataFrame:
+    """All cells of some models (rule sets), scored, with the sample page marked."""
     p = pages(spark, sf_dir)
     gt = ruled(p, {"gt": ("css", GT)}, "owner").select("layout_id", "field", "rule")
-    scored = experiment.grid(p.select("layout_id", "page", "html"), fields(p), gt, ruled(p, MODELS, "exp_id"))
+    scored = experiment.grid(p.select("layout_id", "page", "html"), fields(p), gt, ruled(p, models, "exp_id"))
     return experiment.mark_samples(scored, p.groupBy("layout_id").agg(F.min("page").alias("sample_page")))
 
 
 def annotator_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user, layout_id, page, field, metric, vals of the three annotators; those without a rule for a field have no row."""
-    p, f = pages(spark, sf_dir), fields(pages(spark, sf_dir))
+    p = pages(spark, sf_dir)
+    f = fields(p)
     rules = ruled(p, {u: ("css", r) for u, r in ANNOTATORS.items()}, "user").join(f, ["layout_id", "field"])
     found = rule_values(p, rules.select("layout_id", F.concat_ws("|", "user", "field").alias("rule_id"), "lang", m.field_kind(F.col("type")).alias("kind"), "merge", "rule"), ["layout_id"], ["layout_id", "page"])
     part = F.split("rule_id", r"\|")
