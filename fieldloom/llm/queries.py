@@ -111,6 +111,25 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::B
 FROM n"""
 
 
+SQL_LINES = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
+m AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, max(doc_id) AS largest FROM m WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < largest) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (largest IS NULL OR doc_id >= largest), '')) AS kept_sha256
+FROM m LEFT JOIN h USING (key) GROUP BY doc_id"""
+
+SQL_SUBSTRING = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+b AS (SELECT doc_id, i FROM g JOIN f USING (h) WHERE first < doc_id),
+x AS (SELECT u.doc_id, u.k, word, max(b.i) OVER (PARTITION BY u.doc_id ORDER BY u.k) AS last FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d) AS u LEFT JOIN b ON u.doc_id = b.doc_id AND u.k = b.i),
+r AS (SELECT doc_id, count(*) FILTER (last >= k - 49) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (last IS NULL OR last < k - 49) AS kept FROM x GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in values) + "]"
 
@@ -151,7 +170,9 @@ FROM y"""
 
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": SQL_LINES,
     "op5_exact_dedup": SQL_EXACT,
+    "op6_substring_dedup": SQL_SUBSTRING,
     "op8_mixing": SQL_MIXING,
     "op9_quality_rules": sql_quality(),
 }
