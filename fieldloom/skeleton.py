@@ -12,17 +12,37 @@ from pyspark.sql.functions import pandas_udf
 from .clean import drop, glued_text, hidden, live, spaced_text, within
 from .dom import Node, parse
 
-#: Tags, words in class or id, and attributes that decide what is left.
-NOISE_TAGS = frozenset("script style iframe noscript nav form button input select textarea svg canvas video audio".split())
-NOISE_WORDS = ("adv", "adrenderer", "medyanet", "dfp", "adservice", "advertisement", "banner", "sponsor", "promo", "cookie", "popup", "modal", "overlay", "gdpr", "social-share", "share-bar", "newsletter", "related-articles", "recommended")
-DATA_ATTRS = ("data-article", "data-block", "data-component", "data-id", "data-module", "data-section", "data-testid", "data-trackable", "data-type", "data-widget")
-STAY_EMPTY = frozenset("h1 h2 h3 h4 h5 h6 main article section header p time figure figcaption address".split())
-UNITS = "px rem em vh vw % pt ch ex fr deg".split()
-UTILITY = frozenset("flex box width height col row gap font text bg color opacity shadow border rounded transition transform display position overflow cursor align justify layout".split())
-SHORT_WORDS = frozenset("""text body main col row nav tag date img btn top sub box bar tab bio map by list all for new set get use add app end rich open
-    left read dark hide show next prev last item card hero page link wrap ads cta src alt rel ref wp name post type form data grid side full meta
-    info user logo icon feed more back site head foot menu tags cats byline author b t x y""".split())
-NAMESPACES = frozenset("c l u o t is has js qa".split())
+#: Tags, words in class or id, attributes and parts of class names that decide what is left.
+NOISE_TAGS = (
+    "script", "style", "iframe", "noscript", "nav", "form", "button", "input", "select", "textarea", "svg", "canvas", "video", "audio",
+)
+NOISE_WORDS = (
+    "adv", "adRenderer", "medyanet", "dfp", "adservice", "advertisement", "banner", "sponsor", "promo", "cookie", "popup", "modal", "overlay", "gdpr",
+    "social-share", "share-bar", "newsletter", "related-articles", "recommended",
+)
+DATA_ATTRS = (
+    "data-testid", "data-trackable", "data-type", "data-component", "data-widget", "data-id", "data-module", "data-section", "data-block", "data-article",
+)
+STAY_EMPTY = (
+    "h1", "h2", "h3", "h4", "h5", "h6", "main", "article", "section", "header", "p", "time", "figure", "figcaption", "address",
+)
+UNITS = (
+    "px", "rem", "em", "vh", "vw", "%", "pt", "ch", "ex", "fr", "deg",
+)
+UTILITY = (
+    "flex", "box", "width", "height", "col", "row", "gap", "font", "text", "bg", "color", "opacity", "shadow", "border", "rounded", "transition",
+    "transform", "display", "position", "overflow", "cursor", "align", "justify", "layout",
+)
+SHORT_WORDS = (
+    "text", "body", "main", "col", "row", "nav", "tag", "date", "img", "btn", "top", "sub", "box", "bar", "tab", "bio", "map", "by", "list", "all", "for",
+    "new", "set", "get", "use", "add", "app", "end", "rich", "open", "left", "read", "dark", "hide", "show", "next", "prev", "last", "item", "card",
+    "hero", "page", "link", "wrap", "ads", "cta", "src", "alt", "rel", "ref", "wp", "name", "post", "type", "form", "data", "grid", "side", "full",
+    "meta", "info", "user", "logo", "icon", "feed", "more", "back", "site", "head", "foot", "menu", "tags", "cats", "byline", "author", "b", "t", "x",
+    "y",
+)
+NAMESPACES = (
+    "c", "l", "u", "o", "t", "is", "has", "js", "qa",
+)
 REPEATABLE = frozenset("p td tr dd dt blockquote figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_TAGS = HEADINGS | frozenset("span div li td time small cite address a p figcaption blockquote".split())
@@ -32,46 +52,60 @@ SHORT = 80
 _UNIT = re.compile(r"\d+(?:\.\d+)?(?:" + "|".join(map(re.escape, UNITS)) + r")$")
 
 
+def generated(part: str) -> bool:
+    """Whether a short piece looks like a hash: digits, several capitals inside, or hardly a vowel."""
+    letters = [c for c in part if c.isalpha()]
+    vowels = sum(c in "aeiouAEIOU" for c in letters)
+    unspoken = len(part) <= 6 and bool(letters) and vowels < 0.25 * len(letters)
+    return part.isalnum() and len(part) <= 7 and (unspoken or any(map(str.isdigit, part)) or sum(map(str.isupper, part[1:])) >= 2)
+
+
+#: What a piece of a class name tells, by the first of these that holds.
+PIECE_RULES = (
+    (lambda p: p[:1] in ("", "_"), False),
+    (lambda p: p in SHORT_WORDS, True),
+    (generated, False),
+    (lambda p: p.lower() != p or _UNIT.match(p.strip("[]")), True),
+    (lambda p: len(p) >= 5 and ("_" in p or p.isalpha()), True),
+)
+
+
 def telling(part: str) -> bool:
     """Whether a piece of a class name means something, rather than being generated."""
-    if not part or part[0] == "_":
-        return False
-    if part in SHORT_WORDS:
-        return True
-    letters = [c for c in part if c.isalpha()]
-    digits = any(c.isdigit() for c in part)
-    if part.isalnum() and len(part) <= 7:
-        vowels = sum(c in "aeiouAEIOU" for c in letters)
-        if digits or sum(c.isupper() for c in part[1:]) >= 2 or len(part) <= 6 and letters and vowels / len(letters) < 0.25:
-            return False
-    if any(c.isupper() for c in part) or _UNIT.match(part.strip("[]")):
-        return True
-    if "_" in part and len(part) >= 5:
-        return True
-    return not digits and part.isalpha() and len(part) >= 5
+    return next((verdict for holds, verdict in PIECE_RULES if holds(part)), False)
+
+
+def without_hash(token: str) -> str:
+    """A name without a generated suffix behind two underscores."""
+    hashed = re.fullmatch(r"(.+)__([^\W_]+)", token, re.DOTALL)
+    return hashed[1] if hashed and not telling(hashed[2]) else token
+
+
+def modified(token: str) -> str | None:
+    """A name with a modifier, unless it modifies a utility; "" if it has none."""
+    base, dashes, _ = token.partition("--")
+    last = base[max(base.rfind("-") + 1, base.rfind("__") + 2 if "__" in base else 0) :]
+    return "" if not dashes else None if base in UTILITY or last in UTILITY else token
+
+
+def pieced(token: str) -> str | None:
+    """The telling pieces of a name, in asterisks if others went; a short letter suffix stays."""
+    parts = token.split("-")
+    stays = [telling(p) for p in parts]
+    if not any(stays) or all(stays):
+        return token if all(stays) else None
+    stays[-1] = stays[-1] or len(parts[-1]) <= 2 and parts[-1].isalpha()
+    return "*" + "-".join(p for p, ok in zip(parts, stays, strict=True) if ok) + "*"
 
 
 def class_token(token: str) -> str | None:
     """A class name as it is, in asterisks what is left of it without generated pieces, or None."""
-    head, mark, tail = token.rpartition("__")
-    if mark and head and tail.isalnum() and not telling(tail):
-        token = head
-    base, modified, _ = token.partition("--")
-    if modified:
-        word = base.rpartition("__")[2].rpartition("-")[2]
-        return None if word in UTILITY or base in UTILITY else token
-    parts = token.split("-")
-    if re.match(r"[a-z]{1,3}-\d{1,4}$", token) or len(parts) > 1 and parts[0] in NAMESPACES:
-        return token
-    good = [p for p in parts if telling(p)]
-    if len(good) == len(parts):
-        return token
-    if not good:
-        return None
-    last = parts[-1]
-    if len(last) <= 2 and last.isalpha() and not telling(last):
-        good.append(last)
-    return f"*{'-'.join(good)}*"
+    token = without_hash(token)
+    with_modifier = modified(token)
+    if with_modifier != "":
+        return with_modifier
+    grid = re.match(r"[a-z]{1,3}-\d{1,4}$", token)
+    return token if grid or "-" in token and token.split("-")[0] in NAMESPACES else pieced(token)
 
 
 def count(n: Node, *tags: str) -> int:
