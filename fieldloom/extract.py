@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import css, dom, rx, xpath
 
-RULE = "struct<rule_id:string,lang:string,kind:string,merge:boolean,rule:string,ref:string>"
-
 
 def css_elements(tree: dom.Node, rule: str, merge: bool) -> list[dom.Node]:
     """Elements of all alternatives if they merge, else of the first one that has any."""
@@ -82,21 +82,16 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if size < cores * SPREAD_BYTES else pages
 
 
-def rule_values(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], html: str = "html") -> DataFrame:
-    """A row per page and rule of its layout: the columns to keep, rule_id, vals (array of strings; empty if nothing matched), ref_vals.
+def over_rules(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], kernel: Callable[[Page, list[tuple]], Iterable[tuple]], schema: str, html: str = "html") -> DataFrame:
+    """What kernel gives for each page and the rules of its layout: the columns to keep, and those of schema.
 
-    rules: the columns ``on`` that name a layout, rule_id, lang (css, xpath, regex), kind (text, image,
-    url), merge, rule (null or empty finds nothing), and if wanted ref: another rule_id of the layout, whose values stand
-    beside in ref_vals. Rules are few as a rule: up to MAX_SENT go to all tasks once, and pages stay where they are. More are
-    gathered per layout and joined to its pages. Only the columns needed go to Python, and html goes no further.
+    rules: the columns ``on`` that name a layout, and the kernel's columns in order. Rules are few as a rule: up to MAX_SENT go to
+    all tasks once, and pages stay where they are. More are gathered per layout and joined to its pages. Only the columns
+    needed go to Python, and html goes no further. Pages of layouts without rules give nothing.
     """
-    ref = F.col("ref") if "ref" in rules.columns else F.lit(None)
-    flat = rules.select(*on, F.col("rule_id").cast("string").alias("rule_id"), "lang", "kind", F.coalesce("merge", F.lit(False)).alias("merge"), "rule", ref.cast("string").alias("ref"))
-    kept = pages.select(*keep).schema
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "rule_id string", "vals array<string>", "ref_vals array<string>"])
-    n, m = len(keep), len(on)
-    few = flat.limit(MAX_SENT + 1).collect()
-    sent = None
+    own = [c for c in rules.columns if c not in on]
+    few = rules.select(*on, *own).limit(MAX_SENT + 1).collect()
+    n, m, sent = len(keep), len(on), None
     if len(few) <= MAX_SENT:
         sets: dict[tuple, list] = {}
         for r in few:
@@ -104,32 +99,47 @@ def rule_values(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[st
         sent = pages.sparkSession.sparkContext.broadcast({k: v for k, v in sets.items() if None not in k})
         work = spread(pages).select(*keep, F.col(html).alias("html"), *[F.col(c).alias(f"on_{c}") for c in on])
     else:
-        each = flat.groupBy(*on).agg(F.collect_list(F.struct("rule_id", "lang", "kind", "merge", "rule", "ref").cast(RULE)).alias("rules"))
+        each = rules.groupBy(*on).agg(F.collect_list(F.struct(*own)).alias("rules"))
         work = spread(pages).join(each, on).select(*keep, F.col(html).alias("html"), "rules")
+    out = StructType([*pages.select(*keep).schema.fields, *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, ids, values, beside = [], [], [], []
             if sent is None:
                 listed = [[tuple(r.values()) for r in x] for x in batch.column(n + 1).to_pylist()]
             else:
                 keys = zip(*[batch.column(n + 1 + k).to_pylist() for k in range(m)], strict=True)
-                listed = [sent.value.get(k, ()) for k in keys]
-            for i, (html_, rules_) in enumerate(zip(batch.column(n), listed, strict=True)):
-                if not rules_:
-                    continue
-                page = Page(html_.as_py())
-                found = [(r[0], page.values(r[4], *r[1:4])) for r in rules_]
-                by_id = dict(found)
-                row += [i] * len(rules_)
-                ids += [k for k, _ in found]
-                values += [v for _, v in found]
-                beside += [None if r[5] is None else by_id.get(r[5], []) for r in rules_]
+                listed = [sent.value.get(k, []) for k in keys]
+            row, made = [], []
+            for i, (text, mine) in enumerate(zip(batch.column(n), listed, strict=True)):
+                if mine:
+                    made += kernel(Page(text.as_py()), mine)
+                    row += [i] * (len(made) - len(row))
             at = pa.array(row, pa.int32())
-            lists = [pa.array(x, pa.list_(pa.string())) for x in (values, beside)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(n)], pa.array(ids, pa.string()), *lists], names=[*keep, "rule_id", "vals", "ref_vals"])
+            columns = zip(*made, strict=True) if made else [()] * (len(arrow) - n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at).cast(arrow.field(k).type) for k in range(n)], *[pa.array(c, arrow.field(n + k).type) for k, c in enumerate(columns)]], schema=arrow)
+
+    return work.mapInArrow(run, out)
+
+
+def found_values(page: Page, rules: list[tuple]) -> Iterator[tuple]:
+    """(rule_id, vals, ref_vals) for rules (rule_id, lang, kind, merge, rule, ref)."""
+    vals = [page.values(rule, lang, kind, bool(merge)) for _, lang, kind, merge, rule, _ in rules]
+    by_id = {r[0]: v for r, v in zip(rules, vals, strict=True)}
+    return ((r[0], v, None if r[5] is None else by_id.get(r[5], [])) for r, v in zip(rules, vals, strict=True))
 
-    return work.mapInArrow(run, schema)
+
+def rule_values(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], html: str = "html") -> DataFrame:
+    """A row per page and rule of its layout: the columns to keep, rule_id, vals (array of strings; empty if nothing matched), ref_vals.
+
+    rules: the columns ``on`` that name a layout, rule_id, lang (css, xpath, regex), kind (text, image,
+    url), merge, rule (null or empty finds nothing), and if wanted ref: another rule_id of the layout, whose values stand
+    beside in ref_vals.
+    """
+    ref = F.col("ref") if "ref" in rules.columns else F.lit(None)
+    flat = rules.select(*on, F.col("rule_id").cast("string").alias("rule_id"), "lang", "kind", "merge", "rule", ref.cast("string").alias("ref"))
+    return over_rules(pages, flat, on, keep, found_values, "rule_id string, vals array<string>, ref_vals array<string>", html)
 
 
 def catalyst_regex_values(html, pattern: str, group: int = 1):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
@@ -102,8 +102,8 @@ def content_alpha(values: DataFrame, by: str = "field", max_pairs: int = 20_000)
     observed = inner.groupBy(by).agg(F.sum(2 * F.col("d") / (F.col("m") - 1)).alias("s"))
     size = said.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(*key).alias("units"))
     # places in the order: by slices of the hash, so that a field's values needn't meet in one task
-    order = F.xxhash64(*[F.col(c) for c in (*key, "user")])
-    sliced = said.select(by, "metric", "vals", *[c for c in (*key, "user") if c != by], order.alias("o")).withColumn("slice", F.shiftrightunsigned("o", 54))
+    order = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (*key, "user")]))
+    sliced = said.select(by, "metric", "vals", *[c for c in (*key, "user") if c != by], order.alias("o")).withColumn("slice", F.substring("o", 1, 3))
     before = sliced.groupBy(by, "slice").agg(F.count(F.lit(1)).alias("k_count")).withColumn("before", F.sum("k_count").over(Window.partitionBy(by).orderBy("slice")) - F.col("k_count"))
     within = Window.partitionBy(by, "slice").orderBy("o", *key, "user")
     place = (F.col("before") + F.row_number().over(within) - 1).alias("place")
@@ -115,3 +115,52 @@ def content_alpha(values: DataFrame, by: str = "field", max_pairs: int = 20_000)
     expected = outer.groupBy(by).agg(F.avg("d").alias("d_e"))
     both = observed.join(size, by).join(expected, by).withColumn("d_o", F.col("s") / F.col("n"))
     return both.select(by, F.round(F.when(F.col("d_e") == 0, 1.0).otherwise(1 - F.col("d_o") / F.nullif("d_e", F.lit(0.0))), 3).alias("alpha"), "units", F.col("n").alias("n_values"))
+
+
+def _rounded(c: str) -> Column:
+    return F.round(c, 3).alias(c)
+
+
+def exact_share(rules: DataFrame, by: list[str], subject: list[str]) -> DataFrame:
+    """Share of pairs of annotators of a subject whose rules are the same, over all pairs of a group; rules: by, subject, rule (normalised; null and empty ones are no rules). From counts, without pairs."""
+    per = rules.where("coalesce(rule, '') <> ''").groupBy(*by, *subject, "rule").agg(F.count(F.lit(1)).alias("k_count"))
+    each = per.groupBy(*by, *subject).agg(F.sum("k_count").alias("n"), F.sum(F.col("k_count") * (F.col("k_count") - 1)).alias("same"))
+    return each.groupBy(*by).agg(F.round(F.sum("same") / F.nullif(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0)), 3).alias("rule_exact_share"))
+
+
+def field_study(pairs: DataFrame, values: DataFrame, rules: DataFrame, alpha: DataFrame | None = None) -> DataFrame:
+    """Agreement per field: metric, layouts (subjects rated twice or more), kappa, observed agreement and exact share of rules, content alpha, units and mean similarity.
+
+    pairs: pair_similarities(values). rules: layout_id, field, user, rule (normalised). alpha: content_alpha(values) if
+    known already. A field without enough ratings has nulls.
+    """
+    kappa = fleiss_kappa(rules, ["layout_id"], "rule", ["field"]).select("field", F.col("n_subjects").alias("layouts"), F.round("kappa", 3).alias("rule_kappa"), F.round("po", 3).alias("rule_po"))
+    alpha = (content_alpha(values) if alpha is None else alpha).select("field", F.col("alpha").alias("content_alpha"), F.col("units").alias("content_units"))
+    similar = pairs.groupBy("field").agg(F.min("metric").alias("metric"), F.round(F.avg("similarity"), 3).alias("content_similarity"))
+    df = rules.select("field").distinct()
+    for part in (similar, kappa, exact_share(rules, ["field"], ["layout_id"]), alpha):
+        df = df.join(part, "field", "left")
+    return df.na.fill(0, ["layouts", "content_units"]).select("field", "metric", "layouts", "rule_kappa", "rule_po", "rule_exact_share", "content_alpha", "content_units", "content_similarity")
+
+
+def pooled_kappa(rules: DataFrame) -> DataFrame:
+    """Kappa per language and field with layouts as subjects; rules: layout_id, lang, field, user, rule."""
+    return fleiss_kappa(rules, ["layout_id"], "rule", ["lang", "field"]).select("lang", "field", *[_rounded(c) for c in ("kappa", "po", "pe")], "n_subjects")
+
+
+def against_reference(texts: DataFrame) -> DataFrame:
+    """Each annotator's text of a cell against the reference: em, jac, r1, r2, rl, and in each row who comes closest (suggested_user, suggested_rule).
+
+    texts: cell columns layout_id, page, field, user, ord, rule, text (null or empty: found nothing), gt (the approved rule's text, or null).
+    Without one the reference is the first other text that differs, else the text itself. The best has the highest rl, of equal ones the first.
+    """
+    key = ["layout_id", "page", "field"]
+    said = texts.where("coalesce(text, '') <> ''")
+    cell = said.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ord", "user", "rule", "text"))).alias("all"), F.max(F.nullif("gt", F.lit(""))).alias("gt"))
+    each = cell.select(*key, "all", "gt", F.explode("all").alias("me"))
+    other = F.get(F.filter("all", lambda o: o["text"] != F.col("me.text")), F.lit(0))["text"]
+    ref = F.coalesce("gt", other, F.col("me.text"))
+    df = each.select(*key, F.col("me.user").alias("user"), F.col("me.ord").alias("ord"), F.col("me.rule").alias("rule"), F.col("me.text").alias("text"), ref.alias("ref"))
+    df = df.withColumns({"em": (F.col("text") == F.col("ref")).cast("int"), "jac": m.token_jaccard(F.col("text"), F.col("ref")), "r1": m.rouge_n(F.col("text"), F.col("ref"), 1), "r2": m.rouge_n(F.col("text"), F.col("ref"), 2), "rl": m.rouge_l("text", "ref")})
+    best = F.max_by(F.struct("user", "rule"), F.struct("rl", -F.col("ord"))).over(Window.partitionBy(*key))
+    return df.withColumn("best", best).select(*key, "user", "em", "jac", "r1", "r2", "rl", F.col("best.user").alias("suggested_user"), F.col("best.rule").alias("suggested_rule"))

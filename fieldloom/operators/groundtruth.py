@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RULE = "coalesce(rule, '') <> ''"
@@ -140,3 +140,57 @@ def export_rows(layouts: DataFrame, rules: DataFrame, fields: DataFrame, scope:
     n = scope.groupBy("domain", "layout_id").agg(F.count(F.lit(1)).alias("page_count"))
     df = layouts.join(rules, ["domain", "layout_id"]).join(fields.select("template_id", "field", "metric"), ["template_id", "field"], "left").join(n, ["domain", "layout_id"], "left")
     return df.select("domain", "layout_id", F.coalesce("name", "layout_id").alias("layout_name"), F.coalesce("page_type", F.lit("article")).alias("page_type"), "template_id", "field", F.col("rule").alias("selector"), F.coalesce("metric", F.lit("rouge")).alias("metric"), F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"))
+
+
+def user_activity(annotations: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Per user: sites with annotations, last change, experiments started; users of either kind. annotations: user, domain, updated_at; experiments: exp_id, created_by."""
+    wrote = annotations.groupBy("user").agg(F.countDistinct("domain").alias("sites"), F.max("updated_at").alias("last_annotation"))
+    began = experiments.where("coalesce(created_by, '') <> ''").groupBy(F.col("created_by").alias("user")).agg(F.count(F.lit(1)).alias("experiments"))
+    return wrote.join(began, "user", "full").na.fill(0, ["sites", "experiments"])
+
+
+def annotated_pages(assignments: DataFrame) -> DataFrame:
+    """Pages that any annotator has assigned to a layout, each once, in order: the page set a layout is compiled with."""
+    return assignments.where("layout_id is not null and not coalesce(skipped, false)").select("domain", "layout_id", "page").distinct().orderBy("domain", "layout_id", "page")
+
+
+def safe_name(name: Column) -> Column:
+    """Whether a name is a single part of a path that can't leave its folder; null isn't."""
+    return F.coalesce((F.length(name) <= 255) & ~name.isin("", ".", "..") & ~name.rlike(r"[/\\\x00:]"), F.lit(False))
+
+
+def search(experiments: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """Experiments with the text in any of some columns, whatever the case; all of them for an empty text."""
+    return experiments.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(text.strip().lower())))
+
+
+def slim(experiments: DataFrame, columns: list[str]) -> DataFrame:
+    """Listed columns only; dotted names reach into structs and are named by their last part, so that readers prune what isn't listed."""
+    return experiments.select(*[F.col(c).alias(c.rpartition(".")[2]) for c in columns])
+
+
+SECRET = r"(?i)(^|[_-])(api[_-]?key|key|token|secret|password|authorization)$"
+
+
+def backend_snapshot(params: Column) -> Column:
+    """A map of a backend's settings without secrets, as an experiment keeps them."""
+    return F.map_filter(params, lambda k, v: ~k.rlike(SECRET))
+
+
+def may_change(owner: Column, user: str, is_admin: bool) -> Column:
+    """Who may change a template or prompt: its owner and administrators."""
+    return F.lit(True) if is_admin else F.coalesce(owner == user, F.lit(False))
+
+
+def change_owned(table: DataFrame, changes: DataFrame, key: str, user: str, is_admin: bool = False) -> DataFrame:
+    """A table of templates or prompts after a user's changes: rows with op "put" are new or replace what the user may change, "delete" removes it; others stay as they are.
+
+    table: key, owner and more; changes: key, op, and the table's other columns. What replaces a row keeps its owner; a new row is the user's.
+    """
+    asked = changes.withColumnsRenamed({c: f"new_{c}" for c in changes.columns})
+    both = table.join(asked, table[key] == asked[f"new_{key}"], "full")
+    there, allowed = F.col(key).isNotNull(), F.col(key).isNull() | may_change(F.col("owner"), user, is_admin)
+    acts = F.col("new_op").isNotNull() & allowed
+    kept = both.where(~(F.coalesce(acts, F.lit(False)) & (F.col("new_op") == "delete")) | F.col("new_op").isNull())
+    pick = lambda c: (F.when(there, F.col("owner")).when(acts, F.lit(user)) if c == "owner" else F.when(acts, F.col(f"new_{c}")).otherwise(F.col(c))).alias(c)
+    return kept.where(there | (F.col("new_op") == "put")).select(*[pick(c) for c in table.columns])

@@ -176,11 +176,23 @@ def regex_places(found: DataFrame) -> DataFrame:
 
 
 def rule_coverage(values: DataFrame) -> DataFrame:
-    """Pages on which a rule finds something, and those on which not; values: layout_id, field, page, vals."""
-    return values.groupBy("layout_id", "field").agg(F.sum((F.size("vals") > 0).cast("long")).alias("matched"), F.count(F.lit(1)).alias("total"), F.sort_array(F.collect_list(F.when(F.size("vals") == 0, F.col("page")))).alias("empty_pages"))
+    """How many pages a rule finds something on, of how many, and on how many not (empty_pages has them); values: layout_id, field, page, vals."""
+    return values.groupBy("layout_id", "field").agg(F.sum((F.size("vals") > 0).cast("long")).alias("matched"), F.count(F.lit(1)).alias("total"), F.sum((F.size("vals") == 0).cast("long")).alias("n_empty"))
+
+
+def empty_pages(values: DataFrame) -> DataFrame:
+    """The pages on which a rule finds nothing, a row each: a list per layout would grow with it."""
+    return values.where(F.size("vals") == 0).select("layout_id", "field", "page")
 
 
 def required_pass(values: DataFrame) -> DataFrame:
     """Pages on which every required rule finds something; values: layout_id, page, field, optional, vals."""
     page = values.groupBy("layout_id", "page").agg(F.bool_and((F.size("vals") > 0) | F.col("optional")).alias("passed"))
     return page.groupBy("layout_id").agg(F.sum(F.col("passed").cast("long")).alias("pass_count"), F.count(F.lit(1)).alias("total"))
+
+
+def rescored(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Experiments scored anew against another reference: both means, the change, and whether the order by mean stayed. before, after: exp_id, mean."""
+    both = before.select("exp_id", F.col("mean").alias("mean_before")).join(after.select("exp_id", F.col("mean").alias("mean_after")), "exp_id")
+    place = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(c), "exp_id"))
+    return both.withColumn("change", F.round(F.col("mean_after") - F.col("mean_before"), 4)).withColumn("same_place", place("mean_before") == place("mean_after"))

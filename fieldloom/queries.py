@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clean, css, extract, regexgen, responses, skeleton, study
+from . import clean, css, extract, responses, skeleton, study
 from .functions import metrics as m
-from .operators import agreement, groundtruth, maintenance, summaries
-from .plans import experiment
+from .operators import agreement, groundtruth, maintenance, rules as ruling, summaries
+from .plans import experiment, workflow
 from .sinks import exports
 from .sources import study as sources
 
@@ -91,7 +91,12 @@ def sql_members(sets: dict[str, tuple[str, ...]], owner: str) -> str:
     return " UNION ALL ".join(rows)
 
 
-CELLS = f"""WITH {FOUND}, g AS ({sql_members({"strong-css": STRONG, "weak-css": WEAK, "strong-xpath": STRONG, "regex": STRONG}, "exp_id")}),
+def sql_cells(sets: dict[str, tuple[str, ...]]) -> str:
+    return CELLS.replace(sql_members(BY_MODEL, "exp_id"), sql_members(sets, "exp_id"))
+
+
+BY_MODEL = {"strong-css": STRONG, "weak-css": WEAK, "strong-xpath": STRONG, "regex": STRONG}
+CELLS = f"""WITH {FOUND}, g AS ({sql_members(BY_MODEL, "exp_id")}),
 r AS (SELECT *, {sql_score("gt", "pred")} AS raw, page = min(page) OVER (PARTITION BY layout_id) AS is_sample FROM g),
 c AS (SELECT exp_id, layout_id, page, field, metric, gt, pred, is_sample, round(raw, 4) AS score,
   CASE WHEN len(gt) = 0 THEN 'NO_GT' WHEN len(pred) = 0 THEN 'MISS' WHEN raw >= 0.9 THEN 'MATCH' WHEN raw > 0 THEN 'PARTIAL' ELSE 'WRONG' END AS label FROM r),
@@ -194,7 +199,8 @@ def sql_rows(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({columns})"
 
 
-@query()
+@query(f"""WITH k AS (SELECT * FROM {sql_rows([*zip(TOKENS, KEPT, strict=True), ("ad", None)], "token, kept")}), t AS (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS token FROM pages UNION ALL SELECT token FROM k WHERE token <> 'ad')
+SELECT token, kept, count(*) AS n FROM t LEFT JOIN k USING (token) GROUP BY ALL""")
 def class_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = study.table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('class="([^"]*)"'), F.lit(1))).alias("token"))
     names = tokens.union(spark.createDataFrame([(t,) for t in TOKENS], "token string")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -323,18 +329,23 @@ def cross_check_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.cross_check_by(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), ["field"])
 
 
-def sql_odd(test: str) -> str:
-    return f"{CHECKED} SELECT layout_id, field, count(*) AS n, round(avg(agree), 4) AS agree, round(avg(gt_mean), 4) AS gt_mean FROM h WHERE {test} GROUP BY ALL ORDER BY n DESC, layout_id, field LIMIT 30"
+def sql_odd(sets: dict[str, tuple[str, ...]], test: str) -> str:
+    return f"{CHECKED.replace(CELLS, sql_cells(sets))} SELECT layout_id, field, count(*) AS n, round(avg(agree), 4) AS agree, round(avg(gt_mean), 4) AS gt_mean FROM h WHERE {test} GROUP BY ALL ORDER BY n DESC, layout_id, field LIMIT 30"
 
 
-@query(sql_odd("agree >= 0.9 AND gt_mean < 0.3"))
+#: Two models with the same mistakes in two languages, and two that differ.
+ALIKE = {"weak-css": study.MODELS["weak-css"], "weak-xpath": ("xpath", {"title": "//title", "body": "//article/h1", "links": "//nav/ul//li//a[@href]", "ad": None, "footer": "//div[@class='ad']"})}
+UNLIKE = {"weak-css": study.MODELS["weak-css"], "regex": study.MODELS["regex"]}
+
+
+@query(sql_odd({"weak-css": WEAK, "weak-xpath": WEAK}, "agree >= 0.9 AND gt_mean < 0.3"))
 def cross_check_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), "suspicious")
+    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir, ALIKE), 2), "suspicious")
 
 
-@query(sql_odd("agree < 0.3"))
+@query(sql_odd({"weak-css": WEAK, "regex": STRONG}, "agree < 0.3"))
 def cross_check_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir), len(study.MODELS)), "hard")
+    return summaries.odd_cells(summaries.cross_check(study.cells(spark, sf_dir, UNLIKE), 2), "hard")
 
 
 @query(f"{CELLS}, x AS (SELECT exp_id, label, sum(1 - score) AS lost FROM c WHERE score IS NOT NULL GROUP BY ALL) SELECT exp_id, label, round(lost, 4) AS lost, round(lost / nullif(sum(lost) OVER (PARTITION BY exp_id), 0), 3) AS share FROM x")
@@ -370,7 +381,7 @@ def over_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CELLS} SELECT layout_id, field, count(*) FILTER (len(pred) > 0) AS matched, count(*) AS total, len(list(page) FILTER (len(pred) = 0)) AS n_empty FROM c WHERE exp_id = 'weak-css' GROUP BY ALL".replace("len(list(page) FILTER (len(pred) = 0))", "count(*) FILTER (len(pred) = 0)"))
 def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = study.cells(spark, sf_dir).where("exp_id = 'weak-css'").withColumnRenamed("pred", "vals")
-    return summaries.rule_coverage(c).select("layout_id", "field", "matched", "total", F.size("empty_pages").cast("long").alias("n_empty"))
+    return summaries.rule_coverage(c).select("layout_id", "field", "matched", "total", "n_empty")
 
 
 @query(f"{CELLS}, x AS (SELECT layout_id, page, bool_and(len(pred) > 0 OR field = 'ad') AS passed FROM c WHERE exp_id = 'weak-css' GROUP BY ALL) SELECT layout_id, count(*) FILTER (passed) AS pass_count, count(*) AS total FROM x GROUP BY layout_id")
@@ -388,6 +399,123 @@ def generated_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.regex_rules(p.join(sample, ["layout_id", "page"]), rules)
 
 
+@query(f"{CELLS} SELECT layout_id, page, field, score, label FROM c WHERE exp_id = 'strong-css'")
+def generated_regex_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the generated expressions extract on all pages, against what the selectors they stand for do."""
+    p = study.pages(spark, sf_dir)
+    made = generated_regex(spark, sf_dir).select(F.lit("regexn").alias("exp_id"), "layout_id", "field", F.lit("regex").alias("lang"), F.col("regex").alias("rule"))
+    gt = study.ruled(p, {"gt": ("css", study.GT)}, "owner").select("layout_id", "field", "rule")
+    return experiment.grid(p.select("layout_id", "page", "html"), study.fields(p), gt, made).select("layout_id", "page", "field", "score", "label")
+
+
+# --- rules judged on pages ---------------------------------------------------------------------------------
+
+LINK_TEXTS = f"list_transform(regexp_extract_all(html, '<a\\s+href=\"[^\"]+\">(.*?)</a>', 1), lambda x: {sql_text('x')})"
+
+
+def glued(fragment: str) -> str:
+    """Pieces of text between tags, stripped and joined without space."""
+    out = f"array_to_string(list_transform(regexp_split_to_array({fragment}, '<[^>]+>'), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '')"
+    for name, char in extract.ENTITIES:
+        quoted = char.replace("'", "''")
+        out = f"replace({out}, '{name}', '{quoted}')"
+    return out
+
+
+ARTICLE = f"list_filter([{glued(r"regexp_extract(html, '(?is)<article>(.*?)</article>', 1)")}], lambda v: v <> '')"
+#: rule_id, rule, ground truth, optional; what both find in SQL (None: it can't be read).
+JUDGED = [
+    ("null", None, "h1", False, EMPTY, "h1"), ("opt_null", "", "h1", True, EMPTY, "h1"), ("invalid", "h1[", "h1", False, None, "h1"), ("miss", "h2", "h1", False, EMPTY, "h1"), ("opt_miss", "h2", "h1", True, EMPTY, "h1"),
+    ("no_gt", "h1", None, False, "h1", EMPTY), ("gt_error", "h1", "h1[", False, "h1", None), ("gt_miss", "h1", "h2", False, "h1", EMPTY), ("match", "h1", "article h1", False, "h1", "h1"), ("partial", "article", "h1", False, ARTICLE, "h1"),
+    ("container", "nav a", "h1", False, LINK_TEXTS, "h1"), ("best", "h1", "footer, h1", False, "h1", "h1"), ("other", "div.ad", "footer", False, "ad", "foot"),
+]
+
+
+def sql_judged() -> str:
+    parts = []
+    for name, rule, gt, optional, r, g in JUDGED:
+        fixed = {"null": (0, "NULL"), "opt_null": (-1, "OPT_NULL"), "invalid": (0, "INVALID"), "no_gt": (-1, "NO_GT"), "gt_error": (-1, "GT_ERROR"), "gt_miss": (-1, "GT_MISS")}.get(name)
+        if fixed:
+            score, label = f"CASE WHEN len(h1) = 0 AND '{name}' IN ('no_gt', 'gt_error', 'gt_miss') THEN 0 ELSE {fixed[0]} END", f"CASE WHEN len(h1) = 0 AND '{name}' IN ('no_gt', 'gt_error', 'gt_miss') THEN 'MISS' ELSE '{fixed[1]}' END"
+        else:
+            text = lambda x: words(f"substring(array_to_string({x}, ' '), 1, 5000)")
+            score = f"CASE WHEN len({r}) = 0 THEN {-1 if optional else 0} WHEN len({g}) = 0 THEN -1 ELSE {f1(text(g), text(r))} END"
+            label = f"CASE WHEN len({r}) = 0 THEN '{'OPT_' if optional else ''}MISS' WHEN len({g}) = 0 THEN 'GT_MISS' WHEN s >= 0.9 THEN 'MATCH' WHEN len({r}) <> len({g}) AND least(len({r}), len({g})) = 1 THEN 'CONTAINER' WHEN s > 0 THEN 'PARTIAL' ELSE 'WRONG' END"
+        parts.append(f"SELECT page_id, '{name}' AS rule_id, round(s, 6) AS score, {label} AS label FROM (SELECT *, ({score})::DOUBLE AS s FROM v)")
+    return f"WITH {FOUND} " + " UNION ALL ".join(parts)
+
+
+@query(sql_judged())
+def selector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = study.pages(spark, sf_dir)
+    rules = study.per_layout(p, [(n, "title", "css", r, "css", g, o) for n, r, g, o, _, _ in JUDGED], "rule_id string, field string, lang string, rule string, gt_lang string, gt_rule string, optional boolean")
+    return ruling.selector_scores(p, rules, ["layout_id"], ["page_id"]).select("page_id", "rule_id", F.round("score", 6).alias("score"), "label")
+
+
+CHECKED_RULES = [("css", "css", "h2, h1", None), ("xpath", "xpath", "//nav//a", "nav a"), ("other", "xpath", "//h1", "nav a"), ("broken", "xpath", "//h1[", None), ("regex", "regex", "<h1>(.*?)</h1>", "h1"), ("open", "regex", "(", None), ("nothing", "regex", "zz(\\d)zz", None)]
+
+
+@query(f"""WITH {FOUND}, t AS (SELECT *, {LINK_TEXTS} AS a FROM v), x AS (
+SELECT page_id, 'css' AS rule_id, len(h1) AS n, false AS bad, h1[1] AS shown, NULL::BOOLEAN AS same FROM t UNION ALL SELECT page_id, 'xpath', len(a), false, list_filter(a, lambda x: x <> '')[1], true FROM t
+UNION ALL SELECT page_id, 'other', len(h1), false, h1[1], (len(h1) = 0 AND len(a) = 0) OR (len(h1) = 1 AND len(a) = 1 AND h1[1] = a[1]) FROM t UNION ALL SELECT page_id, 'broken', 0, true, NULL, NULL FROM t
+UNION ALL SELECT page_id, 'regex', len(h1), false, h1[1], true FROM t UNION ALL SELECT page_id, 'open', 0, true, NULL, NULL FROM t UNION ALL SELECT page_id, 'nothing', 0, false, NULL, NULL FROM t)
+SELECT page_id, rule_id, n > 0 AS valid, n, substring(shown, 1, 100) AS shown, bad, coalesce(same::VARCHAR, '') AS same FROM x""")
+def rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = study.pages(spark, sf_dir)
+    rules = study.per_layout(p, [(n, lang, False, r, c) for n, lang, r, c in CHECKED_RULES], "rule_id string, lang string, merge boolean, rule string, css string")
+    out = ruling.validate_rules(p, rules, ["layout_id"], ["page_id"])
+    return out.select("page_id", "rule_id", "valid", "n", F.get("previews", F.lit(0)).alias("shown"), (F.col("error") != "").alias("bad"), F.coalesce(F.col("same").cast("string"), F.lit("")).alias("same"))
+
+
+@query(f"""WITH {FOUND}, x AS (SELECT page_id, 'title' AS key, h1 AS found, false AS optional FROM v UNION ALL SELECT page_id, 'images[0]', foot, true FROM v UNION ALL SELECT page_id, 'images[1]', {EMPTY}, true FROM v UNION ALL SELECT page_id, 'ad', ad, false FROM v)
+SELECT page_id, key, len(found) > 0 AS valid, optional, bool_and(len(found) > 0 OR optional) OVER (PARTITION BY page_id) AS all_required_pass FROM x""")
+def bulk_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = study.pages(spark, sf_dir)
+    rows = [("title", "h2, h1", False, False, False), ("images", '[{"css": "footer"}, {"image": "h2"}]', False, True, True), ("ad", '{"css": "div.ad"}', False, False, False), ("body", "", False, False, False)]
+    rules = ruling.block_rules(study.per_layout(p, rows, "field string, value string, merge boolean, optional boolean, blocks boolean"))
+    return ruling.bulk_test(p, rules, ["layout_id"], ["page_id"]).select("page_id", "key", "valid", "optional", "all_required_pass")
+
+
+@query(f"WITH {PAGES}, r AS (SELECT * FROM {sql_rows([('title', '//h1'), ('links', '//nav/ul//li//a[@href]'), ('ad', "//div[contains(@class, 'ad')]")], 'rule_id, xpath')}) SELECT page_id, rule_id, xpath, true AS verified FROM p, r")
+def suggested_xpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = study.pages(spark, sf_dir)
+    rules = study.per_layout(p, [("title", False, "h1"), ("links", True, "nav > ul li a[href]"), ("ad", False, "div.ad")], "rule_id string, merge boolean, rule string")
+    return ruling.suggested_xpaths(p, rules, ["layout_id"], ["page_id"])
+
+
+@query(f"WITH {FOUND} SELECT page_id, 'body' AS field, array_to_string({ARTICLE}, ' ') AS value FROM v UNION ALL SELECT page_id, 'title', array_to_string(h1, ' ') FROM v")
+def joined_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = study.pages(spark, sf_dir)
+    rules = study.per_layout(p, [("body", False, "article"), ("title", True, "h1")], "field string, merge boolean, rule string")
+    return ruling.joined_values(p, rules, ["layout_id"], ["page_id"]).select("page_id", "field", F.array_join("vals", " ").alias("value"))
+
+
+@query(f"WITH {FOUND}, x AS (SELECT page_id, 'title' AS field, h1 AS vals FROM v UNION ALL SELECT page_id, 'body', CASE WHEN len(foot) > 0 THEN foot ELSE art END FROM v UNION ALL SELECT page_id, 'both', list_concat(foot, h1) FROM v) SELECT page_id, field, array_to_string(vals, chr(31)) AS vals FROM x")
+def alternative_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of selectors: the first that finds something, or all of them where the field merges."""
+    p = study.pages(spark, sf_dir)
+    rules = study.per_layout(p, [("title", "css", "text", False, "h2, h1"), ("body", "css", "text", False, "footer, article"), ("both", "css", "text", True, "footer, h1")], "rule_id string, lang string, kind string, merge boolean, rule string")
+    return extract.rule_values(p, rules, ["layout_id"], ["page_id"]).select("page_id", F.col("rule_id").alias("field"), F.array_join("vals", "\x1f").alias("vals"))
+
+
+def recorded_answers(call: dict) -> dict:
+    """A model that knows the rules of weak-css."""
+    import json
+
+    return {"raw": "```json\n" + json.dumps({f: study.MODELS["weak-css"][1].get(f) or None for f in call["fields"]}) + "\n```", "finish": "stop", "tokens_in": 0}
+
+
+@query(f"{CELLS} SELECT layout_id, page, field, score, label FROM c WHERE exp_id = 'weak-css'")
+def workflow_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pages to scored rules: samples, cleaning, skeletons, prompts, a recorded model's answers, rules and cells."""
+    p = study.pages(spark, sf_dir).withColumn("domain", F.lit("all"))
+    f = study.fields(p).withColumns({"ord": F.col("field"), "required": F.lit(False)})
+    config = experiment.Config(cleaning="whitelist")
+    runs = workflow.detect_rules(workflow.samples_of(p, config, "article"), f, config, recorded_answers)
+    gt = study.ruled(p, {"gt": ("css", study.GT)}, "owner").select("layout_id", "field", "rule")
+    return experiment.grid(p.select("layout_id", "page", "html"), f, gt, workflow.long_rules(runs, config, "workflow")).select("layout_id", "page", "field", "score", "label")
+
+
 # --- agreement -------------------------------------------------------------------------------------------
 
 KAPPA = """WITH r AS (SELECT l_orderkey AS s, l_returnflag AS c, count(*) AS k FROM lineitem GROUP BY ALL),
@@ -424,22 +552,81 @@ def agreement_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.by_pair(agreement.pair_similarities(study.annotator_values(spark, sf_dir)))
 
 
-@query(f"""{PAIRED}, n AS (SELECT * FROM {sql_rows([(f, u, css.normalize_rule(r.get(f), "css", f == "links")) for u, r in study.ANNOTATORS.items() for f in study.GT if r.get(f)], "field, usr, rule")}),
-q AS (SELECT field, rule, count(*) AS c FROM n GROUP BY ALL), o AS (SELECT field, (sum(c * c) - sum(c))::DOUBLE / (sum(c) * (sum(c) - 1)) AS po FROM q GROUP BY field HAVING sum(c) >= 2)
+#: The annotators' rules in normal form, written out.
+NORMAL = [
+    ("title", "ann", "h1"), ("title", "ben", "article > h1"), ("title", "cem", "title"), ("body", "ann", "article"), ("body", "ben", "article"), ("body", "cem", "article > h1"), ("links", "ann", "nav a"), ("links", "ben", "nav a[href]"), ("links", "cem", "nav a"),
+    ("ad", "ann", "div.ad"), ("ad", "ben", 'div[class="ad"]'), ("footer", "ann", "footer"), ("footer", "ben", "footer"), ("footer", "cem", "div.ad"),
+]
+RULED = f"n AS (SELECT * FROM {sql_rows(NORMAL, 'field, usr, rule')}), nl AS (SELECT layout_id, n.* FROM (SELECT DISTINCT layout_id FROM v), n)"
+
+
+def normal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layout_id, lang, field, user, rule in normal form."""
+    rules = study.ruled(study.pages(spark, sf_dir), {u: ("css", r) for u, r in study.ANNOTATORS.items()}, "user")
+    merged = responses.string_udf(lambda r: css.normalize_rule(r, "css", True))
+    return rules.withColumn("rule", F.when(F.col("field") == "links", merged("rule")).otherwise(responses.string_udf(css.normalize_rule)("rule")))
+
+
+@query(f"""{PAIRED}, {RULED}, q AS (SELECT field, rule, count(*) AS c FROM n GROUP BY ALL), o AS (SELECT field, (sum(c * c) - sum(c))::DOUBLE / (sum(c) * (sum(c) - 1)) AS po FROM q GROUP BY field HAVING sum(c) >= 2)
 SELECT layout_id, count(DISTINCT page) AS pages, round(avg(similarity), 3) AS content_agreement, (SELECT count(DISTINCT usr) FROM n) AS annotators, (SELECT round(avg(po), 3) FROM o) AS rule_agreement FROM k GROUP BY layout_id""")
 def agreement_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = agreement.pair_similarities(study.annotator_values(spark, sf_dir))
-    rules = study.ruled(study.pages(spark, sf_dir), {u: ("css", r) for u, r in study.ANNOTATORS.items()}, "user")
-    merge = responses.string_udf(lambda r: css.normalize_rule(r, "css", True))
-    rules = rules.withColumn("rule", F.when(F.col("field") == "links", merge("rule")).otherwise(responses.string_udf(css.normalize_rule)("rule")))
-    return agreement.by_layout(pairs, rules)
+    return agreement.by_layout(agreement.pair_similarities(study.annotator_values(spark, sf_dir)), normal_rules(spark, sf_dir))
 
 
-@query()
+SQL_KAPPA = """rk AS (SELECT field, layout_id, rule, count(*) AS c FROM nl GROUP BY ALL), re AS (SELECT field, layout_id, sum(c) AS n, sum(c * (c - 1)) AS same FROM rk GROUP BY ALL HAVING sum(c) >= 2),
+rp AS (SELECT field, avg(same::DOUBLE / (n * (n - 1))) AS po, count(*) AS n_subjects, sum(same)::DOUBLE / sum(n * (n - 1)) AS exact FROM re GROUP BY field),
+rc AS (SELECT field, sum(t * t) / pow(sum(t), 2) AS pe FROM (SELECT field, rule, sum(c)::DOUBLE AS t FROM rk SEMI JOIN re USING (field, layout_id) GROUP BY ALL) GROUP BY field),
+kp AS (SELECT *, CASE WHEN n_subjects >= 2 THEN (CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END) END AS kappa FROM rp JOIN rc USING (field))"""
+
+
+@query(f"WITH {FOUND}, {RULED}, {SQL_KAPPA} SELECT 'css' AS lang, field, round(round(kappa, 6), 3) AS kappa, round(round(po, 6), 3) AS po, round(round(pe, 6), 3) AS pe, n_subjects FROM kp")
+def pooled_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agreement.pooled_kappa(normal_rules(spark, sf_dir))
+
+
+#: Krippendorff's alpha per field: pairs within cells, and pairs of the pool in the order of md5, words counted by a join.
+SQL_ALPHA = f"""a0 AS (SELECT *, count(*) OVER (PARTITION BY layout_id, page, field) AS m FROM g), a1 AS (SELECT *, count(*) OVER (PARTITION BY field) AS n, row_number() OVER (PARTITION BY field ORDER BY md5(concat_ws('|', layout_id, page, field, usr))) - 1 AS place FROM a0 WHERE m >= 2),
+a2 AS (SELECT field, n, place, unnest(range(1, CASE WHEN n * (n - 1) <= 40000 THEN n - 1 - place ELSE greatest(1, floor(20000 / n)) END::BIGINT + 1)) AS step FROM a1),
+a3 AS (SELECT x.field, x.metric, a2.place AS i, y.place AS j, x.pred AS x, y.pred AS y FROM a2 JOIN a1 x ON x.field = a2.field AND x.place = a2.place JOIN a1 y ON y.field = a2.field AND y.place = (a2.place + a2.step) % a2.n),
+wc AS (SELECT field, place, w, count(*) AS c FROM (SELECT field, place, unnest({words("array_to_string(pred, ' ')")}) AS w FROM a1 WHERE metric = 'rouge') GROUP BY ALL),
+wt AS (SELECT field, place, sum(c) AS t FROM wc GROUP BY ALL), wj AS (SELECT a3.field, i, j, sum(least(p.c, q.c)) AS c FROM a3 JOIN wc p ON p.field = a3.field AND p.place = i JOIN wc q ON q.field = a3.field AND q.place = j AND q.w = p.w GROUP BY ALL),
+a4 AS (SELECT a3.field, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1 WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN metric = 'rouge' THEN coalesce(2.0::DOUBLE * wj.c / (p.t + q.t), 0) ELSE {sql_score("x", "y").replace(f1(words("array_to_string(x, ' ')"), words("array_to_string(y, ' ')")), "0")} END AS s
+  FROM a3 LEFT JOIN wj USING (field, i, j) LEFT JOIN wt p ON p.field = a3.field AND p.place = i LEFT JOIN wt q ON q.field = a3.field AND q.place = j),
+ae AS (SELECT field, avg(1 - s) AS d_e FROM a4 GROUP BY field), ak AS (SELECT k.field, sum(2 * (1 - similarity) / (m - 1)) AS s FROM k JOIN (SELECT DISTINCT layout_id, page, field, m FROM a0) USING (layout_id, page, field) GROUP BY k.field),
+an AS (SELECT field, count(*) AS n, count(DISTINCT layout_id || '|' || page) AS units FROM a1 GROUP BY field),
+al AS (SELECT field, round(CASE WHEN d_e = 0 THEN 1 ELSE 1 - s / n / d_e END, 3) AS alpha, units, n AS n_values FROM ak JOIN an USING (field) JOIN ae USING (field))"""
+
+
+@query(f"{PAIRED}, {SQL_ALPHA} SELECT field, alpha, units, n_values FROM al")
 def content_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.content_alpha(study.annotator_values(spark, sf_dir))
 
 
+@query(f"""{PAIRED}, {RULED}, {SQL_KAPPA}, {SQL_ALPHA}, sm AS (SELECT field, min(metric) AS metric, round(avg(similarity), 3) AS content_similarity FROM k GROUP BY field)
+SELECT field, metric, n_subjects AS layouts, round(round(kappa, 6), 3) AS rule_kappa, round(round(po, 6), 3) AS rule_po, round(exact, 3) AS rule_exact_share, alpha AS content_alpha, units AS content_units, content_similarity FROM kp JOIN sm USING (field) JOIN al USING (field)""")
+def agreement_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = study.annotator_values(spark, sf_dir)
+    return agreement.field_study(agreement.pair_similarities(values), values, normal_rules(spark, sf_dir))
+
+
+@query()
+def annotator_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each annotator's text against the approved one by five measures, and who comes closest."""
+    values = study.annotator_values(spark, sf_dir)
+    gt = values.where("user = 'ann'").select("layout_id", "page", "field", F.array_join("vals", " ").alias("gt"))
+    place = F.array_position(F.array(*map(F.lit, study.ANNOTATORS)), F.col("user"))
+    rules = study.ruled(study.pages(spark, sf_dir), {u: ("css", r) for u, r in study.ANNOTATORS.items()}, "user").select("layout_id", "field", "user", "rule")
+    texts = values.join(gt, ["layout_id", "page", "field"], "left").join(rules, ["layout_id", "field", "user"]).withColumns({"ord": place, "text": F.array_join("vals", " ")})
+    rounded = [F.round(c, 6).alias(c) for c in ("jac", "r1", "r2", "rl")]
+    return agreement.against_reference(texts).select("layout_id", "page", "field", "user", "em", *rounded, "suggested_user", "suggested_rule")
+
+
+@query(f"{sql_cells({u: tuple(EMPTY if x == '-' else x for x in c) for u, c in BY_USER.items()})} SELECT exp_id, round(avg(mean), 4) AS mean, round(avg(sample_mean), 4) AS sample_mean, round(avg(others_mean), 4) AS others_mean, count(*) AS n_layouts FROM l GROUP BY exp_id")
+def annotator_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotators' own rules scored like a model's: how well a model could do."""
+    return summaries.experiment_summary(study.cells(spark, sf_dir, {u: ("css", r) for u, r in study.ANNOTATORS.items()}))
+
+
 @query(f"""{PAIRED}, b AS (SELECT layout_id, page, field, count(*) FILTER (similarity >= 0.8) AS n FROM (SELECT usr, layout_id, page, field, metric, gt AS x, pred AS y, CASE WHEN len(gt) = 0 AND len(pred) = 0 THEN 1.0 WHEN len(gt) = 0 OR len(pred) = 0 THEN 0.0 ELSE {sql_score("gt", "pred")} END AS similarity FROM g) GROUP BY ALL),
 c AS (SELECT CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'at_least_two' END AS bucket, count(*) AS n FROM b GROUP BY 1) SELECT bucket, n, round(n / sum(n) OVER (), 4) AS share FROM c""")
 def reference_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,10 +657,50 @@ def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groundtruth.dataset_sites(p.select("domain").distinct(), p, p.select("domain", "layout_id").distinct(), assignments(spark, sf_dir))
 
 
-@query(f"WITH {ASSIGNED} SELECT usr AS \"user\", domain, count(*) FILTER (NOT skipped) AS assigned, count(*) FILTER (skipped) AS skipped FROM a GROUP BY ALL")
+@query(f"""WITH {ASSIGNED}, r AS (SELECT 'user' || (page_id % 4) AS usr, domain, layout_id, CASE page_id % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'xpath' ELSE 'regex' END AS lang, TIMESTAMP '2024-01-01' + to_days((page_id % 300)::INT) AS changed FROM p WHERE page_id % 5 > 0),
+x AS (SELECT usr, domain, count(*) FILTER (NOT skipped) AS assigned, count(*) FILTER (skipped) AS skipped FROM a GROUP BY ALL),
+y AS (SELECT usr, domain, count(DISTINCT layout_id) AS layouts, count(*) FILTER (lang = 'css') AS css, count(*) FILTER (lang = 'xpath') AS xpath, count(*) FILTER (lang = 'regex') AS regex, max(changed) AS last FROM r GROUP BY ALL)
+SELECT usr AS "user", domain, coalesce(assigned, 0) AS assigned, coalesce(skipped, 0) AS skipped, coalesce(layouts, 0) AS layouts, coalesce(css, 0) AS css, coalesce(xpath, 0) AS xpath, coalesce(regex, 0) AS regex, strftime(last, '%Y-%m-%d') AS last FROM x FULL JOIN y USING (usr, domain)""")
 def annotation_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = spark.createDataFrame([], "user string, domain string, layout_id string, lang string, rule string, updated_at timestamp")
-    return groundtruth.annotation_progress(assignments(spark, sf_dir), none).select("user", "domain", "assigned", "skipped")
+    p = study.pages(spark, sf_dir)
+    lang = F.when(F.col("page_id") % 3 == 0, "css").when(F.col("page_id") % 3 == 1, "xpath").otherwise("regex")
+    at = F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")))
+    rules = p.select(F.concat(F.lit("user"), (F.col("page_id") % 4).cast("string")).alias("user"), "domain", "layout_id", lang.alias("lang"), F.when(F.col("page_id") % 5 > 0, "h1").otherwise("").alias("rule"), at.alias("updated_at"))
+    return groundtruth.annotation_progress(assignments(spark, sf_dir), rules).withColumn("last", F.date_format("last", "yyyy-MM-dd"))
+
+
+@query("""WITH p AS (SELECT CASE WHEN page_id % 50 = 0 THEN 'homepage.html' WHEN page_id % 10 = 0 THEN 'listing_' || page_id || '.html' WHEN page_id % 7 = 0 THEN 'about.html' ELSE 'article_' || page_id || '.html' END AS page FROM pages)
+SELECT CASE WHEN page = 'homepage.html' THEN 'homepage' WHEN page LIKE 'listing%' THEN 'listing' WHEN page LIKE 'article%' THEN 'article' ELSE 'other' END AS page_type, count(*) AS n FROM p GROUP BY 1""")
+def page_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    page = F.when(k % 50 == 0, "homepage.html").when(k % 10 == 0, F.concat(F.lit("listing_"), n, F.lit(".html"))).when(k % 7 == 0, "about.html").otherwise(F.concat(F.lit("article_"), n, F.lit(".html")))
+    return groundtruth.page_types(study.table(spark, sf_dir, "pages").select(page.alias("page"))).groupBy("page_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ASSIGNED} SELECT DISTINCT domain, layout_id, page FROM a WHERE NOT skipped")
+def annotated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = assignments(spark, sf_dir)
+    return groundtruth.annotated_pages(twice.unionByName(twice.withColumn("user", F.lit("another"))))
+
+
+@query("SELECT event_id, NOT (props LIKE '%:%' OR length(props) > 255) AS safe, event_type NOT IN ('', '.', '..') AS plain FROM events")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study.table(spark, sf_dir, "events").select("event_id", groundtruth.safe_name(F.col("props")).alias("safe"), groundtruth.safe_name(F.col("event_type")).alias("plain"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), 'build')")
+def experiment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groundtruth.search(study.table(spark, sf_dir, "customer"), " BUILD ", ["c_name", "c_mktsegment"])
+    return groundtruth.slim(found, ["c_custkey", "c_name"])
+
+
+@query("""WITH a AS (SELECT 'u' || (user_id % 100) AS usr, count(DISTINCT event_id % 7) AS sites, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY 1), e AS (SELECT 'u' || (o_custkey % 150) AS usr, count(*) AS experiments FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1)
+SELECT usr AS "user", coalesce(sites, 0) AS sites, last AS last_annotation, coalesce(experiments, 0) AS experiments FROM a FULL JOIN e USING (usr)""")
+def user_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, o = study.table(spark, sf_dir, "events"), study.table(spark, sf_dir, "orders")
+    wrote = e.select(F.concat(F.lit("u"), (F.col("user_id") % 100).cast("string")).alias("user"), (F.col("event_id") % 7).alias("domain"), F.col("ts").alias("updated_at"))
+    began = o.select(F.col("o_orderkey").alias("exp_id"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("u"), (F.col("o_custkey") % 150).cast("string"))).otherwise("").alias("created_by"))
+    return groundtruth.user_activity(wrote, began).withColumn("last_annotation", F.date_format("last_annotation", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(f"WITH {ASSIGNED}, s AS (SELECT domain, layout_id, page, row_number() OVER (PARTITION BY domain, layout_id ORDER BY page) AS k FROM a WHERE NOT skipped) SELECT domain, layout_id, page FROM s WHERE k <= 3")
@@ -498,28 +725,35 @@ def export_page_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("layout_id", "page", F.explode("fields").alias("field", "vals")).select("layout_id", "page", "field", F.array_join("vals", "\x1f").alias("vals"))
 
 
-USER_RULES = [("L", f, u, i, r) for i, (u, rules) in enumerate(study.ANNOTATORS.items()) for f, r in rules.items()] + [("L", "author", "ben", 7, ".by"), ("L", "author", "cem", 8, ".by")]
+WROTE = """w AS (SELECT 'L' || (user_id % 7) AS layout_id, event_type AS field, 'u' || (user_id % 30) AS usr, event_id AS ord, CASE WHEN event_id % 4 = 0 THEN '' ELSE '.c' || (event_id % 3) || CASE WHEN event_id % 2 = 0 THEN ' > a' ELSE '>A' END END AS rule,
+  CASE WHEN event_id % 4 > 0 THEN '.c' || (event_id % 3) || ' > a' END AS normal FROM events), t AS (SELECT DISTINCT layout_id, field, CASE field WHEN 'error' THEN '' WHEN 'view' THEN '.c9' ELSE '.c1 > a' END AS rule FROM w WHERE NOT (field = 'signup' AND layout_id < 'L3'))"""
 
 
-@query("SELECT 'L' AS layout_id, 'author' AS field, 'ben,cem' AS annotators")
+def event_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Annotators' rules from events (layout_id, field, user, ord, rule), and approved ones (layout_id, field, rule): for signup in some layouts only, for error none."""
+    e, k = study.table(spark, sf_dir, "events"), F.col("event_id")
+    rule = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(".c"), (k % 3).cast("string"), F.when(k % 2 == 0, " > a").otherwise(">A")))
+    users = e.select(F.concat(F.lit("L"), (F.col("user_id") % 7).cast("string")).alias("layout_id"), F.col("event_type").alias("field"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")).alias("user"), k.alias("ord"), rule.alias("rule"))
+    approved = F.when(F.col("field") == "error", "").when(F.col("field") == "view", ".c9").otherwise(".c1 > a")
+    gt = users.select("layout_id", "field").distinct().where(~((F.col("field") == "signup") & (F.col("layout_id") < "L3"))).withColumn("rule", approved)
+    return users, gt
+
+
+@query(f"WITH {WROTE} SELECT layout_id, field, string_agg(DISTINCT usr, ',' ORDER BY usr) AS annotators FROM w WHERE rule <> '' AND (layout_id, field) NOT IN (SELECT (layout_id, field) FROM t WHERE rule <> '') GROUP BY ALL")
 def unapproved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = spark.createDataFrame(USER_RULES, "layout_id string, field string, user string, ord int, rule string")
-    gt = spark.createDataFrame([("L", f, r) for f, r in study.GT.items()], "layout_id string, field string, rule string")
-    return groundtruth.unapproved_fields(users, gt).select("layout_id", "field", F.array_join("annotators", ",").alias("annotators"))
+    return groundtruth.unapproved_fields(*event_rules(spark, sf_dir)).select("layout_id", "field", F.array_join("annotators", ",").alias("annotators"))
 
 
-@query("SELECT * FROM " + sql_rows([("title", "ann"), ("body", "ann,ben"), ("links", "ann,cem"), ("ad", "ann"), ("footer", "ann,ben")], "field, annotators"))
+@query(f"WITH {WROTE} SELECT t.layout_id, t.field, coalesce(string_agg(DISTINCT usr, ',' ORDER BY usr), '') AS annotators FROM t LEFT JOIN w ON t.layout_id = w.layout_id AND t.field = w.field AND t.rule = w.normal WHERE t.rule <> '' GROUP BY ALL")
 def rule_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = responses.string_udf(css.normalize_rule)
-    users = spark.createDataFrame(USER_RULES, "layout_id string, field string, user string, ord int, rule string").select("layout_id", "field", F.lit("css").alias("lang"), normal("rule").alias("normal"), "user")
-    gt = spark.createDataFrame([("L", f, "css", r) for f, r in study.GT.items()], "layout_id string, field string, lang string, rule string").withColumn("normal", normal("rule"))
-    return groundtruth.rule_sources(gt, users).select("field", F.array_join("annotators", ",").alias("annotators"))
+    users, gt = (df.withColumns({"lang": F.lit("css"), "normal": normal("rule")}) for df in event_rules(spark, sf_dir))
+    return groundtruth.rule_sources(gt, users).select("layout_id", "field", F.array_join("annotators", ",").alias("annotators"))
 
 
-@query("WITH r AS (SELECT * FROM " + sql_rows(USER_RULES, "layout_id, field, usr, ord, rule") + "), c AS (SELECT field, rule, count(*) AS n, min(ord) AS f, arg_min(usr, ord) AS usr FROM r WHERE rule <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, f) AS k FROM c) SELECT field, rule, usr AS \"user\", n FROM k WHERE k = 1")
+@query(f"WITH {WROTE}, c AS (SELECT layout_id, field, rule, count(*) AS n, min(ord) AS f, arg_min(usr, ord) AS usr FROM w WHERE rule <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY layout_id, field ORDER BY n DESC, f) AS k FROM c) SELECT layout_id, field, rule, usr AS \"user\", n FROM k WHERE k = 1")
 def rule_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = spark.createDataFrame(USER_RULES, "layout_id string, field string, user string, ord int, rule string")
-    return groundtruth.suggested_rule(users).select("field", "rule", "user", "n")
+    return groundtruth.suggested_rule(event_rules(spark, sf_dir)[0]).select("layout_id", "field", "rule", "user", "n")
 
 
 STATUS = """WITH u AS (SELECT 'layout-' || (user_id % 50) AS layout_id, CASE event_id % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'xpath' ELSE 'regex' END AS lang, user_id, ts FROM events),
@@ -559,29 +793,34 @@ def audit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- model answers ---------------------------------------------------------------------------------------------
 
-ANSWERS = [
-    (1, '{"title": " h1 ", "body": null, "ad": 5}', "stop"), (2, '```json\n{"title": "h2", "more": "x"}\n```', "stop"), (3, '<think>{"title": "no"}</think>So: {"title": "h3"} done', "stop"),
-    (4, '{"title": "h1", "bo', "length"), (5, "", "stop"), (6, "nothing here", "max_tokens"),
-]
-READ = [(1, "ad=,body=,title=h1", ""), (2, "title=h2", ""), (3, "title=h3", ""), (4, "", "No JSON found (output limit reached)"), (5, "", "Empty response"), (6, "", "No JSON found (output limit reached)")]
+#: Answers of six kinds made from turns of conversations: plain, fenced, with reasoning, cut, empty, and none.
+ANSWERS = {0: """'{"title": " ' || role || ' ", "body": null, "ad": ' || turn || '}'""", 1: """'```json' || chr(10) || '{"title": "' || role || '", "more": "x"}' || chr(10) || '```'""", 2: """'<think>{"title": "no"}</think>So: {"body": "b' || turn || '"} done'""", 3: """'{"title": "h1", "bo'""", 4: "''", 5: "role || ' says nothing'"}
 
 
-@query("SELECT * FROM " + sql_rows(READ, "id, rules, error"))
+@query("""SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'ad=,body=,title=' || role WHEN 1 THEN 'title=' || role WHEN 2 THEN 'body=b' || turn ELSE '' END AS rules,
+CASE (conv_id + turn) % 6 WHEN 3 THEN 'No JSON found (output limit reached)' WHEN 4 THEN 'Empty response' WHEN 5 THEN 'No JSON found' ELSE '' END AS error FROM conversations""")
 def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(ANSWERS, "id int, raw string, finish string").withColumn("fields", F.array(*map(F.lit, ["title", "body", "ad"])))
-    out = df.select("id", responses.parsed_response("raw", "fields", "finish").alias("p"))
+    kind = "(conv_id + turn) % 6"
+    raw = "CASE " + kind + " " + " ".join(f"WHEN {k} THEN {v.replace('chr(10)', 'char(10)')}" for k, v in ANSWERS.items()) + " END"
+    df = study.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(raw).alias("raw"), F.expr(f"CASE {kind} WHEN 3 THEN 'length' ELSE 'stop' END").alias("finish")).withColumn("fields", F.array(*map(F.lit, ["title", "body", "ad"])))
+    out = df.select("conv_id", "turn", responses.parsed_response("raw", "fields", "finish").alias("p"))
     pairs = F.array_sort(F.transform(F.map_entries("p.rules"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return out.select("id", F.array_join(pairs, ",").alias("rules"), "p.error")
+    return out.select("conv_id", "turn", F.array_join(pairs, ",").alias("rules"), "p.error")
+
+
+#: domain, ord, match, lang, rules for title and body (None: not known).
+RECORDED = [("d0", 0, "the", "css", "h1", None), ("d0", 1, "ing", "css", "h1", ".b"), ("d0", 2, None, "css", "h2", None), ("d1", 0, "", "css", "h0", None), ("d1", 1, None, "xpath", "//h1", "//b"), ("d1", 2, "?", "css", "h3", ".q")]
 
 
-@query("SELECT * FROM " + sql_rows([(1, 1, "h1,.b"), (2, 2, "h2,"), (3, 0, "h0,")], "call_id, ord, rules"))
+@query(f"""WITH r AS (SELECT * FROM {sql_rows(RECORDED, 'domain, ord, match, lang, title, body')}), c AS (SELECT conv_id * 100 + turn AS call_id, 'd' || (conv_id % 3) AS domain, coalesce(text, '') AS prompt FROM conversations),
+x AS (SELECT call_id, ord, coalesce(match, '') <> '' AS m, CASE WHEN lang = 'css' THEN coalesce(title, '') ELSE '' END AS title, CASE WHEN lang = 'css' THEN coalesce(body, '') ELSE '' END AS body FROM c JOIN r USING (domain) WHERE coalesce(match, '') = '' OR contains(prompt, match)),
+k AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY m DESC, (title <> '')::INT + (body <> '')::INT DESC, ord) AS k FROM x) SELECT call_id, ord, title || ',' || body AS rules FROM k WHERE k = 1""")
 def replay_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ["title", "body"]
-    calls = spark.createDataFrame([(1, "m", "d", "a page with blog in it", "css", fields), (2, "m", "d", "a shop", "css", fields), (3, "n", "d", "", "css", fields), (4, "x", "d", "", "css", fields)], "call_id int, model string, domain string, prompt string, lang string, fields array<string>")
-    kept = [("m", "d", 0, "blog", "css", {"title": "h1"}), ("m", "d", 1, "page", "css", {"title": "h1", "body": ".b"}), ("m", "d", 2, None, "css", {"title": "h2"}), ("n", "d", 0, "", "css", {"title": "h0"}), ("n", "d", 1, None, "xpath", {"title": "//h1", "body": "//b"})]
+    c = study.table(spark, sf_dir, "conversations")
+    calls = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("call_id"), F.lit("m").alias("model"), F.concat(F.lit("d"), (F.col("conv_id") % 3).cast("string")).alias("domain"), F.coalesce("text", F.lit("")).alias("prompt"), F.lit("css").alias("lang"), F.array(F.lit("title"), F.lit("body")).alias("fields"))
+    kept = [("m", d, i, match, lang, {k: v for k, v in (("title", t), ("body", b)) if v}) for d, i, match, lang, t, b in RECORDED]
     recorded = spark.createDataFrame(kept, "model string, domain string, ord int, match string, lang string, rules map<string,string>")
-    out = responses.pick_recorded(calls, recorded)
-    return out.select("call_id", "ord", F.array_join(F.transform("rules", lambda r: r["rule"]), ",").alias("rules"))
+    return responses.pick_recorded(calls, recorded).select("call_id", "ord", F.array_join(F.transform("rules", lambda r: r["rule"]), ",").alias("rules"))
 
 
 @query("SELECT o_orderkey, (t > 0 AND ((t - 2 >= 1024 AND (t - 2) & (t - 3) = 0) OR (t - 3 >= 1024 AND (t - 3) & (t - 4) = 0) OR (t - 4 >= 1024 AND (t - 4) & (t - 5) = 0) OR c / t > 6)) AS truncated FROM (SELECT o_orderkey, o_custkey + 1000 AS t, o_totalprice / 10 AS c FROM orders)")

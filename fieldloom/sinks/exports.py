@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def layout_documents(rows: DataFrame, scope: DataFrame) -> DataFrame:
-    """A row per layout: maps of selectors and metrics by field, and its pages; rows as groundtruth.export_rows gives them."""
+    """A row per layout: maps of selectors and metrics by field, and how many pages it has; rows as groundtruth.export_rows gives them. layout_pages has the pages, a row each."""
     as_map = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", v))))
     key = ["domain", "layout_id"]
     maps = rows.groupBy(*key, "layout_name", "page_type", "template_id").agg(as_map("selector").alias("selectors"), as_map("metric").alias("metrics"))
-    pages = scope.groupBy(*key).agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    return maps.join(pages, key, "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<string>")))
+    return maps.join(scope.groupBy(*key).agg(F.count(F.lit(1)).alias("n_pages")), key, "left").na.fill(0, ["n_pages"])
+
+
+def layout_pages(scope: DataFrame) -> DataFrame:
+    """The pages of layouts in order."""
+    return scope.select("domain", "layout_id", "page").orderBy("domain", "layout_id", "page")
 
 
 def page_documents(values: DataFrame) -> DataFrame:
@@ -83,7 +87,9 @@ def fingerprint(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def manifest(experiments: DataFrame, code: dict[str, str], templates: str) -> str:
-    """What is needed to repeat experiments: their rows (configuration, prompts, rules as they are), and fingerprints of code and templates."""
-    rows = [json.loads(r.value) for r in experiments.select(F.to_json(F.struct("*")).alias("value")).collect()]
-    return json.dumps({"scoring": {"aggregation": "mean of the layouts' means", "match_threshold": 0.9}, "code": {k: fingerprint(v) for k, v in code.items()}, "templates": fingerprint(templates), "experiments": rows}, ensure_ascii=False, indent=1)
+def manifest(experiments: DataFrame, code: dict[str, str], templates: str) -> DataFrame:
+    """What is needed to repeat experiments, as rows (part, value in JSON): how they are scored, fingerprints of code and templates, then a row per experiment (configuration, prompts, rules as they are). Nothing is collected; write_jsonl writes it."""
+    spark = experiments.sparkSession
+    head = {"scoring": {"aggregation": "mean of the layouts' means", "match_threshold": 0.9}, "code": {k: fingerprint(v) for k, v in code.items()}, "templates": fingerprint(templates)}
+    rows = spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in head.items()], "part string, value string")
+    return rows.union(experiments.select(F.lit("experiment"), F.to_json(F.struct("*"))))

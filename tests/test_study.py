@@ -147,11 +147,11 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "j")).count() == 3
     rules = spark.createDataFrame([("d", "l", "L", "article", "t", "title", "h1", "rouge", 2)], "domain string, layout_id string, layout_name string, page_type string, template_id string, field string, selector string, metric string, page_count long")
     doc = exports.layout_documents(rules, spark.createDataFrame([("d", "l", "p")], "domain string, layout_id string, page string")).first()
-    assert doc.selectors == {"title": "h1"} and doc.pages == ["p"]
+    assert doc.selectors == {"title": "h1"} and doc.n_pages == 1
     sites = spark.createDataFrame([("a", "X", "en / fr", 1, 4), ("b", "", "de", 0, 0)], "domain string, country string, language string, layouts long, gt_pages long")
     assert tuple(exports.card_counts(sites).first()) == (1, 1, 1, 4, 2) and "| X | en / fr | 1 | 4 |" in exports.dataset_card("n", sites, sites.select("domain"))
-    made = json.loads(exports.manifest(df, {"x": "code"}, "t"))
-    assert len(made["experiments"]) == 3 and len(made["code"]["x"]) == 16
+    made = [(r.part, json.loads(r.value)) for r in exports.manifest(df, {"x": "code"}, "t").collect()]
+    assert [k for k, _ in made].count("experiment") == 3 and len(dict(made)["code"]["x"]) == 16
 
 
 def test_streams(spark, tmp_path):
