@@ -191,7 +191,7 @@ def skeleton_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = ["article-body", "css-1x2y3z", "TextContainer", "Paragraph_wrapper__6w7GG", "box--margin-none", "c-detail__date", "w-100", "border-b", "hy4hp", "story-xQoVi", "n3_meta_posted", "ssrcss", "flex", "wsquJ-article"]
-KEPT = ["article-body", None, "TextContainer", "Paragraph_wrapper", None, "c-detail__date", "w-100", "border-b", None, "*story*", "n3_meta_posted", "ssrcss", None, "*article*"]
+KEPT = ["article-body", None, "TextContainer", "Paragraph_wrapper", None, "c-detail__date", "w-100", "border-b", None, None, "n3_meta_posted", None, None, "*article*"]
 
 
 def sql_rows(rows: list[tuple], columns: str) -> str:
