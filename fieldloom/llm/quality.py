@@ -106,7 +106,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_c
         F.when(F.length(t) >= min_chars, js_distance(F.col("chars"), F.col("ref_chars"))).alias("char_distance"),
         F.when(F.col("n_words") >= min_words, js_distance(F.col("used"), F.col("ref_used"))).alias("word_distance"),
     )
-    df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # a generator of one row: filters on the verdict stay above it, and don't compute all of this again inside lambdas
+    judged = [c for c in df.columns if c != "row"]
+    df = df.select("row", F.inline(F.array(F.struct(*judged))))
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    # numbering rows keeps filters above this projection: below it they would repeat the words of a text inside lambdas
-    return df.withColumn("kept", ~F.col("base_failed") & ~far & (F.monotonically_increasing_id() >= 0))
+    return df.select("row", *judged, base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"))
