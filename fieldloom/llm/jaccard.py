@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytesk
 from .components import components
-from .cut import cut, small_batches
+from .cut import cut, drop, small_batches
 
 CHUNK_BYTES = 4 << 20
 LARGE_BYTES = 1 << 17
@@ -264,12 +264,13 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return out
 
 
-def with_value(rows: DataFrame, values: DataFrame, value: str, times: str) -> DataFrame:
+def with_value(rows: DataFrame, values: DataFrame, value: str, times: str, scratch: list[DataFrame]) -> DataFrame:
     """rows (rep, shingle) with the value of their shingle; values: a row per shingle, times being its number of rows.
 
     A shingle with more than 1/HOT of all rows is joined in SALTS parts; there are fewer than HOT of them, so they are broadcast to mark their rows.
     """
     values = cut(values.select("shingle", *dict.fromkeys((value, times))))
+    scratch.append(values)
     hot = values.where(F.col(times) > rows.count() // HOT).select("shingle", F.lit(True).alias("hot"))
     marked = rows.join(F.broadcast(hot), "shingle", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int"))
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -277,8 +278,8 @@ def with_value(rows: DataFrame, values: DataFrame, value: str, times: str) -> Da
     return marked.join(spread_, ["shingle", "salt"]).select("rep", "shingle", value)
 
 
-def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """members: block, rep, h1, n; texts: rep, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members."""
+def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """members: block, rep, h1, n; texts: rep, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members. scratch gets the tables behind them."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,14 +297,16 @@ def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int)
 
     rows = members.join(texts, "rep").select("block", "rep", "h1", "text").mapInArrow(spell, "rep long, shingle long")
     rows = cut(rows)
-    shared = with_value(rows, rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times", "times")
+    scratch.append(rows)
+    shared = with_value(rows, rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times", "times", scratch)
     # a set: a row that is there twice counts twice above, which leaves the order the same for all, but is one member
     known = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common")).join(members.select("rep", "n"), "rep")
     # shingles of this document alone come first in its prefix
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
     prefix = cut(known.where(length > 0).select("rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
     hubs = prefix.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("times"))
-    return with_value(prefix, hubs, "hub", "times").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    scratch.append(prefix)
+    return with_value(prefix, hubs, "hub", "times", scratch).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -335,7 +338,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     large = reps.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > large_bytes).select("block")
     if not large.isEmpty():
         members = reps.join(large, "block", "left_semi")
-        again = components(prefix_edges(members, texts, words, percent)).withColumnsRenamed({"node": "rep", "root": "again"})
+        scratch: list[DataFrame] = []
+        again = components(prefix_edges(members, texts, words, percent, scratch)).withColumnsRenamed({"node": "rep", "root": "again"})
+        for table in scratch:  # components has its own tables
+            drop(table)
         inside = reps.join(large, "block", "left_semi").join(again, "rep").select(F.col("again").alias("block"), "h1", "rep", "n")
         reps = cut(reps.join(large, "block", "left_anti").union(inside))
     of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), chunks))
