@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark) -> str:
@@ -25,6 +26,15 @@ def checkpoint_dir(spark) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def named(name: str) -> Column:
+    """A column by its name, dots and backticks included."""
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _folder(spark, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

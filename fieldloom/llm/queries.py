@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, lines, lm, mixing, packing, quality, substring, tokens, toxicity
+from . import decontaminate, exact, jaccard, lines, lm, merkle, mixing, negatives, packing, quality, substring, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(documents(spark, sf_dir), depth=lm.DEEPEST)
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector and its positives."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; a third of them fold with their letters in lower case."""
+    picked = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    df = merkle.manifest(documents(spark, sf_dir), tampered=picked, changes={"text": merkle.lowered(F.col("text"))})
+    return df.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of test items."""
+    df = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return df.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -83,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 SQL_EXACT = r"""
@@ -169,10 +192,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM y"""
 
 
+SQL_NEGATIVES = r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.no AS anchor, a.vec_id AS anchor_id, v.no, v.vec_id, v.label = a.label AS same, list_dot_product(a.q, v.q)::BIGINT AS score FROM v AS a JOIN v ON a.no <> v.no WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, no) <= 5),
+n AS (SELECT s.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.no ORDER BY s.score DESC, s.vec_id, s.no) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+SQL_DECONTAMINATION = r"""
+WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM p) ON len(w) >= k)),
+m AS MATERIALIZED (SELECT DISTINCT doc_id, k, i, item FROM g JOIN p USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def sql_merkle(levels: int = 9) -> str:
+    """levels: as many as a group or the groups may have; more change nothing."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda t: f"sha256({' || '.join(field(t if c == 'text' else c) for c in merkle.FIELDS)})"
+    lower = f"translate(text, '{merkle.LETTERS}', '{merkle.LETTERS.lower()}')"
+    ctes = []
+
+    def tree(name: str, first: str) -> None:
+        """Levels of a forest: tables of (key, pos, h, n), and for each node of the first the siblings and the places."""
+        ctes.append(f"{name}0 AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({first}))")
+        for k in range(levels):
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT key, pos // 8 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h, (n + 7) // 8 AS n FROM (SELECT key, pos, h, n FROM {name}{k}) GROUP BY key, pos // 8, n)")
+
+    def fold(name: str, k: int, before: str) -> str:
+        """Folds a row's digest through level k of the forest, and adds the siblings to its proof."""
+        inner = f"(SELECT string_agg(CASE WHEN s.pos = r.{name}_pos // {8**k} THEN {{}} ELSE s.h END, '' ORDER BY s.pos) FROM {name}{k} AS s WHERE s.key = r.{name}_key AND s.pos // 8 = r.{name}_pos // {8 ** (k + 1)} AND s.n > 1)"
+        return f"SELECT * EXCLUDE (proof, folded), proof || coalesce({inner.format(chr(39) * 2)}, '') AS proof, coalesce(sha256({inner.format('r.folded')}), r.folded) AS folded FROM {before} AS r"
+
+    tree("g", f"SELECT {field('lang')} AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {leaf('text')}) - 1 AS pos, {leaf('text')} AS h, lang, doc_id, {leaf(lower)} AS changed FROM documents")
+    tree("r", f"SELECT '' AS key, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, h, key AS label FROM g{levels} JOIN (SELECT DISTINCT key, lang FROM g0) USING (key)")
+    start = f"""SELECT g0.doc_id, g0.key AS g_key, '' AS r_key, g0.h AS leaf, g0.pos AS g_pos, r0.pos AS r_pos, r0.h AS subroot, (SELECT h FROM r{levels}) AS root, '' AS proof, CASE WHEN crc % 3 = 0 THEN g0.changed ELSE g0.h END AS folded
+      FROM g0 JOIN r0 ON g0.key = r0.label LEFT JOIN (SELECT DISTINCT doc_id, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, x: xor(c >> 8, bytes[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+      FROM documents, (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS bytes)) USING (doc_id)"""
+    ctes.append(f"f0 AS MATERIALIZED ({start})")
+    for k in range(2 * levels):
+        ctes.append(f"f{k + 1} AS MATERIALIZED ({fold('gr'[k // levels], k % levels, f'f{k}')})")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f{2 * levels}"
+
+
 SQL: dict[str, str] = {
     "op3_line_dedup": SQL_LINES,
     "op5_exact_dedup": SQL_EXACT,
     "op6_substring_dedup": SQL_SUBSTRING,
     "op8_mixing": SQL_MIXING,
     "op9_quality_rules": sql_quality(),
+    "op11_hard_negative_mining": SQL_NEGATIVES,
+    "op12_merkle_manifest": sql_merkle(),
+    "op13_benchmark_decontamination": SQL_DECONTAMINATION,
 }
