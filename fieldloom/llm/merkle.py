@@ -27,7 +27,6 @@ from .cut import cut, named, small_batches
 
 FANOUT = 8
 LEVELS = 4
-BLOCK = FANOUT**LEVELS
 HEX = 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,10 +56,10 @@ def hashed(nodes: np.ndarray) -> np.ndarray:
     return np.frombuffer("".join(hashlib.sha256(r.data).hexdigest() for r in runs).encode(), np.uint8).reshape(-1, HEX)
 
 
-def lift(digests: bytes, size: int) -> list[np.ndarray]:
-    """The levels of a block of a sequence of that size, from its nodes up to one."""
+def lift(digests: bytes, size: int, most: int) -> list[np.ndarray]:
+    """The levels of a block of a sequence of that size, from its nodes up to one, or by most levels."""
     levels = [np.frombuffer(digests, np.uint8).reshape(-1, HEX)]
-    for _ in range(min(LEVELS, levels_of(size))):
+    for _ in range(min(most, levels_of(size))):
         levels.append(hashed(levels[-1]))
     return levels
 
@@ -98,7 +97,7 @@ def in_order(df: DataFrame, by: list) -> DataFrame:
     return rows.withColumn("part", part).join(first, ["key", "part"]).withColumn("pos", F.col("start") + F.col("place") - F.col("first")).drop("place", "part", "first", "start")
 
 
-def blocks_of(nodes: DataFrame) -> DataFrame:
+def blocks_of(nodes: DataFrame, most: int) -> DataFrame:
     """nodes: key, size, pos, digest, and perhaps label and claimed. A row per block: key, size, block, digests, and the labels and claimed digests by node."""
     more = [c for c in ("label", "claimed") if c in nodes.columns]
     kinds = {"label": f"array<{nodes.schema['label'].dataType.simpleString()}>" if "label" in more else "", "claimed": "array<string>"}
@@ -109,23 +108,23 @@ def blocks_of(nodes: DataFrame) -> DataFrame:
         whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(table)], pa.int32()), table.column(c).combine_chunks() if len(table.column(c).chunks) != 1 else table.column(c).chunk(0))
         return pa.table({"key": table.column("key")[:1], "size": table.column("size")[:1], "block": table.column("block")[:1], "digests": pa.array([data.tobytes()], pa.binary()), **{f"{c}s": whole(c) for c in more}})
 
-    dealt = nodes.withColumn("block", F.expr(f"pos div {BLOCK}")).select("key", "size", "block", "pos", "digest", *more)
+    dealt = nodes.withColumn("block", F.expr(f"pos div {FANOUT**most}")).select("key", "size", "block", "pos", "digest", *more)
     return cut(dealt.groupBy("key", "block").applyInArrow(run, "key string, size long, block long, digests binary" + "".join(f", {c}s {kinds[c]}" for c in more)))
 
 
-def raised(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def raised(nodes: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of each round, and (key, digest, size) of each sequence's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).to_pylist()
-            tops = [lift(d.as_py(), n)[-1].tobytes() for n, d in zip(sizes, batch.column(3), strict=True)]
-            left = [-(-n // BLOCK) for n in sizes]
+            tops = [lift(d.as_py(), n, most)[-1].tobytes() for n, d in zip(sizes, batch.column(3), strict=True)]
+            left = [-(-n // FANOUT**most) for n in sizes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.int64()), batch.column(2), pa.array(tops, pa.binary()).cast(pa.string())], names=["key", "size", "pos", "digest"])
 
     rounds, roots = [], None
     while roots is None or not nodes.isEmpty():
-        rounds.append(blocks_of(nodes))
+        rounds.append(blocks_of(nodes, most))
         tops = cut(rounds[-1].select("key", "size", "block", "digests").mapInArrow(run, "key string, size long, pos long, digest string"))
         done = tops.where("size = 1").select("key", "digest")
         roots = done if roots is None else roots.unionByName(done)
@@ -133,21 +132,23 @@ def raised(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return rounds, roots
 
 
-def with_above(rounds: list[DataFrame], paths: DataFrame) -> DataFrame:
+def with_above(rounds: list[DataFrame], paths: DataFrame, most: int) -> DataFrame:
     """The blocks of the first round with the siblings above them. paths: key, above (the siblings above a sequence's root) and top (a text all its nodes get)."""
 
+    whole = FANOUT**most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, size, block, digests, above, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                levels = lift(digests, size)
+                levels = lift(digests, size, most)
                 for nodes in some(len(levels[0])):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes)), pa.array([block * BLOCK + k for k in nodes]), pa.array([siblings(levels, k) + above for k in nodes], pa.binary()), pa.array([top] * len(nodes), pa.string())], names=["key", "block", "above", "top"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes)), pa.array([block * whole + k for k in nodes]), pa.array([siblings(levels, k) + above for k in nodes], pa.binary()), pa.array([top] * len(nodes), pa.string())], names=["key", "block", "above", "top"])
 
     below = None
     for k in reversed(range(len(rounds))):
-        mine = rounds[k].where(F.col("size") <= BLOCK).join(paths, "key")
+        mine = rounds[k].where(F.col("size") <= whole).join(paths, "key")
         if below is not None:
-            mine = mine.unionByName(rounds[k].where(F.col("size") > BLOCK).join(below, ["key", "block"]))
+            mine = mine.unionByName(rounds[k].where(F.col("size") > whole).join(below, ["key", "block"]))
         if k:
             below = cut(mine.select("key", "size", "block", "digests", "above", "top").mapInArrow(run, "key string, block long, above binary, top string"))
     return mine
@@ -162,7 +163,7 @@ def text(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def manifest(docs: DataFrame, fields=FIELDS, doc_id: str = "doc_id", group: str = "lang", tampered: Column | None = None, changes: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields=FIELDS, doc_id: str = "doc_id", group: str = "lang", tampered: Column | None = None, changes: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """A row per row of docs: doc_id, leaf, subroot, root, proof, place (position and size in its group, and the group's), folded_root, verified.
 
     A leaf is the SHA-256 (hex) of the fields, each null as a dash and otherwise with its bytes counted before it. Eight
@@ -178,19 +179,19 @@ def manifest(docs: DataFrame, fields=FIELDS, doc_id: str = "doc_id", group: str
     leaf, other = (F.sha2(F.concat(*map(sized, x)), 256) for x in (map(named, fields), swapped))
     base = docs.select(sized(named(group)).alias("key"), named(group).cast("string").alias("group"), named(doc_id).alias("label"), leaf.alias("digest"), F.when(fixed, other).alias("claimed"))
     placed = in_order(base.withColumn("no", F.monotonically_increasing_id()), ["key", "label", "digest", "no"])
-    rounds, roots = raised(placed.select("key", "size", "pos", "digest", "label", "claimed"))
+    rounds, roots = raised(placed.select("key", "size", "pos", "digest", "label", "claimed"), levels)
     groups = cut(placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).join(roots, "key"))
     tops = in_order(groups.select(F.lit("").alias("key"), "group", F.col("key").alias("label"), "digest"), [F.col("group").asc_nulls_first()])
-    above, root = raised(tops.select("key", "size", "pos", "digest", "label"))
-    held = with_above(above, root.select("key", F.lit(b"").alias("above"), F.lit("").alias("top")))
+    above, root = raised(tops.select("key", "size", "pos", "digest", "label"), levels)
+    held = with_above(above, root.select("key", F.lit(b"").alias("above"), F.lit("").alias("top")), levels)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, block, digests, labels, up in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                levels = lift(digests, size)
+                nodes_ = lift(digests, size, levels)
                 for nodes in some(len(labels)):
-                    tops = [f"{levels[0][k].tobytes().decode()} {block * BLOCK + k} {size}" for k in nodes]
-                    yield pa.RecordBatch.from_arrays([pa.array([labels[k] for k in nodes]), pa.array([siblings(levels, k) + up for k in nodes], pa.binary()), pa.array(tops)], names=["key", "above", "top"])
+                    tops = [f"{nodes_[0][k].tobytes().decode()} {block * FANOUT**levels + k} {size}" for k in nodes]
+                    yield pa.RecordBatch.from_arrays([pa.array([labels[k] for k in nodes]), pa.array([siblings(nodes_, k) + up for k in nodes], pa.binary()), pa.array(tops)], names=["key", "above", "top"])
 
     tree = cut(held.select("size", "block", "digests", "labels", "above").mapInArrow(paths, "key string, above binary, top string"))
     found, kind = root.first(), docs.schema[doc_id].dataType.simpleString()
@@ -200,13 +201,13 @@ def manifest(docs: DataFrame, fields=FIELDS, doc_id: str = "doc_id", group: str
         for batch in batches:
             for b in range(len(batch)):
                 size, block, digests, claims, up, top = (batch.column(c)[b].as_py() for c in ("size", "block", "digests", "claimeds", "above", "top"))
-                labels, levels, (subroot, at, groups) = batch.column("labels")[b].values, lift(digests, size), top.split(" ")
+                labels, tree_, (subroot, at, groups) = batch.column("labels")[b].values, lift(digests, size, levels), top.split(" ")
                 for nodes in some(len(claims)):
-                    own = [levels[0][k].tobytes() for k in nodes]
-                    proofs = [siblings(levels, k) + up for k in nodes]
-                    places = [[block * BLOCK + k, size, int(at), int(groups)] for k in nodes]
+                    own = [tree_[0][k].tobytes() for k in nodes]
+                    proofs = [siblings(tree_, k) + up for k in nodes]
+                    places = [[block * FANOUT**levels + k, size, int(at), int(groups)] for k in nodes]
                     folded = [fold(claims[k].encode() if claims[k] else d, p, [(x[0], x[1]), (x[2], x[3])]) for k, d, p, x in zip(nodes, own, proofs, places, strict=True)]
                     yield pa.RecordBatch.from_arrays([labels.slice(nodes[0], len(nodes)), text(own), pa.array([subroot] * len(nodes)), text([end] * len(nodes)), text(proofs), pa.array(places, pa.list_(pa.int64())), text(folded), pa.array([f == end for f in folded])], names=["doc_id", "leaf", "subroot", "root", "proof", "place", "folded_root", "verified"])
 
-    blocks = with_above(rounds, tree).select("size", "block", "digests", "labels", "claimeds", "above", "top")
+    blocks = with_above(rounds, tree, levels).select("size", "block", "digests", "labels", "claimeds", "above", "top")
     return blocks.mapInArrow(leaves, f"doc_id {kind}, leaf string, subroot string, root string, proof string, place array<long>, folded_root string, verified boolean")
