@@ -168,7 +168,7 @@ def selected(rows: DataFrame, pack: dict, asked: Requests, k: int, same: bool, s
     ids, numbers = pack["ids"], pack["numbers"]
     left = np.flatnonzero(asked.hi >= asked.lo)
     while len(left):
-        bits = int(np.clip((COUNTERS // len(left)).bit_length() - 1, 4, 12))
+        bits = int(np.clip((COUNTERS // len(left)).bit_length() - 1, 1, 7))
         shift = asked.shifts(bits)[left]
         if held is not None:
             held.unpersist()
