@@ -16,7 +16,8 @@ Passages that many short documents share make blocks larger than their near copi
 size is therefore met again by prefixes: shingles are counted over all such blocks, and a document's
 rarest ones, as many as a linked document can't lack altogether, make the new edges.
 
-Texts are fetched for members of blocks only; a bit array of fixed size over their ids keeps most
+A class of equal sets has a number, which stands for it to the end, and one of its rows, known by id and a hash of its text,
+lends the text. Texts are fetched once, for members of blocks only; a bit array of fixed size over those rows keeps most
 others from being shuffled for that.
 
 A block is cut into chunks of bounded bytes, each with the block's smallest document as a hub. Near
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytesk
 from .components import components
-from .cut import cut, drop, small_batches
+from .cut import cut, drop, named, small_batches
 
 CHUNK_BYTES = 4 << 20
 LARGE_BYTES = 1 << 17
@@ -237,49 +238,66 @@ def local_roots(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def chunk_roots(tasks: DataFrame, words: int, percent: int) -> DataFrame:
-    """tasks: block, chunk, part, rep, h1, text. (block, rep, root) within each group of the first three, root being the smallest member linked."""
+    """tasks: block, chunk, part, node, h1, text. (block, node, root) within each group of the first three, root being the smallest member linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rep")
-        reps, expected, sets, seen = [], table.column("h1").to_pylist(), [], set()
-        for rep, h, s in zip(table.column("rep").to_pylist(), expected, shingle_sets(table.column("text"), words), strict=True):
-            if rep not in seen and len(s) and identity(s)[0] == h:  # not another text under the same id
-                seen.add(rep)
-                reps.append(rep)
+        table = table.sort_by("node")
+        nodes, expected, sets = [], table.column("h1").to_pylist(), []
+        for node, h, s in zip(table.column("node").to_pylist(), expected, shingle_sets(table.column("text"), words), strict=True):
+            if nodes[-1:] != [node] and len(s) and identity(s)[0] == h:  # a hub is in its own chunk twice
+                nodes.append(node)
                 sets.append(s)
-        ids = np.array(reps, np.int64)
-        return pa.table({"block": np.full(len(ids), table.column("block")[0].as_py()), "rep": ids, "root": ids[local_roots(sets, percent)] if len(ids) else ids})
+        ids = np.array(nodes, np.int64)
+        return pa.table({"block": np.full(len(ids), table.column("block")[0].as_py()), "node": ids, "root": ids[local_roots(sets, percent)] if len(ids) else ids})
 
-    return tasks.groupBy("block", "chunk", "part").applyInArrow(run, "block long, rep long, root long")
+    return tasks.groupBy("block", "chunk", "part").applyInArrow(run, "block long, node long, root long")
+
+
+def row_key(doc_id: str, text: str) -> list:
+    """What tells rows apart but for rows equal in id and text: a hash of the text, the id, and whether it is missing."""
+    own = named(doc_id).cast("long")
+    return [F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("t"), F.coalesce(own, F.lit(0)).alias("i"), own.isNull().alias("lost")]
+
+
+KEY = ["t", "i", "lost"]
 
 
 def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
+    """(t, i, lost, n, h1, h2) of each row: its key, and the size and identity of its set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *identity(s)) for s in shingle_sets(batch.column(1), words)]
+            rows = [(len(s), *identity(s)) for s in shingle_sets(batch.column(3), words)]
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], names=["doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], names=[*KEY, "n", "h1", "h2"])
+
+    return docs.select(*row_key(doc_id, text), named(text).alias("text")).mapInArrow(run, "t long, i long, lost boolean, n long, h1 long, h2 long")
 
-    out = docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
-    return out
+
+def with_texts(docs: DataFrame, text: str, doc_id: str, reps: DataFrame) -> DataFrame:
+    """reps (block, node, h1, n and a row's key) with the texts of those rows."""
+    rows = with_keys(docs.select(*row_key(doc_id, text), named(text).alias("text")), reps)
+    # rows equal in id and text are one here, combined before they move
+    once = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
+    return reps.join(once, KEY).select("block", "node", "h1", "n", "text")
 
 
 def with_value(rows: DataFrame, values: DataFrame, value: str, times: str, scratch: list[DataFrame]) -> DataFrame:
-    """rows (rep, shingle) with the value of their shingle; values: a row per shingle, times being its number of rows.
+    """rows (node, shingle) with the value of their shingle; values: a row per shingle, times being its number of rows.
 
     A shingle with more than 1/HOT of all rows is joined in SALTS parts; there are fewer than HOT of them, so they are broadcast to mark their rows.
     """
     values = cut(values.select("shingle", *dict.fromkeys((value, times))))
     scratch.append(values)
     hot = values.where(F.col(times) > rows.count() // HOT).select("shingle", F.lit(True).alias("hot"))
-    marked = rows.join(F.broadcast(hot), "shingle", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(0).cast("int"))
+    marked = rows.join(F.broadcast(hot), "shingle", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int"))
     every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread_ = values.join(F.broadcast(hot), "shingle", "left").select("shingle", value, F.explode(every).alias("salt"))
-    return marked.join(spread_, ["shingle", "salt"]).select("rep", "shingle", value)
+    return marked.join(spread_, ["shingle", "salt"]).select("node", "shingle", value)
 
 
-def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
-    """members: block, rep, h1, n; texts: rep, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members. scratch gets the tables behind them."""
+def prefix_edges(members: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """members: block, node, h1, n, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members. scratch gets the tables behind them."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,88 +308,112 @@ def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int,
                     hashes.append(s.view(np.int64))
                     held += len(s)
                 if rows and (held > 1 << 18 or i == len(batch) - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["rep", "shingle"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["node", "shingle"])
                     rows, hashes, held = [], [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["rep", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["node", "shingle"])
 
-    rows = members.join(texts, "rep").select("block", "rep", "h1", "text").mapInArrow(spell, "rep long, shingle long")
+    rows = members.select("block", "node", "h1", "text").mapInArrow(spell, "node long, shingle long")
     rows = cut(rows)
     scratch.append(rows)
     shared = with_value(rows, rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times", "times", scratch)
     # a set: a row that is there twice counts twice above, which leaves the order the same for all, but is one member
-    known = shared.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common")).join(members.select("rep", "n"), "rep")
+    known = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("times", "shingle"))).alias("common")).join(members.select("node", "n"), "node")
     # shingles of this document alone come first in its prefix
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
-    prefix = cut(known.where(length > 0).select("rep", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
-    hubs = prefix.groupBy("shingle").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("times"))
+    prefix = cut(known.where(length > 0).select("node", F.explode(F.slice("common", F.lit(1), length.cast("int"))["shingle"]).alias("shingle")))
+    hubs = prefix.groupBy("shingle").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("times"))
     scratch.append(prefix)
-    return with_value(prefix, hubs, "hub", "times", scratch).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    return with_value(prefix, hubs, "hub", "times", scratch).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """docs (with column) without most of the rows whose id isn't in ids; a join is still to follow."""
+def with_keys(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key isn't in wanted; a join is still to follow."""
     bits = FILTER_WORDS.bit_length() - 1
-    h = F.xxhash64(column)
+    h = F.xxhash64(*KEY)
     word, bit = h.bitwiseAND(F.lit(FILTER_WORDS - 1)), F.shiftrightunsigned(h, bits).bitwiseAND(F.lit(63))
     mask = F.expr("shiftleft(1L, cast(bit as int))")
-    held = cut(ids.select(word.alias("word"), bit.alias("bit")).select("word", mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")))
-    return docs.withColumns({"word": word, "bit": bit}).join(F.broadcast(held), "word").where(F.col("mask").bitwiseAND(mask) != 0).drop("word", "bit", "mask")
+    held = cut(wanted.select(word.alias("word"), bit.alias("bit")).select("word", mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    return rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(held), "word").where(F.col("mask").bitwiseAND(mask) != 0).drop("word", "bit", "mask")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).
-
-    Words are runs without ASCII white space, A-Z lower-cased. Null, empty and blank texts have no
-    shingle and are linked with nothing. Rows with equal texts are linked whatever their ids; a row
-    with a null id takes part only through its copies with an id, and alone has a null component.
-    Where an id repeats with different texts, links are those of each text. An empty table gives no rows.
-    """
+def classes_of(docs: DataFrame, words: int, percent: int, text: str, doc_id: str, chunk_bytes: int, large_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and for each class of equal sets (h1, h2, n) the first row key of its component: lost, i, t."""
     small_batches(docs.sparkSession)
     known = cut(features(docs, text, doc_id, words))
     blocks = components(meeting_edges(docs, text, words, percent))
-    same = ["h1", "h2", "n"]
-    classes = known.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").where("rep is not null").select("block", "h1", "rep", "n"))
-    texts = with_ids(docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")), reps.select("rep"), "rep")
+    first = F.min(F.struct("lost", "i", "t")).alias("first")  # ids before missing ones
+    classes = cut(known.where("n > 0").groupBy(*SAME).agg(first).withColumn("node", F.monotonically_increasing_id()))
+    reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").select("block", "node", "h1", "n", "first.*"))
+    texts = cut(with_texts(docs, text, doc_id, reps))
+    drop(reps)
+    reps = texts.select("block", "node", "h1", "n")
     chunks = F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")
     large = reps.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > large_bytes).select("block")
     if not large.isEmpty():
-        members = reps.join(large, "block", "left_semi")
         scratch: list[DataFrame] = []
-        again = components(prefix_edges(members, texts, words, percent, scratch)).withColumnsRenamed({"node": "rep", "root": "again"})
+        again = components(prefix_edges(texts.join(large, "block", "left_semi"), words, percent, scratch)).withColumnsRenamed({"root": "again"})
         for table in scratch:  # components has its own tables
             drop(table)
-        inside = reps.join(large, "block", "left_semi").join(again, "rep").select(F.col("again").alias("block"), "h1", "rep", "n")
+        inside = reps.join(large, "block", "left_semi").join(again, "node").select(F.col("again").alias("block"), "node", "h1", "n")
         reps = cut(reps.join(large, "block", "left_anti").union(inside))
-    of = cut(reps.groupBy("block").agg(F.min(F.struct("rep", "h1", "n")).alias("hub"), chunks))
-    dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk"), F.lit(0).alias("part"), "rep", "h1")
-    hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.rep", "hub.h1")
-    roots = cut(chunk_roots(dealt.union(hubs).join(texts, "rep"), words, percent))
-    left = roots.join(of.where("chunks > 1"), "block").where(F.col("root") != F.col("hub.rep")).select("block", "rep")
+    of = cut(reps.groupBy("block").agg(F.min(F.struct("node", "h1", "n")).alias("hub"), chunks))
+    dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(0).alias("part"), "node", "h1")
+    hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.node", "hub.h1")
+    lent = texts.select("node", "text")
+    roots = cut(chunk_roots(dealt.union(hubs).join(lent, "node"), words, percent))
+    left = roots.join(of.where("chunks > 1"), "block").where(F.col("root") != F.col("hub.node")).select("block", "node")
     if not left.isEmpty():  # what its own chunk could not link to the hub meets the block's other chunks
-        rest = reps.join(left, ["block", "rep"], "left_semi")
+        rest = reps.join(left, ["block", "node"], "left_semi")
         parts = rest.groupBy("block").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).alias("parts"))
         every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         sizes = of.join(parts, "block").select("block", "chunks", "parts")
-        whole = dealt.drop("part").join(sizes, "block").select("block", "chunk", every("parts").alias("part"), "rep", "h1")
-        odd = rest.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).select("block", every("chunks").alias("chunk"), "part", "rep", "h1")
-        more = chunk_roots(whole.union(odd).join(texts, "rep"), words, percent)
-        edges = roots.union(more).select(F.col("rep").alias("a"), F.col("root").alias("b"))
-        found = components(edges).withColumnsRenamed({"node": "rep"})
+        whole = dealt.drop("part").join(sizes, "block").select("block", "chunk", every("parts").alias("part"), "node", "h1")
+        odd = rest.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select("block", every("chunks").alias("chunk"), "part", "node", "h1")
+        more = chunk_roots(whole.union(odd).join(lent, "node"), words, percent)
+        edges = roots.union(more).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(edges)
     else:
-        found = roots.select("rep", "root").distinct()
-    # a table of its own: the join's two sides are then plain exchanges, and the planner can split the rows of a text with many copies
-    named = cut(classes.join(found, "rep", "left").select(*same, F.coalesce("root", "rep").alias("component_id")))
-    return known.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        found = roots.select("node", "root").distinct()
+    rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("start"))
+    # a table of its own: a join with it has plain exchanges on both sides, and the planner can split the rows of a text with many copies
+    return known, cut(rooted.select(*SAME, "root").join(firsts, "root").select(*SAME, "start.*"))
+
+
+SAME = ["h1", "h2", "n"]
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).
+
+    Words are runs without ASCII white space, A-Z lower-cased. Null, empty and blank texts have no
+    shingle and are linked with nothing; their component is their own id. Every other row takes part, whatever its
+    id: rows without an id link others and have the component of those, null if nothing reachable has an id; where an
+    id repeats with different texts, links are those of each text, and each row has its own component. An empty table gives no rows.
+    """
+    known, named_ = classes_of(docs, words, percent, text, doc_id, chunk_bytes, large_bytes)
+    own, start = (F.when(~F.col(f"{p}lost"), F.col(f"{p}i")) for p in ("", "start_"))
+    named_ = named_.select(*SAME, F.col("i").alias("start_i"), F.col("lost").alias("start_lost"))
+    return known.join(named_, SAME, "left").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, start).otherwise(own).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that are linked, at once or through others, with one of a smaller id.
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", chunk_bytes: int = CHUNK_BYTES, large_bytes: int = LARGE_BYTES) -> DataFrame:
+    """One row of each group of linked rows of docs, and all rows without a shingle: the columns of docs.
 
-    Rows that share an id stay or go together. Rows with a null id stay, and so do null, empty and blank texts, which are
-    linked with nothing; a document all of whose copies have no id is never dropped. Other columns stay as they are; an empty table gives no rows.
+    The row with the smallest id stays, one without an id only if none has one, and of several with that id the one with the smallest hash of its text;
+    of rows equal in id and text any one. Rows that share an id are judged by their own texts. Null, empty and blank texts
+    are linked with nothing and stay. An empty table gives no rows.
     """
-    found = jaccard_components(docs, words, percent, doc_id=doc_id, **options)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    known, named_ = classes_of(docs, words, percent, text, doc_id, chunk_bytes, large_bytes)
+    start = named_.select(*SAME, *(F.col(k).alias(f"start_{k}") for k in KEY))
+    every = known.where("n > 0").groupBy(*KEY, *SAME).agg(F.count(F.lit(1)).alias("rows")).join(start, SAME)
+    stays = (F.col("t") == F.col("start_t")) & (F.col("i") == F.col("start_i")) & (F.col("lost") == F.col("start_lost"))
+    judged = cut(every.where(~stays | (F.col("rows") > 1)).select(*KEY, stays.alias("stays")))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), *row_key(doc_id, text))
+    kept = rows.join(judged, KEY, "left_anti").select("row.*")
+    again = judged.where("stays")
+    if again.isEmpty():
+        return kept
+    once = with_keys(rows, again).join(again, KEY, "left_semi").groupBy(*KEY).agg(F.first("row").alias("row"))
+    return kept.unionByName(once.select("row.*"))

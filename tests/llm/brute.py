@@ -16,8 +16,8 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def components(rows, k, percent):
-    """{index: (set size, smallest id)}"""
+def components_by_row(rows, k, percent):
+    """(set size, index of the component's first row) of each row"""
     sets = []
     for _, text in rows:
         w = WORD.findall(lower(text or ""))
@@ -34,11 +34,17 @@ def components(rows, k, percent):
             both = len(a & sets[j])
             if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 root[find(i)] = find(j)
+    return [(len(sets[i]), find(i)) for i in range(len(rows))]
+
+
+def components(rows, k, percent):
+    """(id, set size, smallest id) of each row"""
+    found = components_by_row(rows, k, percent)
     ids = collections.defaultdict(list)
-    for i in range(len(rows)):
-        if rows[i][0] is not None:
-            ids[find(i)].append(rows[i][0])
-    return [(rows[i][0], len(sets[i]), (min(ids[find(i)]) if ids[find(i)] else None) if sets[i] else rows[i][0]) for i in range(len(rows))]
+    for (i, _), (_, root) in zip(rows, found, strict=True):
+        if i is not None:
+            ids[root].append(i)
+    return [(i, n, min(ids[root], default=None) if n else i) for (i, _), (n, root) in zip(rows, found, strict=True)]
 
 
 def line_dedup(rows, min_chars=40, min_docs=5):

@@ -38,13 +38,45 @@ def test_jaccard_chain_over_chunks(spark):
     assert got(df, "doc_id", "n_shingles", "component_id") == want((k, 97, 0) for k in range(300))
 
 
-def test_jaccard_null_ids_and_repeated_rows(spark):
-    made = texts.rows(3, 40, ids=False)
-    df = jaccard.jaccard_components(texts.table(spark, made), 4, 85)
+def plain_keep_one(made, words, percent):
+    """How many rows of each (id, text) stay: one of a component, by id and whether there is one; and all rows without a shingle."""
+    rows = brute.components_by_row(made, words, percent)
+    stay = [made[i] for i, (n, _) in enumerate(rows) if not n]
+    groups = collections.defaultdict(list)
+    for i, (n, root) in enumerate(rows):
+        if n:
+            groups[root].append(made[i])
+    return stay, [min((i is None, i or 0) for i, _ in g) for g in groups.values()]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_null_ids_and_repeated_rows(spark, seed):
+    made = texts.rows(seed, 40, ids=False)
+    r = np.random.default_rng(seed)
+    made += [(made[r.integers(len(made))][0], made[r.integers(len(made))][1]) for _ in range(60)]  # ids with several texts, and texts with several ids
+    made += [(None, made[r.integers(len(made))][1]) for _ in range(20)]
+    df = jaccard.jaccard_components(texts.table(spark, made), 4, 85, chunk_bytes=20_000, large_bytes=10_000)
     assert got(df, "doc_id", "n_shingles", "component_id") == want(brute.components(made, 4, 85))
     kept = jaccard.keep_one(texts.table(spark, made), 4, 85)
     assert kept.columns == texts.table(spark, made).columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, _, c in brute.components(made, 4, 85) if i == c}
+    blank, firsts = plain_keep_one(made, 4, 85)
+    rows = [(x.doc_id, x.text) for x in kept.collect()]
+    full = [x for x in rows if brute.WORD.search(x[1] or "")]
+    assert want(x for x in rows if x not in full) == want(blank)
+    assert sorted((i is None, i or 0) for i, _ in full) == sorted(firsts)
+    assert all(x in made for x in full)
+
+
+def test_jaccard_links_through_rows_without_id_and_of_ids_with_several_texts(spark):
+    words = [f"w{k}" for k in range(400)]
+    near = lambda k, step=0: " ".join(words[k + step : k + step + 90])
+    made = [(5, near(0)), (3, near(0, 3)), (5, near(200)), (4, near(200, 3)), (10, near(100)), (None, near(100, 6)), (11, near(100, 12)), (None, "alone but for this row"), (None, "alone but for this row"), (7, near(200)), (7, near(300))]
+    df = jaccard.jaccard_components(texts.table(spark, made), 4, 85)
+    expected = brute.components(made, 4, 85)
+    assert got(df, "doc_id", "n_shingles", "component_id") == want(expected) and df.count() == len(made)
+    assert [c for _, _, c in expected] == [3, 3, 4, 4, 10, 10, 10, None, None, 4, 7]
+    kept = [(x.doc_id, x.text) for x in jaccard.keep_one(texts.table(spark, made), 4, 85).collect()]
+    assert want(kept) == want([(3, near(0, 3)), (4, near(200, 3)), (10, near(100)), (None, "alone but for this row"), (7, near(300))])
 
 
 def test_group_hashes_meet_whenever_sets_are_linked():
