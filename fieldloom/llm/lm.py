@@ -5,8 +5,9 @@ bytes before it (true bytes, six at most: a context and its byte are one 64-bit
 context holds a Krichevsky-Trofimov estimator. From the longest context up, the weighted probability of
 what was seen in a context is half its own block probability plus half the product over its longer
 contexts; the posterior of its own half is its share when the depths are mixed. All of this depends on
-counts alone: tasks count what they read, one group per last two bytes computes its subtree, and the two
-depths above are summed up and go to all tasks.
+counts alone: tasks count what they read, groups of contexts that share their last three bytes compute their subtrees,
+and the depths above are summed up and go to all tasks: at most 65,536 contexts of two bytes with two numbers for each of
+255 nodes, 134 MB if every pair of bytes occurs.
 
 The table has a row for each context and byte that occurs in any text, and so grows with the corpus.
 Those of texts held out count as seen 0 times: they change no weight, and get their probability from the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesk
-from .cut import cut, small_batches
+from .cut import cut, named, small_batches
 
 TOP_WORDS = 1 << 19
 TOP_CONTEXTS = 1 << 21
@@ -36,6 +37,7 @@ STOP = 255  # no byte of UTF-8; ends a text, and stands for what comes before on
 END_WORD = np.int64(0x2545F4914F6CDD1D)
 DEPTH, DEEPEST = 3, 6
 RAW = 1 << 22
+GROUP = 1 << 17
 
 
 def coded(part: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,19 +226,22 @@ class Depth:
         self.share = np.ones_like(own) if longer is None else np.exp(own - np.log(2) - self.weighted)
 
 
-def subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For keys that share their last two bytes, sorted: the probability of each bit of each one's byte, mixed over
-    the depths from 2 (nan: not seen there), counts of the 256 bytes, and log weighted probabilities of the 256 nodes."""
+def subtree(keys: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted keys, all of those that share their last ``top`` bytes: the probability of each bit of each one's byte, mixed over the depths
+    from ``top`` (nan: not seen there), and what the contexts one byte shorter need, by cell: a context and below it, in nine bits,
+    1 to 255 for the log weighted probabilities of its nodes and 256 to 511 for the counts of bytes."""
     pairs, counts, up = {depth: keys.view(np.uint64)}, {depth: n.astype(float)}, {}
-    for d in range(depth - 1, 1, -1):
+    for d in range(depth - 1, top - 1, -1):
         longer = pairs[d + 1]
         pairs[d], up[d] = np.unique(longer >> np.uint64(16) << np.uint64(8) | longer & np.uint64(255), return_inverse=True)
         counts[d] = np.bincount(up[d], counts[d + 1])
-    probability, weights = np.empty((len(keys), 8), np.float32), np.zeros(256)
+    above = (pairs[top] >> np.uint64(16) << np.uint64(9)).astype(np.int64)
+    byte = (pairs[top] & np.uint64(255)).astype(np.int64) | 256
+    probability, cells, values = np.empty((len(keys), 8), np.float32), [above | byte], [counts[top]]
     for k in range(8):
         # all pairs under a node lie side by side
         run, estimate, share, seen = {}, {}, {}, {}
-        for d in range(depth, 1, -1):
+        for d in range(depth, top - 1, -1):
             node, bit = pairs[d] >> np.uint64(8 - k), pairs[d] >> np.uint64(7 - k) & np.uint64(1) > 0
             new = np.append(True, node[1:] != node[:-1])
             run[d], first = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -251,23 +256,31 @@ def subtree(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np
             of_bit = np.where(bit, ones[run[d]], (both - ones)[run[d]])
             estimate[d], seen[d] = (of_bit + 0.5) / (both[run[d]] + 1), (both > 0)[run[d]]
             begun = first
-        weights[(256 | (pairs[2][first] & np.uint64(255)).astype(np.int64)) >> (8 - k)] = weighted
+        cells.append(above[first] | byte[first] >> (8 - k))
+        values.append(weighted)
         # the probability is fixed + left x what the longer contexts say
-        fixed, left, p = np.zeros(len(pairs[2])), np.ones(len(pairs[2])), np.where(seen[2], estimate[2], np.nan)
-        for d in range(2, depth):
+        fixed, left, p = np.zeros(len(pairs[top])), np.ones(len(pairs[top])), np.where(seen[top], estimate[top], np.nan)
+        for d in range(top, depth):
             fixed, left = (fixed + left * share[d] * estimate[d])[up[d]], (left * (1 - share[d]))[up[d]]
             p = np.where(seen[d + 1], fixed + left * estimate[d + 1], p[up[d]])
         probability[:, k] = p
-    total = np.zeros(256)
-    total[(pairs[2] & np.uint64(255)).astype(np.int64)] = counts[2]
-    return probability, total, weights
+    cell, of = np.unique(np.concatenate(cells), return_inverse=True)
+    return probability, cell, np.bincount(of, np.concatenate(values))
+
+
+def spelled(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, and for each its 256 counts and the summed log weighted probabilities of the contexts one byte longer, by node."""
+    contexts, row = np.unique(cells >> 9, return_inverse=True)
+    both = np.zeros((len(contexts), 512))
+    np.add.at(both, (row, cells & 511), values)
+    return contexts, both[:, 256:], both[:, :256]
 
 
 def context_table(counts: DataFrame, depth: int) -> DataFrame:
     """(key, n, log) of each context and byte: log10 probability of the byte."""
-    spark = counts.sparkSession
-    pairs = counts.where("not word").select("key", "n", F.shiftrightunsigned("key", 8 * (depth - 1)).alias("last"))
-    names = ["key", "n", "bits"]
+    spark, top = counts.sparkSession, min(depth, 3)
+    pairs = counts.where("not word").select("key", "n", F.shiftrightunsigned("key", 8 * (depth - top + 1)).alias("last"))
+    groups = max(1, -(-pairs.count() // GROUP))
 
     def fixed(values: np.ndarray) -> pa.Array:
         """Rows as binary values."""
@@ -278,43 +291,61 @@ def context_table(counts: DataFrame, depth: int) -> DataFrame:
         key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
         order = np.argsort(key)
         key, n = key[order], n[order]
-        probability, total, weights = subtree(key, n, depth)
-        ends = pa.array([table.column("last")[0].as_py(), None], pa.int64())
-        sums = fixed(np.concatenate([total, weights])[None])
-        return pa.table([pa.concat_arrays([pa.array(key), ends[:1]]), pa.concat_arrays([pa.array(n), ends[1:]]), pa.concat_arrays([fixed(probability), sums])], names=names)
-
-    grown = cut(pairs.groupBy("last").applyInArrow(grow, "key long, n long, bits binary"))
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x.as_buffer()) for x in table.column("bits"))
-        return pa.table([pa.array([table.column("key")[0].as_py() >> 8]), pa.array([sums.tobytes()])], names=["key", "bits"])
-
-    # a row for each last byte, so 256 at most
-    last = grown.where("n is null").groupBy(F.shiftright("key", 8).alias("one")).applyInArrow(add, "key long, bits binary").collect()
+        probability, cell, value = subtree(key, n, depth, top)
+        none = len(cell)
+        return pa.table({"key": pa.array(np.append(key, cell)), "n": pa.concat_arrays([pa.array(n), pa.nulls(none, pa.int64())]), "bits": pa.concat_arrays([fixed(probability), pa.nulls(none, pa.binary())]), "value": pa.concat_arrays([pa.nulls(len(key), pa.float64()), pa.array(value)])})
+
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("last"), F.lit(groups)))
+    grown = cut(dealt.groupBy("part").applyInArrow(grow, "key long, n long, bits binary, value double"))
+    cells = grown.where("n is null").groupBy("key").agg(F.sum("value").alias("value"))
+
+    def shorter(table: pa.Table) -> pa.Table:
+        """For contexts of two bytes that share the last: estimates (nan: not seen) and shares of their nodes, and their own cells for that byte."""
+        contexts, seen, longer = spelled(table.column("key").to_numpy(), table.column("value").to_numpy())
+        d2 = Depth(seen, longer)
+        held = np.concatenate([np.where(d2.seen, d2.estimate, np.nan), d2.share], axis=1).astype(np.float32)
+        cell = (contexts[0] >> 8 << 9) | np.arange(512)
+        value = np.append(d2.weighted.sum(axis=0), seen.sum(axis=0))
+        return pa.table({"key": pa.array(np.append(contexts, cell)), "bits": pa.concat_arrays([fixed(held), pa.nulls(512, pa.binary())]), "value": pa.concat_arrays([pa.nulls(len(contexts), pa.float64()), pa.array(value)])})
+
+    pair = (np.zeros(0, np.int64), np.zeros((0, 512), np.float32))
+    if top == 3:
+        # at most 256 contexts of two bytes share the last one
+        twos = cut(cells.groupBy(F.shiftright("key", 17).alias("one")).applyInArrow(shorter, "key long, bits binary, value double"))
+        found = twos.where("bits is not null").select("key", "bits").toArrow().sort_by("key").combine_chunks()
+        if len(found):
+            pair = found.column("key").to_numpy(), bytesk.column(found.column("bits"))[0].view(np.float32).reshape(-1, 512)
+        cells = twos.where("bits is null").select("key", "value")
+    ones = cells.toArrow()  # at most 256 contexts of one byte
+    last, seen, longer = spelled(ones.column("key").to_numpy(), ones.column("value").to_numpy())
     sums = np.zeros((256, 512))
-    for r in last:
-        sums[r.key] = np.frombuffer(r.bits)
+    sums[last] = np.concatenate([seen, longer], axis=1)
     d1 = Depth(sums[:, :256], sums[:, 256:])
     root = Depth(sums[:, :256].sum(axis=0, keepdims=True), d1.weighted.sum(axis=0, keepdims=True))
     short, whole = [], []
     for e0, e1 in ((1 - root.estimate, 1 - d1.estimate), (root.estimate, d1.estimate)):
         short.append(np.where(d1.seen, root.share * e0 + (1 - root.share) * e1, e0))
         whole.append(root.share * e0 + (1 - root.share) * d1.share * e1)
-    held = spark.sparkContext.broadcast((np.array(short), np.array(whole), (1 - root.share) * (1 - d1.share)))
+    held = spark.sparkContext.broadcast((np.array(short), np.array(whole), (1 - root.share) * (1 - d1.share), *pair))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, whole, left = held.value
+        short, whole, left, contexts, two = held.value
         for batch in batches:
             data, _ = bytesk.column(batch.column(2))
             bits = data.view(np.float32).reshape(-1, 8).astype(float)
             key = batch.column(0).to_numpy()
             byte, last, log = key & 255, key >> 8 * depth, np.zeros(len(key))
+            at = np.searchsorted(contexts, key >> 8 * (depth - 1))
             for k in range(8):
                 node, bit, p = (256 | byte) >> (8 - k), byte >> (7 - k) & 1, bits[:, k]
+                if top == 3:
+                    one, share = two[at, node].astype(float), two[at, 256 + node]
+                    own = np.where(bit, one, 1 - one)
+                    p = np.where(np.isnan(p), own, share * own + (1 - share) * p)
                 log += np.log10(np.where(np.isnan(p), short[bit, last, node], whole[bit, last, node] + left[last, node] * p))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log.astype(np.float32))], names=["key", "n", "log"])
 
-    return grown.where("n is not null").mapInArrow(finish, "key long, n long, log float")
+    return grown.where("n is not null").select("key", "n", "bits").mapInArrow(finish, "key long, n long, log float")
 
 
 def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_words: int = TOP_WORDS, depth: int = DEPTH, top_contexts: int = TOP_CONTEXTS) -> DataFrame:
@@ -329,8 +360,8 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", top_w
         raise ValueError(f"depth is from 2 to {DEEPEST}")
     spark = docs.sparkSession
     small_batches(spark)
-    crc = F.crc32(F.coalesce(docs[doc_id].cast("string"), F.lit("")).cast("binary"))
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), (crc % 10 == 0).alias("held_out"), docs[text].alias("text"))
+    crc = F.crc32(F.coalesce(named(doc_id).cast("string"), F.lit("")).cast("binary"))
+    base = docs.select(named(doc_id).cast("long").alias("doc_id"), (crc % 10 == 0).alias("held_out"), named(text).alias("text"))
     counts = cut(corpus_counts(base, depth))
     vocabulary = counts.where("word").select("key", "n")
     total, distinct, ends = vocabulary.agg(F.sum("n"), F.count("n"), F.max(F.when(F.col("key") == int(END_WORD), F.col("n")))).first()
