@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, named
 
 FILTER_WORDS = 1 << 20
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -51,7 +51,7 @@ def exact_dedup(docs: DataFrame, carry: list[str], text: str = "text", doc_id: s
     smallest id, a null id last; of rows equal in that too, any one. Null and blank texts are equal
     to each other. An empty table gives no rows. Names inside ``row`` can't clash with the others.
     """
-    base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[doc_id].cast("long").alias("id"), F.length(F.coalesce(docs[text], F.lit(""))).alias("n"), normalised(docs[text]).alias("norm"))
+    base = docs.select(F.struct(*[named(c) for c in carry]).alias("row"), named(doc_id).cast("long").alias("id"), F.length(F.coalesce(named(text), F.lit(""))).alias("n"), normalised(named(text)).alias("norm"))
     base = base.withColumn("h", F.xxhash64("norm"))
     found = cut(twice_hit(base.select("h"), filter_words))
     word = F.transform(cells(F.col("h"), filter_words), lambda c: c["word"])

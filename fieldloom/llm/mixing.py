@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, named, quoted
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -65,8 +65,8 @@ def mix(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "do
     depends on ids and texts only. Rows with one id, or none, are spread by their texts; only rows
     equal in both are numbered by one task. An empty table gives no rows.
     """
-    key = F.md5(F.concat(F.coalesce(docs[doc_id].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(docs[text], F.lit("")))))
-    base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[doc_id].alias("id"), docs[source].alias("source"), key.alias("key"), n_words(docs[text]).alias("size"))
+    key = F.md5(F.concat(F.coalesce(named(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(named(text), F.lit("")))))
+    base = docs.select(F.struct(*[named(c) for c in carry]).alias("row"), named(doc_id).alias("id"), named(source).alias("source"), key.alias("key"), n_words(named(text)).alias("size"))
     base = base.withColumn("prefix", F.substring("key", 1, 3))
     sums = cut(base.groupBy("source", "prefix").agg(F.sum("size").alias("prefix_size")))
     runs = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,4 +91,4 @@ def curriculum(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     are treated as in mix(); an empty table gives no rows.
     """
     df = mix(docs, docs.columns, text, doc_id, **options).select("row", F.explode("positions").alias("position"))
-    return df.orderBy("position", F.xxhash64(f"row.{doc_id}", f"row.{text}")).select("row.*")
+    return df.orderBy("position", F.xxhash64(*(f"row.{quoted(c)}" for c in (doc_id, text)))).select("row.*")

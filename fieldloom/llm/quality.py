@@ -1,11 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each text gives two histograms: its character classes, and its use of the common words of its
-language. Reference histograms are sums over all documents of a language. A text fails when the
+language. Reference histograms are sums over all documents of a language that pass the base rules on
+length and repetition, so that junk which those catch doesn't shift them. A text fails when the
 Jensen-Shannon distance to its reference exceeds a threshold, unless the text is so short that its
-histogram says little (the guards). The base rules on length and repetition come first.
+histogram says little (the guards).
 
-Nothing shuffles but the reference sums, one row per language and task. The references are
+Texts are read once: counts and histograms are written to shared storage, and references and distances
+come from there. Nothing shuffles but the reference sums, one row per language and task. The references are
 broadcast: they have at most one row for each language of ``COMMON_WORDS`` and one for the rest.
 """
 
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cut import cut, named
+
 SPACES = r"[\x20\x09-\x0D]+"
 #: The commonest function words of each language.
 COMMON_WORDS = {
@@ -62,12 +66,12 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, found).otherwise(0)
 
 
-def histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """docs as the struct ``row``, with its words, base counts, language and both histograms."""
+def counted(docs: DataFrame, carry: list[str], text: str, lang: str) -> DataFrame:
+    """The columns to carry as the struct ``row``, language, length, base counts, the base verdict, and both histograms."""
     t, w, r, lg = F.col("t"), F.col("w"), F.col("r"), F.col("lg")
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    code = F.lower(docs[lang].cast("string"))
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"), F.when(code.isin(*COMMON_WORDS), code).otherwise(REST).alias("lg"))
+    code = F.lower(named(lang).cast("string"))
+    df = docs.select(F.struct(*map(named, carry)).alias("row"), F.coalesce(named(text), F.lit("")).alias("t"), F.when(code.isin(*COMMON_WORDS), code).otherwise(REST).alias("lg"))
     df = df.withColumns({"w": F.filter(F.split(t, SPACES), lambda x: x != ""), "r": F.regexp_replace(t, r"[a-z\x20\x09-\x0D]+", "")})
     df = df.withColumns({"n_words": F.size(w).cast("long"), "word_chars": F.length(F.array_join(w, "")).cast("long"), "n_r": F.length(r), "c0": r})
     for k, (_, pattern) in enumerate(CLASSES):
@@ -77,38 +81,34 @@ def histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
     n = len(COMMON_WORDS["en"])
     hits = bound(lists[lg], lambda known: F.filter(F.transform(w, lambda x: F.array_position(known, F.lower(x))), lambda i: i > 0))
     used = bound(hits, lambda h: F.transform(F.sequence(F.lit(1), F.lit(n + 1)), lambda k: F.when(k <= n, F.size(F.filter(h, lambda i: i == k))).otherwise(F.size(w) - F.size(h)).cast("double")))
-    return df.select(
-        "row", "t", "w", "lg", "n_words", "word_chars", counts["symbol"].cast("long").alias("n_symbols"),
+    lines = bound(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    df = df.select(
+        "row", "lg", F.length(t).alias("length"), "n_words", "word_chars", counts["symbol"].cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), repeat_words(w).cast("long").alias("n_repeat_words"),
         F.array(*[c.cast("double") for c in chars]).alias("chars"), F.when(lg != REST, used).alias("used"),
     )
+    return cut(df).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def references(hist: DataFrame) -> DataFrame:
-    """One row per language: both histograms summed over all its documents."""
+    """One row per language: both histograms summed over all its documents that pass the base rules."""
     n_chars, n_used = len(CLASSES) + 3, len(COMMON_WORDS["en"]) + 1
-    sums = hist.groupBy("lg").agg(*[F.sum(F.get("chars", F.lit(i))).alias(f"a{i}") for i in range(n_chars)], *[F.sum(F.get("used", F.lit(i))).alias(f"b{i}") for i in range(n_used)])
+    sums = hist.where("not base_failed").groupBy("lg").agg(*[F.sum(F.get("chars", F.lit(i))).alias(f"a{i}") for i in range(n_chars)], *[F.sum(F.get("used", F.lit(i))).alias(f"b{i}") for i in range(n_used)])
     return sums.select("lg", F.array(*[f"a{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"b{i}" for i in range(n_used)]).alias("ref_used"))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per row of docs: the struct ``row`` of its columns, base counts, both distances and the verdict.
+def quality_rules(docs: DataFrame, carry: list[str] | None = None, text: str = "text", lang: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per row of docs: the struct ``row`` of the columns to carry (all, if none are named), base counts, both distances and the verdict.
 
     A null text is empty and fails the base rules. A null or unknown language is compared with all
-    other such documents, by character classes only. Distances are null where a guard holds, and a
-    null distance fails nothing. Repeated rows are judged alike; an empty table gives no rows.
+    other such documents, by character classes only. Distances are null where a guard holds or no document
+    of the language passes the base rules, and a null distance fails nothing. Repeated rows are judged alike; an empty table gives no rows.
     Columns of docs are read through ``row``, so their names can't clash.
     """
-    hist = histograms(docs, text, lang)
+    hist = counted(docs, docs.columns if carry is None else carry, text, lang)
     df = hist.join(F.broadcast(references(hist)), "lg", "left")
-    t, w = F.col("t"), F.col("w")
-    lines = bound(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    df = df.select("row", "n_words", "word_chars", "n_symbols", lines.cast("long").alias("n_dup_lines"), repeat_words(w).cast("long").alias("n_repeat_words"),
-        F.when(F.length(t) >= min_chars, js_distance(F.col("chars"), F.col("ref_chars"))).alias("char_distance"),
-        F.when(F.col("n_words") >= min_words, js_distance(F.col("used"), F.col("ref_used"))).alias("word_distance"),
-    )
-    # a generator of one row: filters on the verdict stay above it, and don't compute all of this again inside lambdas
-    judged = [c for c in df.columns if c != "row"]
-    df = df.select("row", F.inline(F.array(F.struct(*judged))))
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    df = df.withColumns({
+        "char_distance": F.when(F.col("length") >= min_chars, js_distance(F.col("chars"), F.col("ref_chars"))),
+        "word_distance": F.when(F.col("n_words") >= min_words, js_distance(F.col("used"), F.col("ref_used"))),
+    })
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    return df.select("row", *judged, base_failed.alias("base_failed"), (~base_failed & ~far).alias("kept"))
+    return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~far).alias("kept"))

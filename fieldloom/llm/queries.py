@@ -63,7 +63,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, divergence from the language's distributions, and the verdict on every document."""
-    df = quality.quality_rules(documents(spark, sf_dir))
+    df = quality.quality_rules(documents(spark, sf_dir), ["doc_id"])
     return df.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 4).alias("char_distance"), F.round("word_distance", 4).alias("word_distance"))
 
 
@@ -135,13 +135,13 @@ FROM n"""
 
 
 SQL_LINES = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS no, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT no, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM d),
 m AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-h AS (SELECT key, max(doc_id) AS largest FROM m WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+h AS (SELECT key, max(doc_id) AS largest FROM m WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT no) >= 5)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id < largest) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (largest IS NULL OR doc_id >= largest), '')) AS kept_sha256
-FROM m LEFT JOIN h USING (key) GROUP BY doc_id"""
+FROM m LEFT JOIN h USING (key) GROUP BY no, doc_id"""
 
 SQL_SUBSTRING = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -176,14 +176,15 @@ h AS (SELECT doc_id, lg, t, w, len(w)::BIGINT AS n_words, coalesce(list_sum(list
       [length(t) - coalesce(list_sum(list_transform(w, lambda x: length(x))), 0), coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) - length(c0), {", ".join(columns)}, length({last})]::DOUBLE[] AS chars,
       list_filter(list_transform(w, lambda x: list_position(CASE lg {known} ELSE [] END, lower(x))), lambda i: i > 0) AS hits FROM {end}),
 u AS (SELECT *, CASE WHEN lg <> 'other' THEN list_transform(range(1, {n + 2}), lambda k: CASE WHEN k <= {n} THEN len(list_filter(hits, lambda i: i = k)) ELSE len(w) - len(hits) END)::DOUBLE[] END AS used FROM h),
-refs AS (SELECT lg, {sums("chars", len(quality.CLASSES) + 3)} AS ref_chars, {sums("used", n + 1)} AS ref_used FROM u GROUP BY lg),
 tri AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM u WHERE len(w) >= 3)),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
 covered AS (SELECT doc_id, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM u) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-z AS (SELECT u.*, ref_chars, ref_used, list_sum(chars) AS sc, list_sum(ref_chars) AS sr, list_sum(used) AS su, list_sum(ref_used) AS sv, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-      FROM u LEFT JOIN refs USING (lg) LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)),
-y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+      FROM (SELECT u.*, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM u LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))),
+refs AS (SELECT lg, {sums("chars", len(quality.CLASSES) + 3)} AS ref_chars, {sums("used", n + 1)} AS ref_used FROM v WHERE NOT base_failed GROUP BY lg),
+z AS (SELECT v.*, ref_chars, ref_used, list_sum(chars) AS sc, list_sum(ref_chars) AS sr, list_sum(used) AS su, list_sum(ref_used) AS sv FROM v LEFT JOIN refs USING (lg)),
+y AS (SELECT *,
       CASE WHEN length(t) >= {quality.MIN_CHARS} AND sc > 0 AND sr > 0 THEN {js("chars", "ref_chars", "sc", "sr")} END AS char_distance,
       CASE WHEN n_words >= {quality.MIN_WORDS} AND su > 0 AND sv > 0 THEN {js("used", "ref_used", "su", "sv")} END AS word_distance FROM z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -374,3 +374,39 @@ def test_empty_table(spark):
     assert lines.line_dedup(docs).collect() == substring.substring_dedup(docs).collect() == []
     assert exact.exact_dedup(docs, docs.columns).collect() == mixing.mix(docs, docs.columns).collect() == mixing.curriculum(docs).collect() == []
     assert quality.quality_rules(docs).collect() == packing.pack_documents(docs).collect() == tokens.section_tokens(docs).collect() == []
+
+
+def test_columns_with_dots_and_backticks_in_their_names(spark):
+    """Operators that carry rows through, one after the other as in the pipeline."""
+    made = texts.rows(6, 60)
+    docs = texts.table(spark, made).withColumnsRenamed({"row": "a.b", "h1": "c`d.e"})
+    docs = docs.withColumn("a", F.struct(F.lit(1).alias("b")))
+    df = quality.quality_rules(docs).select("row.*")
+    df = exact.exact_dedup(df, df.columns).where("kept").select("row.*")
+    df = mixing.curriculum(jaccard.keep_one(df))
+    assert df.columns == docs.columns and {tuple(r) for r in df.select("`a.b`", "`c``d.e`", "a.b").collect()} == {("clash", 7, 1)}
+    named = docs.withColumnsRenamed({"text": "the.text", "doc_id": "the.id", "source": "the.source", "lang": "the.lang"})
+    assert got(quality.quality_rules(named, ["the.id"], text="the.text", lang="the.lang"), "row", "kept") == got(quality.quality_rules(docs, ["doc_id"]), "row", "kept")
+    assert got(exact.exact_dedup(named, ["the.id"], text="the.text", doc_id="the.id"), "keep_id", "kept") == got(exact.exact_dedup(docs, ["doc_id"]), "keep_id", "kept")
+    assert got(mixing.mix(named, ["the.id"], text="the.text", doc_id="the.id", source="the.source"), "row", "taken") == got(mixing.mix(docs, ["doc_id"]), "row", "taken")
+    assert got(jaccard.jaccard_components(named, text="the.text", doc_id="the.id"), "doc_id", "component_id") == got(jaccard.jaccard_components(docs), "doc_id", "component_id")
+
+
+def test_line_query_and_its_twin_count_rows_that_share_an_id(spark, tmp_path):
+    from pathlib import Path
+    import sys
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    import twins
+
+    from fieldloom.llm.queries import QUERIES, SQL
+
+    line = "This line of forty characters or more is found in many documents"
+    rows = [(1, f"a\n{line}\nb"), (1, f"a\n{line}\nb"), (1, line), (2, f"{line}\nc"), (3, f"  {line.upper()}\n{line}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op3_line_dedup"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in found.collect()) == [(1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 2, 1), (3, 2, 0)]
+    c = twins.duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    b = c.sql(SQL["op3_line_dedup"]).df()
+    assert twins.rows(found.toPandas(), sorted(b.columns)) == twins.rows(b, sorted(b.columns))
