@@ -73,7 +73,7 @@ def item_windows(items: DataFrame, text: str, item_id: str, window: int) -> Data
                 if spans:
                     yield send(batch, row, size, spans)
 
-    found = items.select(named(item_id).cast("string"), named(text)).mapInArrow(run, "window binary, n long, item string")
+    found = items.select(named(item_id).cast("string").alias("item"), named(text).alias("text")).mapInArrow(run, "window binary, n long, item string")
     return found.groupBy("window", "n").agg(F.collect_set("item").alias("items"))
 
 

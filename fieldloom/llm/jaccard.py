@@ -158,7 +158,7 @@ def meeting_edges(docs: DataFrame, text: str, words: int, percent: int) -> DataF
             a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    sent = docs.select(named(text)).mapInArrow(send, schema)
+    sent = docs.select(named(text).alias("text")).mapInArrow(send, schema)
     return sent.repartition("a").sortWithinPartitions("met", "a", "b").mapInArrow(meet, "a long, b long").distinct()
 
 

@@ -55,7 +55,7 @@ def prepared(vectors: DataFrame, vector: str, vec_id: str, label: str, anchors:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in range(3)), pa.array(norm[good]), rows], names=["id", "label", "anchor", "norm", "v"])
 
     known = vectors.where(named(label).isNotNull() & named(vector).isNotNull())
-    rows = known.select(named(vec_id).cast("long"), named(label).cast("long"), F.coalesce(anchors, F.lit(False)), named(vector).cast("array<double>"))
+    rows = known.select(named(vec_id).cast("long").alias("id"), named(label).cast("long").alias("label"), F.coalesce(anchors, F.lit(False)).alias("anchor"), named(vector).cast("array<double>").alias("v"))
     return rows.mapInArrow(run, "id long, label long, anchor boolean, norm double, v binary").withColumn("no", F.monotonically_increasing_id())
 
 
