@@ -6,12 +6,11 @@ category that holds most ratings is one number per task.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..shared import kept
 from .summaries import pairs_of
 
 
@@ -78,25 +77,17 @@ def by_layout(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return content.join(users, "layout_id", "left").join(po, "layout_id", "left")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder in spark.checkpoint.dir (a temporary one where there is none: tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-"))
-    return df.checkpoint()
-
-
 def content_alpha(values: DataFrame, by: str = "field", max_pairs: int = 20_000) -> DataFrame:
     """Krippendorff's alpha of extracted values per field, distance 1 less similarity.
 
     Observed distances come from pairs within a cell. Expected ones come from the pool of all values:
-    each value meets the next ones in an order by hash (the first follow the last), as many as give about
+    each value meets the next ones in an order by md5 (the first follow the last), as many as give about
     max_pairs pairs and one at least, or all of them where the pool has no more pairs than that.
     """
     key = ["layout_id", "page", "field"]
     said = values.where("vals is not null").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*key))).where("m >= 2")
     # read six times below; pages are parsed once
-    said = _kept(said)
+    said = kept(said)
     distance = lambda pairs: pairs.withColumn("raw", m.raw_score(F.col("a"), F.col("b"), F.col("metric"))).withColumn("d", 1 - m.pair_similarity(F.col("raw"), F.col("a"), F.col("b")))
     inner = distance(said.select(*key, "metric", "m", F.col("user").alias("ua"), F.col("vals").alias("a")).join(said.select(*key, F.col("user").alias("ub"), F.col("vals").alias("b")), key).where("ua < ub"))
     observed = inner.groupBy(by).agg(F.sum(2 * F.col("d") / (F.col("m") - 1)).alias("s"))

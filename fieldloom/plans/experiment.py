@@ -1,7 +1,7 @@
 """Experiments as data: from pages and rule sets to values, cells and summaries, with results kept per layout so that a run resumes.
 
-All experiments of a group go through one plan; exp_id is a column. Results are Parquet, partitioned by
-exp_id and written per batch of layouts, and a later run only takes layouts that are not there yet.
+All experiments of a group go through one plan; exp_id is a column. Results are committed per batch of
+layouts (``sinks.atomic``), and a later run only takes layouts that are not there yet.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..extract import rule_values
 from ..functions import metrics as m
 from ..operators import summaries
 from ..regexgen import generate
+from ..sinks import atomic
 
 CELLS = "layout_id string, page string, field string, score double, label string, is_sample boolean, pred array<string>, gt array<string>, metric string, exp_id string"
 
@@ -82,23 +83,22 @@ def mark_samples(cells: DataFrame, samples: DataFrame) -> DataFrame:
     return cells.join(samples.select("layout_id", "sample_page"), "layout_id").withColumn("is_sample", F.col("page") == F.col("sample_page")).drop("sample_page")
 
 
+SLOTS = ["exp_id", "layout_id"]
+
+
 def done_layouts(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path).select("exp_id", "layout_id").distinct()
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "exp_id string, layout_id string")
+    """exp_id and layout_id of what has been committed."""
+    return atomic.filled(spark, path, SLOTS).select(*SLOTS)
 
 
 def run(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: DataFrame, samples: DataFrame, path: str) -> DataFrame:
-    """Scores the layouts of each experiment that are not in path yet, appends them, and returns all cells there."""
+    """Scores the layouts of each experiment that are not in path yet, commits them together, and returns all cells there. A run that is cut off leaves no layout half done."""
     spark = pages.sparkSession
-    left = model_rules.join(done_layouts(spark, path), ["exp_id", "layout_id"], "left_anti")
+    left = model_rules.join(done_layouts(spark, path), SLOTS, "left_anti")
     if not left.isEmpty():
         cells = mark_samples(grid(pages, fields, gt_rules, left), samples)
-        cells.select("layout_id", "page", "field", "score", "label", "is_sample", "pred", "gt", "metric", "exp_id").write.mode("append").partitionBy("exp_id").parquet(path)
-    return spark.read.parquet(path)
+        atomic.commit(cells.select("layout_id", "page", "field", "score", "label", "is_sample", "pred", "gt", "metric", "exp_id"), path, SLOTS)
+    return atomic.committed(spark, path, SLOTS, CELLS)
 
 
 def regex_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:

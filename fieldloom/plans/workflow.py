@@ -2,7 +2,8 @@
 
 The model is any callable ``(call: dict) -> dict``: call has model, domain, layout_id, lang, system, prompt and fields; the answer has raw,
 and if known finish, tokens_in, tokens_out. It runs where the sample pages are, one call per layout (``mapInPandas``), and an exception
-of its or of any step is that layout's error and nobody else's. ``replayed`` makes one from recorded answers.
+of its or of any step is that layout's error and nobody else's; a backend that is busy is asked again (``calls``). ``replayed`` makes one
+from recorded answers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import responses
@@ -20,12 +21,13 @@ from ..clean import clean
 from ..extract import Page
 from ..regexgen import generate
 from ..skeleton import skeleton
-from . import experiment
+from ..sinks import atomic
+from . import calls, experiment
 from .experiment import Config
 
 Model = Callable[[dict], dict]
 QUICK_PAGES = 5
-RUNS = "domain string, layout_id string, sample_page string, rules map<string,string>, verified map<string,boolean>, status string, error string, raw string, finish string, truncated boolean, shown_chars long, tokens_in long, tokens_out long, ms double"
+RUNS = "domain string, layout_id string, sample_page string, rules map<string,string>, verified map<string,boolean>, status string, error string, raw string, finish string, truncated boolean, shown_chars long, tokens_in long, tokens_out long, ms double, attempts array<struct<attempt:int,status:int,error:string,wait:double>>"
 
 
 def replayed(recorded: list[dict]) -> Model:
@@ -48,8 +50,8 @@ def truncated(chars: int, tokens: int | None) -> bool:
     return bool(tokens) and (near_power or chars / tokens > 6)
 
 
-def one_layout(row, config: Config, model: Model, name: str, repair: bool) -> dict:
-    """What a model makes of a layout's sample page."""
+def one_layout(row, config: Config, model: Model, name: str, repair: bool, kept_chars: int | None = None) -> dict:
+    """What a model makes of a layout's sample page. kept_chars: how much of the answer is kept, all of it if None."""
     fields = [dict(f.asDict() if hasattr(f, "asDict") else f) for f in row.fields]
     names = [f["name"] for f in fields]
     lang = "css" if config.lang == "regexn" else config.lang
@@ -77,10 +79,10 @@ def one_layout(row, config: Config, model: Model, name: str, repair: bool) -> di
             rules[f["name"]], verified[f["name"]] = (made["regex"], made["passed"] == made["total"]) if made else ("", False)
     cut = truncated(len(system) + len(prompt), answer.get("tokens_in"))
     error = error or ("input truncated" if cut else "")
-    return {"rules": rules, "verified": verified, "status": "error" if error else "done", "error": error, "raw": (answer.get("raw") or "")[:4000], "finish": answer.get("finish"), "truncated": cut, "shown_chars": len(shown), "tokens_in": answer.get("tokens_in"), "tokens_out": answer.get("tokens_out"), "ms": round((time.monotonic() - began) * 1000, 1)}
+    return {"rules": rules, "verified": verified, "status": "error" if error else "done", "error": error, "raw": (answer.get("raw") or "")[:kept_chars], "finish": answer.get("finish"), "truncated": cut, "shown_chars": len(shown), "tokens_in": answer.get("tokens_in"), "tokens_out": answer.get("tokens_out"), "ms": round((time.monotonic() - began) * 1000, 1), "attempts": answer.get("attempts") or []}
 
 
-def detect_rules(samples: DataFrame, fields: DataFrame, config: Config, model: Model, name: str = "model", repair: bool = False) -> DataFrame:
+def detect_rules(samples: DataFrame, fields: DataFrame, config: Config, model: Model, name: str = "model", repair: bool = False, kept_chars: int | None = None, retries: int = calls.RETRIES, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """A row per layout (RUNS): the rules a model writes from its sample page, with status and error.
 
     samples: domain, layout_id, sample_page, html, template, description. fields: layout_id, field, type, merge, required, ord, and
@@ -89,17 +91,17 @@ def detect_rules(samples: DataFrame, fields: DataFrame, config: Config, model: M
     about = F.col("description") if "description" in fields.columns else F.lit(None).cast("string")
     kind = F.when(F.col("type").isin("image", "url"), F.col("type")).otherwise("text")
     listed = fields.groupBy("layout_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.col("field").alias("name"), about.alias("description"), "required", kind.alias("kind"), "merge"))).alias("fields"))
-    names = [x.split(" ")[0] for x in RUNS.replace(",string>", "_").replace(",boolean>", "_").split(", ")]
+    names, asked = [x.split(" ")[0] for x in RUNS.split(", ")], calls.patient(model, retries, sleep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                made = {n: None for n in names} | {"domain": row.domain, "layout_id": row.layout_id, "sample_page": row.sample_page, "rules": {}, "verified": {}, "truncated": False}
+                made = {n: None for n in names} | {"domain": row.domain, "layout_id": row.layout_id, "sample_page": row.sample_page, "rules": {}, "verified": {}, "truncated": False, "attempts": []}
                 try:
-                    made |= one_layout(row, config, model, name, repair)
+                    made |= one_layout(row, config, asked, name, repair, kept_chars)
                 except Exception as e:  # the layout's own failure, kept as its result
-                    made |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
+                    made |= {"status": "error", "error": f"{type(e).__name__}: {e}", "attempts": getattr(e, "attempts", [])}
                 out.append(made)
             yield pd.DataFrame(out, columns=names).astype({"tokens_in": "Int64", "tokens_out": "Int64", "shown_chars": "Int64"})
 
@@ -129,29 +131,45 @@ def long_rules(runs: DataFrame, config: Config, exp_id: str) -> DataFrame:
     return runs.where("status = 'done'").select(F.lit(exp_id).alias("exp_id"), "layout_id", F.explode("rules").alias("field", "rule")).withColumn("lang", F.lit(lang))
 
 
-def run(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, config: Config, model: Model, name: str, path: str, exp_id: str = "experiment", template: str = "page", repair: bool = False) -> tuple[DataFrame, DataFrame]:
-    """An experiment from pages to cells: (runs, cells), both kept under path. Layouts that are there already aren't asked for again.
+def run(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, config: Config, model: Model, name: str, path: str, exp_id: str = "experiment", template: str = "page", repair: bool = False, layouts_per_commit: int = 64, cancelled: Callable[[], bool] = lambda: False, **calling) -> tuple[DataFrame, DataFrame]:
+    """An experiment from pages to cells: (runs, cells), both kept under path by commits. Layouts that are done there aren't asked for again.
 
-    pages: domain, layout_id, page, html. The model is asked before anything is scored, and its answers are written first, so
-    that neither a lost executor nor a second run asks twice.
+    pages: domain, layout_id, page, html. The model is asked before anything is scored, and its answers are committed first, about layouts_per_commit
+    layouts at a time, so that neither a lost executor nor a second run asks twice for more than those. The jobs have the
+    experiment's tag: ``cancel`` stops them, and cancelled() is asked between commits; what is committed by then stays, and a later run goes on
+    from there. calling: retries, sleep and kept_chars of detect_rules.
     """
     spark = pages.sparkSession
     scope = capped(pages, config)
     wanted = scope.select("domain", "layout_id").distinct().join(_done(spark, f"{path}/runs", exp_id), ["domain", "layout_id"], "left_anti")
-    samples = samples_of(scope.join(F.broadcast(wanted), ["domain", "layout_id"], "left_semi"), config, template)
-    detect_rules(samples, fields, config, model, name, repair).withColumn("exp_id", F.lit(exp_id)).write.mode("append").parquet(f"{path}/runs")
-    runs = spark.read.parquet(f"{path}/runs").where(F.col("exp_id") == exp_id)
-    cells = experiment.run(scope, fields, gt_rules, long_rules(runs, config, exp_id), runs.where("status = 'done'").select("layout_id", "sample_page"), f"{path}/cells")
-    return runs, cells.where(F.col("exp_id") == exp_id)
+    parts = max(1, -(-wanted.count() // layouts_per_commit))
+    spark.sparkContext.addJobTag(tag(exp_id))
+    try:
+        for k in range(parts):
+            if cancelled():
+                break
+            some = wanted.where(F.pmod(F.xxhash64("domain", "layout_id"), F.lit(parts)) == k)
+            samples = samples_of(scope.join(F.broadcast(some), ["domain", "layout_id"], "left_semi"), config, template)
+            atomic.commit(detect_rules(samples, fields, config, model, name, repair, **calling).withColumn("exp_id", F.lit(exp_id)), f"{path}/runs")
+        runs = atomic.committed(spark, f"{path}/runs", schema=f"{RUNS}, exp_id string").where(F.col("exp_id") == exp_id)
+        if not cancelled():
+            experiment.run(scope, fields, gt_rules, long_rules(runs, config, exp_id), runs.where("status = 'done'").select("layout_id", "sample_page"), f"{path}/cells")
+    finally:
+        spark.sparkContext.removeJobTag(tag(exp_id))
+    return runs, atomic.committed(spark, f"{path}/cells", experiment.SLOTS, experiment.CELLS).where(F.col("exp_id") == exp_id)
 
 
-def _done(spark, path: str, exp_id: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path).where((F.col("exp_id") == exp_id) & (F.col("status") == "done")).select("domain", "layout_id").distinct()
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "domain string, layout_id string")
+def tag(exp_id: str) -> str:
+    return "experiment-" + exp_id.replace(",", "_")
+
+
+def cancel(spark: SparkSession, exp_id: str) -> None:
+    """Stops the jobs of an experiment that runs in another thread."""
+    spark.sparkContext.cancelJobsWithTag(tag(exp_id))
+
+
+def _done(spark: SparkSession, path: str, exp_id: str) -> DataFrame:
+    return atomic.committed(spark, path, schema=f"{RUNS}, exp_id string").where((F.col("exp_id") == exp_id) & (F.col("status") == "done")).select("domain", "layout_id").distinct()
 
 
 def quick(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, config: Config, model: Model, name: str, layout_id: str) -> tuple[DataFrame, DataFrame]:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clean, css, extract, responses, skeleton, study
+from . import clean, css, extract, responses, shared, skeleton, study
 from .functions import metrics as m
 from .operators import agreement, groundtruth, maintenance, rules as ruling, summaries
-from .plans import experiment, workflow
-from .sinks import exports
-from .sources import study as sources
+from .plans import calls, experiment, workflow
+from .sinks import atomic, exports
+from .sources import fetch, study as sources
+from .streaming import robots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -832,3 +834,120 @@ def truncation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, least(greatest(value, 10 * pow(2.0, event_id % 4)), 60)::DOUBLE AS seconds FROM events")
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.table(spark, sf_dir, "events").select("event_id", m.retry_wait(F.col("value"), F.col("event_id") % 4).alias("seconds"))
+
+
+# --- getting pages, and results that last -----------------------------------------------------------------------
+
+
+class PageRecords:
+    """A client that answers from a batch of pages: the status each one is given, robots.txt by the length of the host's name."""
+
+    def __init__(self, batch: pd.DataFrame):
+        self.rows = {u: (s, h) for u, s, h in zip(batch["url"], batch["status"], batch["html"], strict=True)}
+
+    def get(self, url: str) -> tuple[int, str]:
+        if url.endswith("/robots.txt") and url not in self.rows:
+            kind = len(url.split("/")[2]) % 5
+            if kind == 3:
+                raise ConnectionError("no answer")
+            return {0: (404, ""), 1: (503, ""), 2: (200, "User-agent: *\nDisallow: /en/\nCrawl-delay: 4"), 4: (200, "User-agent: *\nDisallow:")}[kind]
+        if pd.isna(self.rows[url][0]):
+            raise TimeoutError("no answer")
+        return int(self.rows[url][0]), self.rows[url][1]
+
+    def render(self, url: str) -> str | None:
+        return None if len(url) % 2 else self.rows[url][1]
+
+
+class Waiting:
+    """A clock that only waiting moves."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+    @classmethod
+    def timer(cls) -> tuple:
+        clock = cls()
+        return clock, clock.sleep
+
+
+@query(r"""WITH q AS (SELECT page_id AS request_id, url, html, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, CASE page_id % 6 WHEN 0 THEN 403 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END AS status FROM pages),
+r AS (SELECT *, CASE len(host) % 5 WHEN 0 THEN 'no robots.txt' WHEN 4 THEN 'allowed' WHEN 2 THEN CASE WHEN contains(url, host || '/en/') THEN 'disallowed' ELSE 'allowed' END ELSE 'robots.txt unreachable' END AS robots FROM q),
+s AS (SELECT *, robots IN ('allowed', 'no robots.txt') AS ok, coalesce(status = 200 AND length(html) >= 1000 OR status = 403 AND length(html) >= 3000 AND regexp_matches(html, '(?i)<a\s[^>]*href'), false) AS page, length(url) % 2 = 0 AND length(html) >= 1000 AS shown FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY host, ok ORDER BY request_id) AS k FROM s)
+SELECT request_id, host, robots, CASE WHEN NOT ok THEN 'robots' WHEN page THEN 'direct' WHEN shown THEN 'browser' ELSE 'failed' END AS method, coalesce(CASE WHEN ok THEN status END, 0) AS status,
+       CASE WHEN NOT ok OR k = 1 THEN 0.0 WHEN len(host) % 5 = 2 THEN 4.0 ELSE 1.0 END::DOUBLE AS pause, CASE WHEN ok AND (page OR shown) THEN length(html) ELSE 0 END AS chars,
+       CASE WHEN NOT ok THEN robots WHEN page OR shown THEN NULL WHEN status IS NULL THEN 'TimeoutError: no answer' ELSE 'no page' END AS error FROM t""")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched again from recorded answers: refused by robots.txt, taken as they come, shown by a browser, or failed; requests to a host spaced."""
+    status = F.expr("CASE page_id % 6 WHEN 0 THEN 403 WHEN 1 THEN 503 WHEN 2 THEN NULL ELSE 200 END")
+    requests = study.table(spark, sf_dir, "pages").select(F.col("page_id").alias("request_id"), "url", status.alias("status"), "html")
+    found = fetch.fetch_pages(requests, PageRecords, fetch.Policy(), Waiting.timer)
+    return found.select("request_id", "host", "robots", "method", F.coalesce("status", F.lit(0)).alias("status"), "pause", F.coalesce(F.length("html"), F.lit(0)).cast("long").alias("chars"), "error")
+
+
+@query("""WITH RECURSIVE q AS (SELECT event_id AS request_id, 'host' || (user_id % 20) || '.example' AS host, epoch_us(ts) AS us, event_type AS kind,
+  CASE event_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 200 WHEN 2 THEN 503 END AS status, CASE event_id % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' ELSE 'error' END AS closed, (event_id % 50)::DOUBLE AS delay FROM events),
+t AS (SELECT DISTINCT host, us FROM q), n AS (SELECT host, us, min(us) OVER (PARTITION BY host ORDER BY us RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM t),
+r AS (SELECT host, min(us) AS us FROM q GROUP BY host UNION ALL SELECT r.host, n.later FROM r JOIN n ON r.host = n.host AND r.us = n.us WHERE n.later IS NOT NULL),
+a AS (SELECT r.host, r.us, min(request_id) AS reader, arg_min(closed, request_id) AS closed, arg_min(delay, request_id) AS delay FROM r JOIN q ON r.host = q.host AND r.us = q.us GROUP BY ALL),
+x AS (SELECT q.request_id, q.kind, a.us, a.reader, w.status, a.closed, a.delay FROM q ASOF JOIN a ON q.host = a.host AND q.us >= a.us JOIN q AS w ON w.request_id = a.reader)
+SELECT request_id, round(us / 1000000.0::DOUBLE, 3) AS read_at, request_id = reader AS fresh, CASE WHEN status = 200 THEN kind <> closed ELSE coalesce(status = 404, false) END AS allowed,
+       CASE status WHEN 200 THEN CASE WHEN kind <> closed THEN 'allowed' ELSE 'disallowed' END WHEN 404 THEN 'no robots.txt' ELSE 'robots.txt unreachable' END AS robots, CASE WHEN status = 200 THEN delay ELSE 0 END::DOUBLE AS crawl_delay FROM x""")
+def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests judged by what their host's robots.txt said when it was last read, an hour before at most."""
+    k = F.col("event_id")
+    closed = F.when(k % 3 == 0, "view").when(k % 3 == 1, "click").otherwise("error")
+    text = F.concat(F.lit("User-agent: *\nCrawl-delay: "), (k % 50).cast("string"), F.lit("\nDisallow: /"), closed, F.lit("/"))
+    host = F.concat(F.lit("host"), (F.col("user_id") % 20).cast("string"), F.lit(".example"))
+    status = F.when(k % 4 == 0, 404).when(k % 4 == 1, 200).when(k % 4 == 2, 503)
+    requests = study.table(spark, sf_dir, "events").select(k.alias("request_id"), host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/"), F.col("event_type"), F.lit("/1")).alias("url"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), status.alias("robots_status"), text.alias("robots_text"))
+    found = robots.robots_decisions(requests)
+    return found.select("request_id", F.round("read_at", 3).alias("read_at"), "fresh", "allowed", "robots", "crawl_delay")
+
+
+class Flaky:
+    """A model whose backend is busy as often as the call says, and that fails on what a system says."""
+
+    def __init__(self):
+        self.times: dict[str, int] = {}
+
+    def __call__(self, call: dict) -> dict:
+        if call["role"] == "system":
+            raise RuntimeError("no prompt")
+        k = self.times[call["call_id"]] = self.times.get(call["call_id"], 0) + 1
+        if k <= call["busy"]:
+            raise calls.Busy(call["status"], call["asked"])
+        return {"raw": call["prompt"][::-1], "finish": "stop", "tokens_in": len(call["prompt"])}
+
+
+@query("""WITH c AS (SELECT conv_id || '-' || turn AS call_id, 'b' || (conv_id % 3) AS backend, role, coalesce(text, '') AS prompt, (conv_id + turn) % 8 AS busy, CASE conv_id % 4 WHEN 0 THEN 503 WHEN 1 THEN 500 ELSE 429 END AS status, CASE turn % 3 WHEN 0 THEN 25.0 ELSE 0 END AS asked FROM conversations),
+n AS (SELECT *, CASE WHEN role = 'system' THEN 0 WHEN status = 500 THEN least(busy, 0) ELSE least(busy, 5) END AS waits, role <> 'system' AND CASE WHEN status = 500 THEN busy = 0 ELSE busy <= 5 END AS fine FROM c)
+SELECT call_id, backend, CASE WHEN fine THEN reverse(prompt) END AS raw, CASE WHEN fine THEN '' WHEN role = 'system' THEN 'RuntimeError: no prompt' ELSE 'status ' || status END AS error,
+       (1 + waits)::INT AS attempts, coalesce(list_sum(list_transform(range(waits), lambda a: least(60, greatest(asked, 10 * pow(2.0::DOUBLE, a))))), 0)::DOUBLE AS waited FROM n""")
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as calls of three backends, some busy for a while: the answers, and what it took to get them."""
+    k = F.col("conv_id")
+    asked = study.table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("call_id"), F.concat(F.lit("b"), (k % 3).cast("string")).alias("backend"), "role", F.coalesce("text", F.lit("")).alias("prompt"),
+        ((k + F.col("turn")) % 8).alias("busy"), F.when(k % 4 == 0, 503).when(k % 4 == 1, 500).otherwise(429).alias("status"), F.when(F.col("turn") % 3 == 0, 25.0).otherwise(0.0).alias("asked"),
+    )
+    found = calls.call_all(asked, Flaky(), calls.Limits(rate=2.0, lanes=4), Waiting.timer)
+    return found.select("call_id", "backend", "raw", "error", F.size("attempts").alias("attempts"), "waited")
+
+
+@query("""SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'O' THEN round(2 * o_totalprice, 2) ELSE o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0""")
+def committed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders committed by status, two of the statuses a second time; a write without a commit beside them."""
+    at, slots = shared.fresh(spark, "orders"), ["o_orderstatus"]
+    o = study.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    atomic.commit(o, at, slots)
+    o.write.partitionBy(*slots).parquet(f"{at}/data/batch=lost")
+    atomic.commit(o.where("o_orderstatus = 'O'").withColumn("price", F.round(2 * F.col("price"), 2)).unionByName(o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0")), at, slots)
+    return atomic.committed(spark, at, slots)

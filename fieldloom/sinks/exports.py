@@ -44,11 +44,13 @@ def _best(rows: list[dict], column: str, rule: str | None) -> set[int]:
     return {i for i, v in numbers if size(v) == goal}
 
 
-def render_table(df: DataFrame, best: dict[str, str] | None = None, style: str = "markdown", caption: str = "") -> str:
-    """A report table as text; best: column to max, min or absmin, whose cell is set bold. For report-sized frames."""
+def render_table(df: DataFrame, best: dict[str, str] | None = None, style: str = "markdown", caption: str = "", most: int = 10_000) -> str:
+    """A report table as text; best: column to max, min or absmin, whose cell is set bold. For report-sized frames: more than most rows raise ValueError."""
     if style not in ("csv", "markdown", "latex"):
         raise ValueError(f"unknown style: {style}")
-    rows, names = [r.asDict() for r in df.collect()], df.columns
+    rows, names = [r.asDict() for r in df.limit(most + 1).collect()], df.columns
+    if len(rows) > most:
+        raise ValueError(f"a report table has at most {most} rows")
     bold = {c: _best(rows, c, (best or {}).get(c)) for c in names}
     plain = lambda v: "" if v is None else str(v)
     if style == "csv":
