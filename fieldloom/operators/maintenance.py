@@ -52,6 +52,32 @@ def next_number(pages: DataFrame, prefix: str) -> DataFrame:
     return pages.select("domain").distinct().join(full, "domain", "left").select("domain", (F.coalesce("n", F.lit(0)) + 1).alias("next"))
 
 
+def free_numbers(pages: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
+    """Rows of new (domain, ord and whatever else) with page: the kth of a domain, by ord, gets the kth number from 1 that none of its pages has. pages: domain, page.
+
+    A taken number n with rank i has n - i free ones below it, so the kth free number is k plus the taken ones with fewer than k free ones below. Both
+    are merged on that count in one window; nothing is looped over, and gaps of any length cost nothing. Names that aren't of the prefix take no number; rows equal in ord follow in any order.
+    """
+    n = F.regexp_extract("page", rf"^{prefix}_(\d+)\.html$", 1)
+    taken = pages.where(n != "").select("domain", n.cast("long").alias("n")).where("n > 0").distinct()
+    below = taken.select("domain", (F.col("n") - F.row_number().over(Window.partitionBy("domain").orderBy("n")) + 1).alias("k"))
+    asked = new.select("domain", F.row_number().over(Window.partitionBy("domain").orderBy("ord")).cast("long").alias("k"), F.struct("*").alias("row"))
+    both = below.unionByName(asked, allowMissingColumns=True)
+    order = Window.partitionBy("domain").orderBy("k", F.col("row").isNotNull())
+    number = F.col("k") + F.count(F.when(F.col("row").isNull(), 1)).over(order)
+    name = F.concat(F.lit(f"{prefix}_"), F.when(F.length(number.cast("string")) < 3, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")), F.lit(".html"))
+    return both.withColumn("page", name).where("row is not null").select("row.*", "page")
+
+
+def added_pages(pages: DataFrame, fetched: DataFrame, page_type: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A bulk add: new pages (domain, page, html), their index rows and the results by address. fetched: domain, ord, url, html (null: not fetched), method, error, at; failures take no number."""
+    named = free_numbers(pages, fetched.where("html is not null"), page_type)
+    index = named.select("domain", "page", "url", F.lit(page_type).alias("page_type"), "method", F.length("html").cast("long").alias("size"), "at")
+    result = named.select("domain", "ord", "url", F.lit(True).alias("success"), "page", F.lit(None).cast("string").alias("error"))
+    failed = fetched.where("html is null").select("domain", "ord", "url", F.lit(False).alias("success"), F.lit(None).cast("string").alias("page"), F.coalesce("error", F.lit("Download failed")).alias("error"))
+    return named.select("domain", "page", "html"), index, result.unionByName(failed)
+
+
 def model_catalog(installed: DataFrame, registered: DataFrame) -> DataFrame:
     """Models installed or registered with a backend: offered unless hidden or known to be missing. registered: backend, model, hidden, is_default; installed: backend, model, reachable."""
     reach = installed.groupBy("backend").agg(F.max("reachable").alias("known"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from .selection import upper_median
 
 LAYOUT = ["exp_id", "layout_id"]
 
@@ -164,9 +165,10 @@ def over_extraction(cells: DataFrame, absent: DataFrame) -> DataFrame:
 
 
 def timing(times: DataFrame) -> DataFrame:
-    """times: exp_id, layout_id, ms. The median is the upper one of an even number."""
-    s = F.sort_array(F.collect_list("ms"))
-    return times.groupBy("exp_id").agg(F.round(F.avg("ms"), 2).alias("mean_ms"), F.element_at(s, (F.floor(F.count("ms") / 2) + 1).cast("int")).alias("median_ms"), F.max("ms").alias("max_ms"), F.max_by("layout_id", F.struct("ms", "layout_id")).alias("slowest"))
+    """times: exp_id, layout_id, ms. The median is the upper one of an even number; of layouts equally slow the last by name."""
+    median = upper_median(times, ["exp_id"], "ms").select("exp_id", F.col("median").alias("median_ms"))
+    per = times.groupBy("exp_id").agg(F.round(F.avg("ms"), 2).alias("mean_ms"), F.max("ms").alias("max_ms"), F.max_by("layout_id", F.struct("ms", "layout_id")).alias("slowest"))
+    return per.join(median, "exp_id", "left").select("exp_id", "mean_ms", "median_ms", "max_ms", "slowest")
 
 
 def regex_places(found: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clean, css, extract, responses, shared, skeleton, study
+from . import clean, css, extract, responses, shared, skeleton, sql as functions, study
 from .functions import metrics as m
-from .operators import agreement, groundtruth, maintenance, rules as ruling, summaries
+from .operators import agreement, changes, groundtruth, maintenance, rules as ruling, summaries
 from .plans import calls, experiment, workflow
 from .sinks import atomic, exports
 from .sources import fetch, study as sources
@@ -951,3 +951,97 @@ def committed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o.write.partitionBy(*slots).parquet(f"{at}/data/batch=lost")
     atomic.commit(o.where("o_orderstatus = 'O'").withColumn("price", F.round(2 * F.col("price"), 2)).unionByName(o.where("o_orderstatus = 'F' AND o_orderkey % 2 = 0")), at, slots)
     return atomic.committed(spark, at, slots)
+
+
+# --- upkeep --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag || l_linestatus AS exp_id, round(avg(l_extendedprice), 2) AS mean_ms, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS median_ms, max(l_extendedprice) AS max_ms, arg_max('layout-' || l_orderkey, (l_extendedprice, 'layout-' || l_orderkey)) AS slowest FROM lineitem GROUP BY 1")
+def extraction_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, exact upper median, maximum and slowest member of a few very large groups."""
+    t = study.table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("exp_id"), F.concat(F.lit("layout-"), F.col("l_orderkey").cast("string")).alias("layout_id"), F.col("l_extendedprice").alias("ms"))
+    return summaries.timing(t)
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT DISTINCT domain, page_id % 60 AS n FROM p WHERE page_id % 2 = 0 AND page_id % 60 > 0), a AS (SELECT page_id, domain, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS k FROM p WHERE page_id % 2 = 1),
+m AS (SELECT domain, max(k) + 60 AS most FROM a GROUP BY domain), f AS (SELECT domain, n, row_number() OVER (PARTITION BY domain ORDER BY n) AS k FROM (SELECT domain, unnest(range(1, most + 1)) AS n FROM m) WHERE (domain, n) NOT IN (SELECT (domain, n) FROM t))
+SELECT page_id, domain, 'article_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END || '.html' AS page FROM a JOIN f USING (domain, k)""")
+def bulk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the pages added to sites that have the other half: free numbers, lowest first."""
+    p = study.pages(spark, sf_dir)
+    number = F.lpad((F.col("page_id") % 60).cast("string"), 3, "0")
+    there = p.where("page_id % 2 = 0").select("domain", F.concat(F.lit("article_"), number, F.lit(".html")).alias("page"))
+    new = p.where("page_id % 2 = 1").select("domain", F.col("page_id").alias("ord"), "page_id")
+    return maintenance.free_numbers(there, new, "article").select("page_id", "domain", "page")
+
+
+@query("""WITH e AS (SELECT event_id AS seq, 'site' || (user_id % 9) AS domain, 'p' || (user_id % 40) AS page, CASE WHEN event_id % 997 = 0 THEN 'site_delete' ELSE CASE event_type WHEN 'view' THEN 'page_add' WHEN 'click' THEN 'page_redownload' WHEN 'error' THEN 'page_delete' WHEN 'signup' THEN 'assign' ELSE 'site_put' END END AS action,
+  'https://x/' || event_id AS url, event_id % 50 AS size, 'L' || (event_id % 5) AS layout, 'C' || (event_id % 6) AS country, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'K' || (event_id % 6) END AS code FROM events),
+c AS (SELECT domain, max(seq) AS cut FROM e WHERE action = 'site_delete' GROUP BY domain), l AS (SELECT e.* FROM e LEFT JOIN c USING (domain) WHERE (cut IS NULL OR seq > cut) AND action IN ('page_add', 'page_redownload', 'page_delete', 'assign')),
+w AS (SELECT *, last_value(CASE action WHEN 'page_add' THEN 1 WHEN 'page_delete' THEN 0 END IGNORE NULLS) OVER (PARTITION BY domain, page ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM l), f AS (SELECT * FROM w WHERE action <> 'page_redownload' OR there = 1),
+s AS (SELECT domain, page, arg_max(action, seq) FILTER (action IN ('page_add', 'page_delete')) AS life, arg_max(size, seq) FILTER (action IN ('page_add', 'page_redownload')) AS size, arg_max(action, seq) FILTER (action <> 'page_add') AS placed, arg_max(layout, seq) FILTER (action = 'assign') AS layout, arg_max(url, seq) FILTER (action IN ('page_add', 'page_redownload')) AS url FROM f GROUP BY ALL),
+o AS (SELECT country, min(seq) AS since FROM e WHERE action = 'site_put' AND code <> '' GROUP BY country), p AS (SELECT e.*, coalesce(seq >= since, false) AS ok FROM e LEFT JOIN o USING (country) WHERE action = 'site_put'), t AS (SELECT domain, arg_max(country, seq) AS country, arg_max(url, seq) AS url FROM p WHERE ok GROUP BY domain)
+SELECT 'site' AS kind, domain, '' AS item, country || ' ' || url AS value FROM t UNION ALL SELECT 'country', country, 'K' || country[2:], count(*)::VARCHAR FROM t GROUP BY country UNION ALL SELECT 'refused', domain, seq::VARCHAR, 'a new country needs a code' FROM p WHERE NOT ok
+UNION ALL SELECT 'page', domain, page, size::VARCHAR FROM s WHERE life = 'page_add' UNION ALL SELECT 'assignment', domain, page, layout FROM s WHERE placed = 'assign' UNION ALL SELECT 'index', domain, page, url || ' ' || size FROM s WHERE url IS NOT NULL
+UNION ALL SELECT 'download', domain, seq::VARCHAR, url FROM f WHERE action IN ('page_add', 'page_redownload') UNION ALL SELECT 'excluded', domain, '', '' FROM c""")
+def study_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of changes to sites and pages, folded into the tables they leave."""
+    e, k = study.table(spark, sf_dir, "events"), F.col("event_id")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    kind = F.create_map(*map(F.lit, ["view", "page_add", "click", "page_redownload", "error", "page_delete", "signup", "assign"]))
+    log = e.select(
+        k.alias("seq"), F.when(k % 997 == 0, "site_delete").otherwise(F.coalesce(kind[F.col("event_type")], F.lit("site_put"))).alias("action"), text("site", F.col("user_id") % 9).alias("domain"), text("p", F.col("user_id") % 40).alias("page"),
+        text("https://x/", k).alias("url"), F.repeat(F.lit("x"), (k % 50).cast("int")).alias("html"), F.lit("article").alias("page_type"), F.lit("direct").alias("method"), text("L", k % 5).alias("layout_id"), F.lit("n").alias("name"), F.lit("").alias("notes"),
+        text("C", k % 6).alias("country"), F.when(k % 5 == 0, "").otherwise(text("K", k % 6)).alias("code"), F.lit("2024-01-01").alias("at"),
+    )
+    t, counted, refused = changes.replay(changes.no_tables(spark), log)
+    row = lambda df, name, item, value: df.select(F.lit(name).alias("kind"), "domain", item.cast("string").alias("item"), value.cast("string").alias("value"))
+    c, none = F.col, F.lit("")
+    parts = [
+        row(t.sites, "site", none, F.concat_ws(" ", "country", "url")), row(counted.withColumnRenamed("country", "domain"), "country", c("code"), c("sites")), row(refused, "refused", c("seq"), c("why")),
+        row(t.pages, "page", c("page"), F.length("html")), row(t.assignments, "assignment", c("page"), c("layout_id")), row(t.index, "index", c("page"), F.concat_ws(" ", "url", "size")),
+        row(t.downloads, "download", c("seq"), c("url")), row(t.excluded, "excluded", none, none),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"WITH {FOUND}, x AS (SELECT page_id, 'title' AS rule_id, h1 AS vals FROM v UNION ALL SELECT page_id, 'foot', foot FROM v UNION ALL SELECT page_id, 'links', links FROM v UNION ALL SELECT page_id, 'pattern', h1 FROM v) SELECT page_id, rule_id, array_to_string(vals, chr(31)) AS vals FROM x")
+def sql_rule_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over pages in SQL alone: a table function with a table as argument."""
+    functions.register(spark)
+    rules = [("title", "css", "text", "false", "h1"), ("foot", "xpath", "text", "false", "//footer"), ("links", "css", "url", "true", "a"), ("pattern", "regex", "text", "false", "<h1>(.*?)</h1>")]
+    rules = "array(" + ", ".join(f"struct('{i}' AS rule_id, '{lang}' AS lang, '{kind}' AS kind, {merge} AS merge, '{rule}' AS rule)" for i, lang, kind, merge, rule in rules) + ")"
+    return spark.sql(f"SELECT page_id, rule_id, array_join(vals, '\x1f') AS vals FROM rule_values(TABLE(SELECT page_id, html, {rules} AS rules FROM {{p}}))", p=study.table(spark, sf_dir, "pages"))
+
+
+@query("""WITH r AS (SELECT event_type, user_id AS s, event_id % 4 AS c FROM events), k AS (SELECT event_type, s, c, count(*) AS k FROM r GROUP BY ALL), u AS (SELECT event_type, s, sum(k) AS n, sum(k * k) AS q FROM k GROUP BY ALL HAVING sum(k) >= 2),
+p AS (SELECT event_type, c, sum(k)::DOUBLE AS k FROM k JOIN u USING (event_type, s) GROUP BY ALL), t AS (SELECT event_type, sum(k) AS n, sum(k * k) AS q FROM p GROUP BY ALL), o AS (SELECT event_type, avg((q - n)::DOUBLE / (n * (n - 1))) AS po, sum((n * n - q)::DOUBLE / (n - 1)) / sum(n) AS d FROM u GROUP BY ALL)
+SELECT event_type, round((po - q / (n * n)) / (1 - q / (n * n)), 5) AS kappa, round(1 - d / ((n * n - q) / (n * (n - 1))), 5) AS alpha FROM t JOIN o USING (event_type)""")
+def sql_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kappa and alpha as aggregates of SQL."""
+    functions.register(spark)
+    return spark.sql("SELECT event_type, round(fleiss_kappa(user_id, c), 5) AS kappa, round(krippendorff_alpha(user_id, c), 5) AS alpha FROM (SELECT event_type, user_id, cast(event_id % 4 AS string) AS c FROM {e}) GROUP BY event_type", e=study.table(spark, sf_dir, "events"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'list' WHEN 2 THEN 'object' WHEN 3 THEN 'nested' WHEN 4 THEN 'attribute' ELSE 'null' END AS form FROM pages)
+SELECT page_id, 'title' AS field, 'css' AS lang, 'h' || page_id AS rule FROM p WHERE form = 'text' UNION ALL SELECT page_id, 'title', 'css', 'h' || page_id || ', p' FROM p WHERE form = 'list' UNION ALL SELECT page_id, 'title', 'xpath', '//h' || page_id FROM p WHERE form = 'object'
+UNION ALL SELECT page_id, 'title', 'css', 'a, b' || page_id FROM p WHERE form = 'nested' UNION ALL SELECT page_id, 'title', 'regex', 'r' FROM p WHERE form = 'nested' UNION ALL SELECT page_id, 'title', 'css', '[data-x]' FROM p WHERE form = 'attribute'""")
+def variant_rule_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules stored as text, list, object, or object of lists, brought into one form."""
+    forms = """CASE page_id % 6 WHEN 0 THEN concat('h', page_id) WHEN 1 THEN concat('["h', page_id, '", null, "p"]') WHEN 2 THEN concat('{"xpath": "//h', page_id, '", "css": "", "other": "x"}')
+        WHEN 3 THEN concat('{"css": ["a", "b', page_id, '"], "regex": "r", "xpath": null}') WHEN 4 THEN '[data-x]' ELSE '[null]' END"""
+    made = study.table(spark, sf_dir, "pages").select("page_id", F.create_map(F.lit("title"), F.expr(forms)).alias("selectors"))
+    return sources.variant_rules(made, ["page_id"])
+
+
+@query("SELECT l_orderkey, 'page-' || l_linenumber AS page, 'f' || (l_partkey % 3) AS field, max(l_quantity)::DOUBLE AS score, max(l_returnflag) AS label FROM lineitem GROUP BY ALL")
+def metrics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as one document per experiment, pages over fields over cells, and read back as cells."""
+    li = study.table(spark, sf_dir, "lineitem")
+    cell = li.groupBy("l_orderkey", F.concat(F.lit("page-"), "l_linenumber").alias("page"), F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("field")).agg(F.struct(F.max("l_quantity").cast("double").alias("score"), F.max("l_returnflag").alias("label")).alias("cell"))
+    as_map = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    documents = cell.groupBy("l_orderkey", "page").agg(as_map("field", "cell").alias("fields")).groupBy("l_orderkey").agg(F.to_json(as_map("page", "fields")).alias("metrics"))
+    return sources.metrics_cells(documents, ["l_orderkey"])

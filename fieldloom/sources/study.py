@@ -61,6 +61,29 @@ def long_rules(selectors: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "field", F.explode(rules).alias("lang", "rule")).where("lang in ('css', 'xpath', 'regex') and coalesce(rule, '') <> ''")
 
 
+def variant_rules(selectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Rules in long form from a map of field to JSON or text, read as variants.
+
+    A text is a CSS rule, and so is what isn't JSON; a list's texts are alternatives of one; an object has a rule per language, itself a text or a list.
+    Empty rules, nulls and other languages are left out.
+    """
+    spark = selectors.sparkSession
+    text = lambda v: f"""CASE WHEN schema_of_variant({v}) LIKE 'ARRAY%' THEN array_join(filter(try_variant_get({v}, '$', 'array<string>'), x -> x IS NOT NULL), ', ')
+        WHEN schema_of_variant({v}) NOT LIKE 'OBJECT%' THEN try_variant_get({v}, '$', 'string') END"""
+    read = selectors.select(F.struct(*keys).alias("k"), F.explode("selectors").alias("field", "value")).withColumn("v", F.try_parse_json("value"))
+    read = read.withColumn("form", F.when(F.col("v").isNull(), "text").when(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"), "object").when(F.expr("schema_of_variant(v) LIKE 'ARRAY%'"), "list").otherwise("text"))
+    one = read.where("form <> 'object'").select("k.*", "field", F.lit("css").alias("lang"), F.when(F.col("form") == "list", F.expr(text("v"))).otherwise(F.col("value")).alias("rule"))
+    parts = spark.sql(f"SELECT d.k.*, d.field, e.key AS lang, {text('e.value')} AS rule FROM {{d}} AS d, LATERAL variant_explode(d.v) AS e", d=read.where("form = 'object'"))
+    return one.unionByName(parts).where("lang in ('css', 'xpath', 'regex') and coalesce(rule, '') <> ''")
+
+
+def metrics_cells(documents: DataFrame, keys: list[str], document: str = "metrics") -> DataFrame:
+    """keys, page, field, score, label of documents {page: {field: {score, label}}} in JSON; what isn't a cell is left out, and so are documents that aren't JSON."""
+    read = documents.select(F.struct(*keys).alias("k"), F.try_parse_json(document).alias("v")).where("v is not null")
+    return documents.sparkSession.sql("""SELECT d.k.*, p.key AS page, f.key AS field, try_variant_get(f.value, '$.score', 'double') AS score, try_variant_get(f.value, '$.label', 'string') AS label
+        FROM {d} AS d, LATERAL variant_explode(d.v) AS p, LATERAL variant_explode(p.value) AS f WHERE schema_of_variant(f.value) LIKE 'OBJECT%'""", d=read)
+
+
 def audit_entries(lines: DataFrame) -> DataFrame:
     """line_no, value -> at, action, user, domain, details, newest first; lines of fewer than two parts are left out."""
     parts = F.split(F.trim("value"), r"\s{2,}")
