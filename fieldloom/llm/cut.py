@@ -45,13 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, at = _folder(spark, path)
-    files.deleteOnExit(at)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path
     return out
 
 
+def until_exit(spark, path: str) -> None:
+    """Has a folder deleted when the application ends."""
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a result of cut() that nothing will read again."""
     remove(df.sparkSession, df._cut)
