@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; the stages' tables go to the shared checkpoint folder, each until the next one is written."""
+    """The rows of the last stage; the stages' tables go to the shared checkpoint folder, each until the next one is written, the last until the application ends."""
     at = f"{cut.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(f"{at}/{k}-{name}")
         if k:
             cut.remove(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
+    cut.until_exit(spark, at)
     return docs
