@@ -275,11 +275,16 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, text: str, doc_id: str, reps: DataFrame) -> DataFrame:
-    """reps (block, node, h1, n and a row's key) with the texts of those rows."""
-    rows = with_keys(docs.select(*row_key(doc_id, text), named(text).alias("text")), reps)
-    # rows equal in id and text are one here, combined before they move
-    once = rows.groupBy(*KEY).agg(F.first("text").alias("text"))
-    return reps.join(once, KEY).select("block", "node", "h1", "n", "text")
+    """reps (block, node, h1, n, a row's key and how many rows have it) with the text of one of those rows."""
+    rows = docs.select(*row_key(doc_id, text), named(text).alias("text"))
+    columns = ["block", "node", "h1", "n", "text"]
+    alone, several = reps.where("rows = 1"), reps.where("rows > 1")
+    out = with_keys(rows, alone).join(alone, KEY).select(*columns)
+    if several.isEmpty():
+        return out
+    # rows equal in id and text become one before they move
+    once = with_keys(rows, several).groupBy(*KEY).agg(F.first("text").alias("text"))
+    return out.unionByName(several.join(once, KEY).select(*columns))
 
 
 def with_value(rows: DataFrame, values: DataFrame, value: str, times: str, scratch: list[DataFrame]) -> DataFrame:
@@ -342,8 +347,9 @@ def classes_of(docs: DataFrame, words: int, percent: int, text: str, doc_id: str
     small_batches(docs.sparkSession)
     known = cut(features(docs, text, doc_id, words))
     blocks = components(meeting_edges(docs, text, words, percent))
-    first = F.min(F.struct("lost", "i", "t")).alias("first")  # ids before missing ones
-    classes = cut(known.where("n > 0").groupBy(*SAME).agg(first).withColumn("node", F.monotonically_increasing_id()))
+    first = F.min(F.struct("lost", "i", "t", "rows")).alias("first")  # ids before missing ones
+    equal = known.where("n > 0").groupBy(*SAME, *KEY).agg(F.count(F.lit(1)).alias("rows"))
+    classes = cut(equal.groupBy(*SAME).agg(first).withColumn("node", F.monotonically_increasing_id()))
     reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").select("block", "node", "h1", "n", "first.*"))
     texts = cut(with_texts(docs, text, doc_id, reps))
     drop(reps)
@@ -378,7 +384,7 @@ def classes_of(docs: DataFrame, words: int, percent: int, text: str, doc_id: str
     rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("start"))
     # a table of its own: a join with it has plain exchanges on both sides, and the planner can split the rows of a text with many copies
-    return known, cut(rooted.select(*SAME, "root").join(firsts, "root").select(*SAME, "start.*"))
+    return known, cut(rooted.select(*SAME, "root").join(firsts, "root").select(*SAME, *(f"start.{k}" for k in KEY)))
 
 
 SAME = ["h1", "h2", "n"]

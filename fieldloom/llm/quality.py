@@ -6,8 +6,8 @@ length and repetition, so that junk which those catch doesn't shift them. A text
 Jensen-Shannon distance to its reference exceeds a threshold, unless the text is so short that its
 histogram says little (the guards).
 
-Texts are read once: counts and histograms are written to shared storage, and references and distances
-come from there. Nothing shuffles but the reference sums, one row per language and task. The references are
+Counts and histograms can be kept in shared storage, so that texts are read once; where whole rows are carried, that
+would write all texts again, and they are counted twice instead. Nothing shuffles but the reference sums, one row per language and task. The references are
 broadcast: they have at most one row for each language of ``COMMON_WORDS`` and one for the rest.
 """
 
@@ -66,7 +66,7 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, found).otherwise(0)
 
 
-def counted(docs: DataFrame, carry: list[str], text: str, lang: str) -> DataFrame:
+def counted(docs: DataFrame, carry: list[str], text: str, lang: str, keep: bool) -> DataFrame:
     """The columns to carry as the struct ``row``, language, length, base counts, the base verdict, and both histograms."""
     t, w, r, lg = F.col("t"), F.col("w"), F.col("r"), F.col("lg")
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -86,7 +86,9 @@ def counted(docs: DataFrame, carry: list[str], text: str, lang: str) -> DataFram
         "row", "lg", F.length(t).alias("length"), "n_words", "word_chars", counts["symbol"].cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), repeat_words(w).cast("long").alias("n_repeat_words"),
         F.array(*[c.cast("double") for c in chars]).alias("chars"), F.when(lg != REST, used).alias("used"),
     )
-    return cut(df).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # a generator of one row: filters on what follows stay above it, and don't compute all of this again inside lambdas
+    df = cut(df) if keep else df.select("row", F.inline(F.array(F.struct(*[c for c in df.columns if c != "row"]))))
+    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def references(hist: DataFrame) -> DataFrame:
@@ -99,12 +101,14 @@ def references(hist: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, text: str = "text", lang: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per row of docs: the struct ``row`` of the columns to carry (all, if none are named), base counts, both distances and the verdict.
 
+    Where columns are named, they are kept with the counts and texts are read once.
+
     A null text is empty and fails the base rules. A null or unknown language is compared with all
     other such documents, by character classes only. Distances are null where a guard holds or no document
     of the language passes the base rules, and a null distance fails nothing. Repeated rows are judged alike; an empty table gives no rows.
     Columns of docs are read through ``row``, so their names can't clash.
     """
-    hist = counted(docs, docs.columns if carry is None else carry, text, lang)
+    hist = counted(docs, docs.columns if carry is None else carry, text, lang, carry is not None)
     df = hist.join(F.broadcast(references(hist)), "lg", "left")
     df = df.withColumns({
         "char_distance": F.when(F.col("length") >= min_chars, js_distance(F.col("chars"), F.col("ref_chars"))),
