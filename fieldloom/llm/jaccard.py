@@ -17,7 +17,7 @@ size is therefore met again by prefixes: shingles are counted over all such bloc
 rarest ones, as many as a linked document can't lack altogether, make the new edges.
 
 A class of equal sets has a number, which stands for it to the end, and one of its rows, known by id and a hash of its text,
-lends the text. Texts are fetched once, for members of blocks only; a bit array of fixed size over those rows keeps most
+lends the text. Texts are fetched for members of blocks only; a bit array of fixed size over those rows keeps most
 others from being shuffled for that.
 
 A block is cut into chunks of bounded bytes, each with the block's smallest document as a hub. Near
@@ -260,6 +260,7 @@ def row_key(doc_id: str, text: str) -> list:
 
 
 KEY = ["t", "i", "lost"]
+FULL = [*KEY, "single"]
 
 
 def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -274,17 +275,14 @@ def features(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     return docs.select(*row_key(doc_id, text), named(text).alias("text")).mapInArrow(run, "t long, i long, lost boolean, n long, h1 long, h2 long")
 
 
-def with_texts(docs: DataFrame, text: str, doc_id: str, reps: DataFrame) -> DataFrame:
-    """reps (block, node, h1, n, a row's key and how many rows have it) with the text of one of those rows."""
+def texts_of(docs: DataFrame, text: str, doc_id: str, reps: DataFrame) -> DataFrame:
+    """The rows that lend texts, and few others: their key (FULL) and text. Rows equal in id and text become one before they move. reps: a row's key, and whether it is the only row with it."""
     rows = docs.select(*row_key(doc_id, text), named(text).alias("text"))
-    columns = ["block", "node", "h1", "n", "text"]
-    alone, several = reps.where("rows = 1"), reps.where("rows > 1")
-    out = with_keys(rows, alone).join(alone, KEY).select(*columns)
+    one = with_keys(rows, reps.where("single")).select(*KEY, F.lit(True).alias("single"), "text")
+    several = reps.where("not single")
     if several.isEmpty():
-        return out
-    # rows equal in id and text become one before they move
-    once = with_keys(rows, several).groupBy(*KEY).agg(F.first("text").alias("text"))
-    return out.unionByName(several.join(once, KEY).select(*columns))
+        return one
+    return one.unionByName(with_keys(rows, several).groupBy(*KEY).agg(F.first("text").alias("text")).withColumn("single", F.lit(False)))
 
 
 def with_value(rows: DataFrame, values: DataFrame, value: str, times: str, scratch: list[DataFrame]) -> DataFrame:
@@ -301,8 +299,8 @@ def with_value(rows: DataFrame, values: DataFrame, value: str, times: str, scrat
     return marked.join(spread_, ["shingle", "salt"]).select("node", "shingle", value)
 
 
-def prefix_edges(members: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
-    """members: block, node, h1, n, text. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members. scratch gets the tables behind them."""
+def prefix_edges(members: DataFrame, texts: DataFrame, words: int, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """members: block, node, h1, n and the key of a row of texts. Edges (a, b) between members that share a shingle of both their prefixes, in the order of frequency among all members. scratch gets the tables behind them."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +316,7 @@ def prefix_edges(members: DataFrame, words: int, percent: int, scratch: list[Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(hashes))], names=["node", "shingle"])
 
-    rows = members.select("block", "node", "h1", "text").mapInArrow(spell, "node long, shingle long")
+    rows = members.join(texts, FULL).select("block", "node", "h1", "text").mapInArrow(spell, "node long, shingle long")
     rows = cut(rows)
     scratch.append(rows)
     shared = with_value(rows, rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times", "times", scratch)
@@ -350,33 +348,32 @@ def classes_of(docs: DataFrame, words: int, percent: int, text: str, doc_id: str
     first = F.min(F.struct("lost", "i", "t", "rows")).alias("first")  # ids before missing ones
     equal = known.where("n > 0").groupBy(*SAME, *KEY).agg(F.count(F.lit(1)).alias("rows"))
     classes = cut(equal.groupBy(*SAME).agg(first).withColumn("node", F.monotonically_increasing_id()))
-    reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").select("block", "node", "h1", "n", "first.*"))
-    texts = cut(with_texts(docs, text, doc_id, reps))
-    drop(reps)
-    reps = texts.select("block", "node", "h1", "n")
+    lends = [*(F.col(f"first.{k}").alias(k) for k in KEY), (F.col("first.rows") == 1).alias("single")]
+    reps = cut(classes.join(blocks.withColumnsRenamed({"node": "h1", "root": "block"}), "h1").select("block", "node", "h1", "n", *lends))
+    texts = texts_of(docs, text, doc_id, reps)
     chunks = F.ceil(F.sum("n") * 8 / chunk_bytes).alias("chunks")
     large = reps.groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") * 8 > large_bytes).select("block")
     if not large.isEmpty():
+        members = reps.join(large, "block", "left_semi")
         scratch: list[DataFrame] = []
-        again = components(prefix_edges(texts.join(large, "block", "left_semi"), words, percent, scratch)).withColumnsRenamed({"root": "again"})
+        again = components(prefix_edges(members, texts, words, percent, scratch)).withColumnsRenamed({"root": "again"})
         for table in scratch:  # components has its own tables
             drop(table)
-        inside = reps.join(large, "block", "left_semi").join(again, "node").select(F.col("again").alias("block"), "node", "h1", "n")
-        reps = cut(reps.join(large, "block", "left_anti").union(inside))
-    of = cut(reps.groupBy("block").agg(F.min(F.struct("node", "h1", "n")).alias("hub"), chunks))
-    dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(0).alias("part"), "node", "h1")
-    hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.node", "hub.h1")
-    lent = texts.select("node", "text")
-    roots = cut(chunk_roots(dealt.union(hubs).join(lent, "node"), words, percent))
+        inside = members.join(again, "node").select(F.col("again").alias("block"), "node", "h1", "n", *FULL)
+        reps = cut(reps.join(large, "block", "left_anti").select("block", "node", "h1", "n", *FULL).union(inside))
+    of = cut(reps.groupBy("block").agg(F.min(F.struct("node", "h1", "n", *FULL)).alias("hub"), chunks))
+    dealt = reps.join(of.select("block", "chunks"), "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), F.lit(0).alias("part"), "node", "h1", *FULL)
+    hubs = of.where("chunks > 1").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("part"), "hub.node", "hub.h1", *(f"hub.{k}" for k in FULL))
+    roots = cut(chunk_roots(dealt.union(hubs).join(texts, FULL), words, percent))
     left = roots.join(of.where("chunks > 1"), "block").where(F.col("root") != F.col("hub.node")).select("block", "node")
     if not left.isEmpty():  # what its own chunk could not link to the hub meets the block's other chunks
         rest = reps.join(left, ["block", "node"], "left_semi")
         parts = rest.groupBy("block").agg(F.ceil(F.sum("n") * 8 / chunk_bytes).alias("parts"))
         every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         sizes = of.join(parts, "block").select("block", "chunks", "parts")
-        whole = dealt.drop("part").join(sizes, "block").select("block", "chunk", every("parts").alias("part"), "node", "h1")
-        odd = rest.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select("block", every("chunks").alias("chunk"), "part", "node", "h1")
-        more = chunk_roots(whole.union(odd).join(lent, "node"), words, percent)
+        whole = dealt.drop("part").join(sizes, "block").select("block", "chunk", every("parts").alias("part"), "node", "h1", *FULL)
+        odd = rest.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).select("block", every("chunks").alias("chunk"), "part", "node", "h1", *FULL)
+        more = chunk_roots(whole.union(odd).join(texts, FULL), words, percent)
         edges = roots.union(more).select(F.col("node").alias("a"), F.col("root").alias("b"))
         found = components(edges)
     else:
