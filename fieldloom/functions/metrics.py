@@ -53,10 +53,17 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(map(one, a, b), dtype=float)
 
 
-@pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of the first 5,000 characters."""
-    return pd.Series([difflib.SequenceMatcher(None, (x or "")[:5000], (y or "")[:5000]).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+def sequence_ratio_within(most_chars: int | None):
+    """difflib's ratio of the first most_chars characters, or of whole texts with None."""
+
+    @pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, (x or "")[:most_chars], (y or "")[:most_chars]).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return ratio
+
+
+sequence_ratio = sequence_ratio_within(5000)
 
 
 @pandas_udf(T.StringType())

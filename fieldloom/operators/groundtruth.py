@@ -127,6 +127,20 @@ def annotation_progress(assignments: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(written, key, "full").na.fill(0)
 
 
+def rule_suggestions(rules: DataFrame) -> DataFrame:
+    """Per layout and field the rule to propose, who wrote it first, the share of pairs of annotators whose rules are the same (po), and the mean of po over the layout's fields (layout_po; fields of fewer than two rules are in no mean).
+
+    rules: layout_id, field, user, ord, rule, normal (the form that is compared; the rule as written is proposed).
+    """
+    key = ["layout_id", "field"]
+    per = rules.where("coalesce(normal, '') <> ''").groupBy(*key, "normal").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.sum("n") * (F.sum("n") - 1)
+    po = per.groupBy(*key).agg((F.sum(F.col("n") * (F.col("n") - 1)) / F.nullif(pairs, F.lit(0))).alias("po"))
+    whole = po.groupBy("layout_id").agg(F.round(F.avg("po"), 6).alias("layout_po"))
+    best = suggested_rule(rules).select(*key, "rule", "user")
+    return best.join(po.withColumn("po", F.round("po", 6)), key, "left").join(whole, "layout_id", "left").select(*key, "rule", "user", "po", "layout_po")
+
+
 def suggested_rule(rules: DataFrame) -> DataFrame:
     """Per layout and field the rule most annotators wrote, the first one on a tie, and who wrote it first; rules: layout_id, field, user, ord, rule."""
     key = ["layout_id", "field"]

@@ -13,11 +13,11 @@ from ..extract import over_rules
 from ..responses import string_udf
 
 
-def selector_scores(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], metric: str = "f1", mode: str | None = None) -> DataFrame:
-    """score and label of each rule on each page of its layout; rules: on, rule_id, field, lang, rule, gt_lang, gt_rule, optional. mode: the skeleton on which CSS rules that miss are tried."""
+def selector_scores(pages: DataFrame, rules: DataFrame, on: list[str], keep: list[str], metric: str = "f1", mode: str | None = None, most_chars: int | None = scoring.TEXT_LIMIT) -> DataFrame:
+    """score and label of each rule on each page of its layout; rules: on, rule_id, field, lang, rule, gt_lang, gt_rule, optional. mode: the skeleton on which CSS rules that miss are tried. most_chars: how much of a text is compared, None for all of it."""
 
     def kernel(page, mine):
-        return ((rule_id, *scoring.selector_score(page, rule, gt_rule, lang, gt_lang, bool(optional), field, metric, mode)) for rule_id, field, lang, rule, gt_lang, gt_rule, optional in mine)
+        return ((rule_id, *scoring.selector_score(page, rule, gt_rule, lang, gt_lang, bool(optional), field, metric, mode, most_chars)) for rule_id, field, lang, rule, gt_lang, gt_rule, optional in mine)
 
     return over_rules(pages, rules.select(*on, "rule_id", "field", "lang", "rule", "gt_lang", "gt_rule", "optional"), on, keep, kernel, "rule_id string, score double, label string")
 

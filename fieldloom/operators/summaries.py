@@ -151,6 +151,41 @@ def coverage_reasons(cells: DataFrame, rules: DataFrame) -> DataFrame:
     return cells.join(rules.select("layout_id", "field", F.lit(True).alias("ruled")).distinct(), ["layout_id", "field"], "left").groupBy("layout_id", "field", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def coverage_table(cells: DataFrame, gt_rules: DataFrame, user_rules: DataFrame, excluded: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per layout and field: pages, scored, not_scored, status, annotators_with_rule, and source: who wrote the reference rule, else the administrator.
+
+    cells: layout_id, page, field, gt, of one experiment. gt_rules, user_rules (with user): layout_id, field, rule. excluded: layout_id, field,
+    left out on purpose. sources: layout_id, field, annotators (groundtruth.rule_sources). A pair without a reference value isn't scored.
+    """
+    key, ruled = ["layout_id", "field"], "coalesce(rule, '') <> ''"
+    has = F.coalesce(F.size("gt") > 0, F.lit(False)).cast("long")
+    per = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("pages"), F.sum(has).alias("scored"))
+    who = user_rules.where(ruled).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_set("user")), " ").alias("annotators_with_rule"))
+    wrote = sources.groupBy(*key).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("annotators")))), " ").alias("wrote"))
+    mark = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    df = per.join(mark(gt_rules.where(ruled), "approved"), key, "left").join(mark(excluded, "out"), key, "left").join(who, key, "left").join(wrote, key, "left")
+    status = F.when(F.col("approved"), "reference rule").when(F.col("out"), "left out by the administrator").when(F.col("annotators_with_rule").isNotNull(), "annotator rule without a decision").otherwise("no rule by any annotator")
+    source = F.when(F.col("approved"), F.coalesce(F.nullif("wrote", F.lit("")), F.lit("administrator"))).otherwise("")
+    return df.select(*key, "pages", "scored", (F.col("pages") - F.col("scored")).alias("not_scored"), status.alias("status"), F.coalesce("annotators_with_rule", F.lit("")).alias("annotators_with_rule"), source.alias("source"))
+
+
+def coverage_totals(table: DataFrame) -> DataFrame:
+    """Sums over a coverage_table: pairs, scored and not_scored ones, pairs not scored by reason, rules approved and rules of the administrator; kind, name, n."""
+    of = lambda test: F.sum(test.cast("long"))
+    sums = {("pairs", "all"): F.sum("pages"), ("pairs", "scored"): F.sum("scored"), ("pairs", "not_scored"): F.sum("not_scored"), ("rules", "approved"): of(F.col("status") == "reference rule"), ("rules", "administrator"): of(F.col("source") == "administrator")}
+    whole = table.agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.coalesce(c, F.lit(0)).alias("n")) for (k, n), c in sums.items()]).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    reason = F.when(F.col("status") == "reference rule", "reference rule returns no value on the page").otherwise(F.col("status"))
+    return whole.unionByName(table.groupBy(reason.alias("name")).agg(F.sum("not_scored").alias("n")).select(F.lit("not_scored").alias("kind"), "name", "n"))
+
+
+def reference_points(cells: DataFrame) -> DataFrame:
+    """Rule sets that stand beside the models, an annotator's own or a generic one: in percent the mean of layout means, of all cells (field null) and per field, with sample pages and others apart. One pass over the cells as grouping sets."""
+    part = lambda test: mean(F.when(test, F.col("score")))
+    means = {"mean": mean("score"), "sample_mean": part(F.col("is_sample")), "others_mean": part(~F.col("is_sample"))}
+    sets = cells.groupingSets([[*LAYOUT, "field"], LAYOUT], *LAYOUT, "field").agg(*[c.alias(n) for n, c in means.items()])
+    return sets.groupBy("exp_id", "field").agg(*[F.round(F.round(100 * F.avg(n), 6), 1).alias(n) for n in means])
+
+
 def reference_support(similarities: DataFrame) -> DataFrame:
     """How many annotators come within 0.8 of the reference; similarities: cell columns layout_id, page, field, and annotator, similarity."""
     per = similarities.groupBy("layout_id", "page", "field").agg(F.sum((F.col("similarity") >= 0.8).cast("long")).alias("k"))

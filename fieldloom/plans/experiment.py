@@ -7,6 +7,7 @@ layouts (``sinks.atomic``), and a later run only takes layouts that are not ther
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -101,6 +102,20 @@ def run(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: D
     return atomic.committed(spark, path, SLOTS, CELLS)
 
 
+def rewritten(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: DataFrame, rewrite: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Experiments with their rules as written and rewritten (such as ``operators.rules.token_tests``), scored in one pass over the pages: exp_id, mean_before, mean_after, change, same_place, changed (how many rules the rewriting changed).
+
+    Inputs as for grid. rewrite takes model_rules and returns them with other rules.
+    """
+    after = rewrite(model_rules.withColumn("was", F.col("rule")))
+    changed = after.groupBy("exp_id").agg(F.sum((F.coalesce("rule", F.lit("")) != F.coalesce("was", F.lit(""))).cast("long")).alias("changed"))
+    named = lambda df, form: df.withColumn("exp_id", F.to_json(F.struct(F.lit(form).alias("form"), "exp_id")))
+    cells = grid(pages, fields, gt_rules, named(model_rules, "before").unionByName(named(after.drop("was"), "after")))
+    means = summaries.experiment_summary(cells.withColumn("is_sample", F.lit(False))).withColumn("e", F.from_json("exp_id", "form string, exp_id string"))
+    one = lambda form: means.where(F.col("e.form") == form).select("e.exp_id", "mean")
+    return summaries.rescored(one("before"), one("after")).join(changed, "exp_id")
+
+
 def regex_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """For CSS rules the regular expressions that give the same values on the given pages of their layout: layout_id, field, regex, strategy, passed, total, tried; rules: layout_id, field, kind, rule. pages must be few per layout (sample pages)."""
     from ..extract import Page

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import clean, css, extract, responses, shared, skeleton, sql as functions, study
 from .functions import metrics as m
-from .operators import agreement, changes, groundtruth, maintenance, rules as ruling, summaries
+from .operators import agreement, changes, compiling, groundtruth, maintenance, rules as ruling, summaries
 from .plans import calls, experiment, workflow
 from .sinks import atomic, exports
 from .sources import fetch, study as sources
@@ -250,7 +250,19 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_pairs(spark, sf_dir).select("doc_id", F.round(m.token_jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
 
 
-@query()
+def sql_rouge(a: str, b: str, common: str) -> str:
+    """F1 of what two lists have in common."""
+    return f"round(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0::DOUBLE * {common} / (len({a}) + len({b})) END::DOUBLE, 6)"
+
+
+def sql_lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence: the longest rising run through the places in b of each word of a, by the smallest last place of runs of each length."""
+    places = f"flatten(list_transform({a}, lambda w: list_reverse_sort(list_filter(range(1, len({b}) + 1), lambda i: {b}[i] = w))))"
+    below = "list_filter(ends, lambda x: x < p[1])"
+    return f"len(list_reduce(list_transform({places}, lambda p: [p]), lambda ends, p: list_concat({below}, p, list_slice(ends, len({below}) + 2, len(ends))), []::BIGINT[]))"
+
+
+@query(f"{PAIRS} SELECT doc_id, {sql_rouge('a', 'b', sql_lcs('a', 'b'))} AS rouge_l FROM t")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.spread(text_pairs(spark, sf_dir)).select("doc_id", F.round(m.rouge_l("text", "other"), 6).alias("rouge_l"))
 
@@ -374,6 +386,67 @@ def coverage_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.coverage_reasons(c, study.fields(study.pages(spark, sf_dir)).where("field <> 'links'"))
 
 
+#: The reference of the coverage queries: one field left out, one forgotten, one approved that no annotator wrote; footers have no rule at all in one layout.
+APPROVED = {"title": "article > h1", "body": "article", "ad": "nav + div"}
+COVERED = [("title", "h1", "reference rule", "ben cem", "ben"), ("body", "art", "reference rule", "ben cem", "ben"), ("ad", "ad", "reference rule", "ben", "administrator"), ("links", EMPTY, "left out by the administrator", "ben cem", ""), ("footer", EMPTY, "", "ben cem", "")]
+
+
+def sql_covered() -> str:
+    status = lambda s: f"'{s}'" if s else "CASE WHEN layout_id = 'layout-de' THEN 'no rule by any annotator' ELSE 'annotator rule without a decision' END"
+    who = lambda s, w: f"'{w}'" if s else f"CASE WHEN layout_id = 'layout-de' THEN '' ELSE '{w}' END"
+    rows = [f"SELECT layout_id, '{f}' AS field, len({x}) > 0 AS has, {status(s)} AS status, {who(s, w)} AS annotators_with_rule, '{by}' AS source FROM v" for f, x, s, w, by in COVERED]
+    return f"WITH {FOUND}, ce AS ({' UNION ALL '.join(rows)}), ct AS (SELECT layout_id, field, count(*) AS pages, count(*) FILTER (has) AS scored, count(*) FILTER (NOT has) AS not_scored, status, annotators_with_rule, source FROM ce GROUP BY ALL)"
+
+
+@query(f"{sql_covered()} SELECT * FROM ct")
+def coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored and unscored pairs of each layout's fields with the reason and the source of the rule."""
+    p = study.pages(spark, sf_dir)
+    f, gt = study.fields(p), study.ruled(p, {"gt": ("css", APPROVED)}, "owner")
+    users = study.ruled(p, {u: ("css", r) for u, r in study.ANNOTATORS.items() if u != "ann"}, "user").where("not (layout_id = 'layout-de' and field = 'footer')")
+    cells = experiment.grid(p.select("layout_id", "page", "html"), f, gt.select("layout_id", "field", "rule"), study.ruled(p, {"weak-css": study.MODELS["weak-css"]}, "exp_id"))
+    normal = responses.string_udf(css.normalize_rule)
+    sources_ = groundtruth.rule_sources(gt.withColumn("normal", normal("rule")), users.withColumn("normal", normal("rule")))
+    return summaries.coverage_table(cells, gt, users, f.where("field = 'links'"), sources_)
+
+
+@query(f"""{sql_covered()} SELECT 'pairs' AS kind, 'all' AS name, sum(pages)::BIGINT AS n FROM ct UNION ALL SELECT 'pairs', 'scored', sum(scored)::BIGINT FROM ct UNION ALL SELECT 'pairs', 'not_scored', sum(not_scored)::BIGINT FROM ct
+UNION ALL SELECT 'rules', 'approved', count(*) FROM ct WHERE status = 'reference rule' UNION ALL SELECT 'rules', 'administrator', count(*) FROM ct WHERE source = 'administrator'
+UNION ALL SELECT 'not_scored', CASE WHEN status = 'reference rule' THEN 'reference rule returns no value on the page' ELSE status END, sum(not_scored)::BIGINT FROM ct GROUP BY 1, 2""")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.coverage_totals(coverage_table(spark, sf_dir))
+
+
+#: One rule set for all sites, written without looking at a page.
+GENERIC = {"title": "title", "body": "article", "links": "a[href]", "footer": "footer"}
+POINTS = {"ann": STRONG, "ben": STRONG, "cem": ("ttl", "h1", "links", EMPTY, "ad"), "generic": ("ttl", "art", "links", EMPTY, "foot")}
+SQL_POINT = ", ".join(f"round(round(100 * avg({n}), 6), 1) AS {n}" for n in ("mean", "sample_mean", "others_mean"))
+
+
+@query(f"""{sql_cells(POINTS)}, lf AS (SELECT exp_id, layout_id, field, round(avg(score), 4) AS mean, round(avg(CASE WHEN is_sample THEN score END), 4) AS sample_mean, round(avg(CASE WHEN NOT is_sample THEN score END), 4) AS others_mean FROM c GROUP BY ALL)
+SELECT exp_id, NULL AS field, {SQL_POINT} FROM l GROUP BY exp_id UNION ALL SELECT exp_id, field, {SQL_POINT} FROM lf GROUP BY exp_id, field""")
+def reference_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotators' own rules and a generic set, scored like a model's."""
+    sets = {u: ("css", r) for u, r in study.ANNOTATORS.items()} | {"generic": ("css", GENERIC)}
+    return summaries.reference_points(study.cells(spark, sf_dir, sets))
+
+
+#: Whole tests of the class attribute: as it is on the pages, with a space too many, and with a word that isn't there.
+CLASS_TESTS = {"whole": "//div[@class='ad']", "spaced": '//div[@class="ad "]', "two words": "//div[@class='ad box']"}
+SQL_TESTED = lambda s: f"SELECT exp_id, mean FROM ({sql_cells(s)} SELECT exp_id, round(avg(mean), 4) AS mean FROM l GROUP BY exp_id)"
+BEFORE, AFTER = ({n: (*STRONG[:3], "ad" if n in hit else EMPTY, "foot") for n in CLASS_TESTS} for hit in (("whole",), ("whole", "spaced")))
+
+
+@query(f"""WITH b AS ({SQL_TESTED(BEFORE)}), a AS ({SQL_TESTED(AFTER)}), k AS (SELECT exp_id, b.mean AS mean_before, a.mean AS mean_after, row_number() OVER (ORDER BY b.mean DESC NULLS LAST, exp_id) = row_number() OVER (ORDER BY a.mean DESC NULLS LAST, exp_id) AS same_place FROM b JOIN a USING (exp_id))
+SELECT exp_id, mean_before, mean_after, round(mean_after - mean_before, 4) AS change, same_place, (SELECT count(DISTINCT layout_id) FROM (WITH {PAGES} SELECT layout_id FROM p)) AS changed FROM k""")
+def class_tests_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XPath rules that test the whole class attribute, and what they score when rewritten to test its words."""
+    p = study.pages(spark, sf_dir)
+    gt = study.ruled(p, {"gt": ("css", study.GT)}, "owner").select("layout_id", "field", "rule")
+    models = study.ruled(p, {n: ("xpath", study.MODELS["strong-xpath"][1] | {"ad": r}) for n, r in CLASS_TESTS.items()}, "exp_id")
+    return experiment.rewritten(p.select("layout_id", "page", "html"), study.fields(p), gt, models, ruling.token_tests)
+
+
 @query(f"{CELLS} SELECT exp_id, round(avg((len(pred) > 0)::INT), 4) AS share, count(*) AS n FROM c WHERE field = 'ad' GROUP BY exp_id")
 def over_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = study.cells(spark, sf_dir)
@@ -611,7 +684,19 @@ def agreement_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.field_study(agreement.pair_similarities(values), values, normal_rules(spark, sf_dir))
 
 
-@query()
+def sql_tokens(x: str) -> str:
+    return words(f"regexp_replace({x}, '[^A-Za-z0-9_\\s]', ' ', 'g')")
+
+
+WRITTEN = sql_rows([(u, k, f, r) for k, (u, rules) in enumerate(study.ANNOTATORS.items()) for f, r in rules.items()], "usr, ord, field, rule")
+
+
+@query(f"""{PAIRED}, t AS (SELECT layout_id, page, field, usr, ord, rule, array_to_string(pred, ' ') AS text, array_to_string(gt, ' ') AS gt FROM g JOIN {WRITTEN} USING (usr, field)), sd AS (SELECT * FROM t WHERE text <> ''),
+rf AS (SELECT *, coalesce(nullif(gt, ''), (SELECT arg_min(o.text, o.ord) FROM sd o WHERE o.layout_id = sd.layout_id AND o.page = sd.page AND o.field = sd.field AND o.text <> sd.text), text) AS ref FROM sd),
+tk AS (SELECT *, {sql_tokens("text")} AS a, {sql_tokens("ref")} AS b FROM rf), gr AS (SELECT *, {sql_grams("a", 2)} AS a2, {sql_grams("b", 2)} AS b2 FROM tk),
+sc AS (SELECT *, (text = ref)::INT AS em, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(a), list_distinct(b)))::DOUBLE / len(list_distinct(list_concat(a, b))) END::DOUBLE, 6) AS jac,
+  {sql_rouge("a", "b", bag("a", "b"))} AS r1, {sql_rouge("a2", "b2", bag("a2", "b2"))} AS r2, {sql_rouge("a", "b", sql_lcs("a", "b"))} AS rl FROM gr)
+SELECT layout_id, page, field, usr AS "user", em, jac, r1, r2, rl, first_value(usr) OVER w AS suggested_user, first_value(rule) OVER w AS suggested_rule FROM sc WINDOW w AS (PARTITION BY layout_id, page, field ORDER BY rl DESC, ord)""")
 def annotator_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each annotator's text against the approved one by five measures, and who comes closest."""
     values = study.annotator_values(spark, sf_dir)
@@ -758,6 +843,55 @@ def rule_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groundtruth.suggested_rule(event_rules(spark, sf_dir)[0]).select("layout_id", "field", "rule", "user", "n")
 
 
+def normal_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """event_rules with language and normal form."""
+    normal = responses.string_udf(css.normalize_rule)
+    users, gt = (df.withColumns({"lang": F.lit("css"), "normal": normal("rule")}) for df in event_rules(spark, sf_dir))
+    return users, gt
+
+
+@query(f"""WITH {WROTE}, c AS (SELECT layout_id, field, rule, count(*) AS n, min(ord) AS f, arg_min(usr, ord) AS usr FROM w WHERE rule <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY layout_id, field ORDER BY n DESC, f) AS k FROM c),
+m AS (SELECT layout_id, field, normal, count(*) AS n FROM w WHERE normal IS NOT NULL GROUP BY ALL), o AS (SELECT layout_id, field, sum(n * (n - 1))::DOUBLE / nullif(sum(n) * (sum(n) - 1), 0) AS po FROM m GROUP BY ALL), y AS (SELECT layout_id, round(avg(po), 6) AS layout_po FROM o GROUP BY layout_id)
+SELECT layout_id, field, rule, usr AS "user", round(po, 6) AS po, layout_po FROM k JOIN o USING (layout_id, field) JOIN y USING (layout_id) WHERE k = 1""")
+def rule_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groundtruth.rule_suggestions(normal_events(spark, sf_dir)[0])
+
+
+#: A save of all layouts but L6: error is left out everywhere, signup in L0 only, so L1 and L2 are refused. The last save left error out, with the same reason in layouts of even number.
+SAVE = f"""{WROTE}, mi AS (SELECT layout_id, field, string_agg(DISTINCT usr, ',' ORDER BY usr) AS annotators FROM w WHERE rule <> '' AND (layout_id, field) NOT IN (SELECT (layout_id, field) FROM t WHERE rule <> '') GROUP BY ALL),
+rj AS (SELECT DISTINCT layout_id FROM mi WHERE layout_id < 'L6' AND field <> 'error' AND NOT (field = 'signup' AND layout_id = 'L0'))"""
+
+
+def saved_layouts(spark: SparkSession, sf_dir: str) -> compiling.Saved:
+    users, gt = normal_events(spark, sf_dir)
+    e = study.table(spark, sf_dir, "events")
+    lay = users.select("layout_id").distinct()
+    left_out = lay.select("layout_id", F.lit("error").alias("field"), F.lit("  not on pages\n").alias("reason")).unionByName(lay.where("layout_id = 'L0'").select("layout_id", F.lit("signup").alias("field"), F.lit(None).cast("string").alias("reason")))
+    even = F.substring("layout_id", 2, 1).cast("int") % 2 == 0
+    old = groundtruth.unapproved_fields(users.where("field = 'error'"), gt).select("layout_id", "field", F.lit("first").alias("by"), F.lit("2024-01-01").alias("at"), F.when(even, "not on pages").otherwise("?").alias("reason"), "annotators")
+    previous = {
+        "decisions": old, "notes": lay.select("layout_id", F.lit("view").alias("field"), F.lit("old").alias("note")), "compiled": lay.select("layout_id", F.lit("xpath").alias("lang"), F.lit("first").alias("by"), F.lit("2024-01-01").alias("at")),
+        "assignments": e.select((F.col("user_id") % 7 % 2).alias("domain"), F.col("event_id").alias("page"), F.concat(F.lit("L"), (F.col("user_id") % 7).cast("string")).alias("layout_id"), (F.col("event_id") % 5 == 0).alias("skipped")),
+    }
+    pages = e.where("event_id % 3 = 0").select(F.concat(F.lit("L"), (F.col("event_id") % 7).cast("string")).alias("layout_id"), (F.col("user_id") % 7 % 2).alias("domain"), F.col("event_id").alias("page"))
+    return compiling.compile_rules(lay.where("layout_id < 'L6'"), gt.withColumn("note", F.concat(F.lit(" "), "field")), users, left_out, previous, pages, "second", "2024-02-01")
+
+
+@query(f"""WITH {SAVE}, d AS (SELECT mi.*, layout_id < 'L6' AND layout_id NOT IN (FROM rj) AS saved, substr(layout_id, 2, 1)::INT % 2 = 0 AS even FROM mi)
+SELECT layout_id, field, CASE WHEN field = 'error' AND (even OR NOT saved) THEN 'first' ELSE 'second' END AS "by", CASE WHEN field <> 'error' THEN '' WHEN even OR saved THEN 'not on pages' ELSE '?' END AS reason, annotators FROM d WHERE saved OR field = 'error'""")
+def compiled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left out of the approved rules, by whom and why, after a save."""
+    return saved_layouts(spark, sf_dir).decisions.select("layout_id", "field", "by", "reason", F.array_join("annotators", ",").alias("annotators"))
+
+
+@query(f"""WITH {SAVE}, n AS (SELECT (user_id % 7 % 2)::BIGINT AS domain, event_id AS page, 'L' || (event_id % 7) AS layout_id FROM events WHERE event_id % 3 = 0), ns AS (SELECT * FROM n WHERE layout_id < 'L6' AND layout_id NOT IN (FROM rj)),
+o AS (SELECT (user_id % 7 % 2)::BIGINT AS domain, event_id AS page, 'L' || (user_id % 7) AS layout_id, event_id % 5 = 0 AS skipped FROM events)
+SELECT domain, page, layout_id, skipped FROM o WHERE (layout_id >= 'L6' OR layout_id IN (FROM rj)) AND page NOT IN (SELECT page FROM ns) UNION ALL SELECT domain, page, layout_id, false FROM ns""")
+def compiled_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and their layouts after the save: those of saved layouts are replaced."""
+    return saved_layouts(spark, sf_dir).assignments
+
+
 STATUS = """WITH u AS (SELECT 'layout-' || (user_id % 50) AS layout_id, CASE event_id % 3 WHEN 0 THEN 'css' WHEN 1 THEN 'xpath' ELSE 'regex' END AS lang, user_id, ts FROM events),
 l AS (SELECT layout_id, lang, max(ts) AS last, count(DISTINCT user_id) AS annotators FROM u GROUP BY ALL),
 c AS (SELECT 'layout-' || (user_id % 50) AS layout_id, 'css' AS lang, max(ts) AS done FROM events WHERE event_type = 'view' GROUP BY ALL)

@@ -49,11 +49,11 @@ def overlap(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def likeness(found: Found, lang: str, wanted: Found, gt_lang: str, images: bool, metric: str) -> float:
-    """Jaccard index of images, word F1 (f1) or difflib's ratio (seq) of texts; elements without any text are compared as such."""
+def likeness(found: Found, lang: str, wanted: Found, gt_lang: str, images: bool, metric: str, most_chars: int | None = TEXT_LIMIT) -> float:
+    """Jaccard index of images, word F1 (f1) or difflib's ratio (seq) of the first most_chars characters of texts (None: whole texts); elements without any text are compared as such."""
     if images:
         return overlap(*({v for x in side for v in images_of(x)} for side in (found, wanted)))
-    a, b = text_of(wanted, gt_lang == "css")[:TEXT_LIMIT], text_of(found, lang == "css")[:TEXT_LIMIT]
+    a, b = text_of(wanted, gt_lang == "css")[:most_chars], text_of(found, lang == "css")[:most_chars]
     if not a and not b:
         return overlap({id(x) for x in wanted}, {id(x) for x in found})
     if metric == "seq":
@@ -62,7 +62,7 @@ def likeness(found: Found, lang: str, wanted: Found, gt_lang: str, images: bool,
     return 2 * (p & q).total() / (p.total() + q.total()) if p and q else 0.0
 
 
-def selector_score(page: Page, rule: str | None, gt_rule: str | None, lang: str = "css", gt_lang: str | None = None, optional: bool = False, field: str | None = None, metric: str = "f1", mode: str | None = None) -> tuple[float, str]:
+def selector_score(page: Page, rule: str | None, gt_rule: str | None, lang: str = "css", gt_lang: str | None = None, optional: bool = False, field: str | None = None, metric: str = "f1", mode: str | None = None, most_chars: int | None = TEXT_LIMIT) -> tuple[float, str]:
     """(score, label) of a rule by what it finds on a page, against what the ground truth's rule finds.
 
     Labels: NULL without a rule and MISS without a match (OPT_ and a score of -1 for optional fields), INVALID;
@@ -88,7 +88,7 @@ def selector_score(page: Page, rule: str | None, gt_rule: str | None, lang: str
         wanted = elements(page, part, gt_lang)
         if not wanted:
             return -1.0, "GT_ERROR" if wanted is None else "GT_MISS"
-        score = likeness(found, lang, wanted, gt_lang, field in IMAGE_FIELDS, metric)
+        score = likeness(found, lang, wanted, gt_lang, field in IMAGE_FIELDS, metric, most_chars)
         one_for_many = len(found) != len(wanted) and min(len(found), len(wanted)) == 1
         return score, "MATCH" if score >= MATCH_AT else "CONTAINER" if one_for_many else "PARTIAL" if score > 0 else "WRONG"
 
