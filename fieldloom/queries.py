@@ -1153,11 +1153,11 @@ def sql_rule_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT event_type, user_id AS s, event_id % 4 AS c FROM events), k AS (SELECT event_type, s, c, count(*) AS k FROM r GROUP BY ALL), u AS (SELECT event_type, s, sum(k) AS n, sum(k * k) AS q FROM k GROUP BY ALL HAVING sum(k) >= 2),
 p AS (SELECT event_type, c, sum(k)::DOUBLE AS k FROM k JOIN u USING (event_type, s) GROUP BY ALL), t AS (SELECT event_type, sum(k) AS n, sum(k * k) AS q FROM p GROUP BY ALL), o AS (SELECT event_type, avg((q - n)::DOUBLE / (n * (n - 1))) AS po, sum((n * n - q)::DOUBLE / (n - 1)) / sum(n) AS d FROM u GROUP BY ALL)
-SELECT event_type, round((po - q / (n * n)) / (1 - q / (n * n)), 5) AS kappa, round(1 - d / ((n * n - q) / (n * (n - 1))), 5) AS alpha FROM t JOIN o USING (event_type)""")
+SELECT event_type, round((po - q / (n * n)) / (1 - q / (n * n)), 6) AS kappa, round(1 - d / ((n * n - q) / (n * (n - 1))), 6) AS alpha FROM t JOIN o USING (event_type)""")
 def sql_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kappa and alpha as aggregates of SQL."""
     functions.register(spark)
-    return spark.sql("SELECT event_type, round(fleiss_kappa(user_id, c), 5) AS kappa, round(krippendorff_alpha(user_id, c), 5) AS alpha FROM (SELECT event_type, user_id, cast(event_id % 4 AS string) AS c FROM {e}) GROUP BY event_type", e=study.table(spark, sf_dir, "events"))
+    return spark.sql("SELECT event_type, fleiss_kappa(user_id, c) AS kappa, krippendorff_alpha(user_id, c) AS alpha FROM (SELECT event_type, user_id, cast(event_id % 4 AS string) AS c FROM {e}) GROUP BY event_type", e=study.table(spark, sf_dir, "events"))
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'list' WHEN 2 THEN 'object' WHEN 3 THEN 'nested' WHEN 4 THEN 'attribute' ELSE 'null' END AS form FROM pages)
