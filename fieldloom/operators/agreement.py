@@ -152,6 +152,6 @@ def against_reference(texts: DataFrame) -> DataFrame:
     other = F.get(F.filter("all", lambda o: o["text"] != F.col("me.text")), F.lit(0))["text"]
     ref = F.coalesce("gt", other, F.col("me.text"))
     df = each.select(*key, F.col("me.user").alias("user"), F.col("me.ord").alias("ord"), F.col("me.rule").alias("rule"), F.col("me.text").alias("text"), ref.alias("ref"))
-    df = df.withColumns({"em": (F.col("text") == F.col("ref")).cast("int"), "jac": m.token_jaccard(F.col("text"), F.col("ref")), "r1": m.rouge_n(F.col("text"), F.col("ref"), 1), "r2": m.rouge_n(F.col("text"), F.col("ref"), 2), "rl": m.rouge_l("text", "ref")})
+    df = df.withColumn("em", (F.col("text") == F.col("ref")).cast("int")).withColumn("by", m.text_measures("text", "ref")).select("*", "by.*")
     best = F.max_by(F.struct("user", "rule"), F.struct("rl", -F.col("ord"))).over(Window.partitionBy(*key))
     return df.withColumn("best", best).select(*key, "user", "em", "jac", "r1", "r2", "rl", F.col("best.user").alias("suggested_user"), F.col("best.rule").alias("suggested_rule"))

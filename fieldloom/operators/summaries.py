@@ -25,6 +25,12 @@ def score_cells(grid: DataFrame, gt: str = "gt", pred: str = "pred", metric: str
     return raw.withColumns({"score": F.round("raw", 4), "label": m.label_of(F.col("raw"), F.col(gt), F.col(pred))}).drop("raw")
 
 
+def labelled(scored: DataFrame) -> DataFrame:
+    """score_cells for cells that have their numbers of values n_gt, n_pred and raw already; these three go."""
+    label = F.when(F.col("n_gt") == 0, "NO_GT").when(F.col("n_pred") == 0, "MISS").otherwise(m.score_label(F.col("raw")))
+    return scored.withColumns({"score": F.round("raw", 4), "label": label}).drop("raw", "n_gt", "n_pred")
+
+
 def layout_summary(cells: DataFrame) -> DataFrame:
     """cells: exp_id, layout_id, page, field, score, label, is_sample."""
     return cells.groupBy(*LAYOUT).agg(mean("score").alias("mean"), mean(F.when(F.col("is_sample"), F.col("score"))).alias("sample_mean"), mean(F.when(~F.col("is_sample"), F.col("score"))).alias("others_mean"), F.countDistinct("page").alias("n_pages"))

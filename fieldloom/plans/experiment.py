@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..extract import rule_values
+from ..extract import over_rules, scored_values
 from ..functions import metrics as m
 from ..operators import summaries
 from ..regexgen import generate
@@ -67,17 +67,18 @@ def grid(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules:
     truth run together, so each page is parsed once, and cells come out of that pass: pages don't shuffle. A missing rule finds
     nothing. An experiment has cells for the layouts it has a rule row for.
     """
+    return summaries.labelled(scored(pages, fields, gt_rules, model_rules, True)).select("exp_id", "layout_id", "page", "field", "metric", "gt", "pred", "score", "label")
+
+
+def scored(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_rules: DataFrame, values: bool = False) -> DataFrame:
+    """Cells as in grid with n_gt, n_pred (how many values both sides have) and raw, the unrounded score; gt and pred only if values are wanted: texts then stay in the task that reads the page."""
     kinds = fields.select("layout_id", "field", m.field_kind(F.col("type")).alias("kind"), "merge", "metric")
     # the rules of all cells, missing ones too: a table by layout, not by page
     members = model_rules.select("layout_id", "exp_id").distinct().join(kinds, "layout_id").join(model_rules.select("layout_id", "exp_id", "field", "lang", "rule"), ["layout_id", "exp_id", "field"], "left")
-    gt = kinds.join(gt_rules.select("layout_id", "field", "rule"), ["layout_id", "field"], "left")
-    name = lambda exp: F.to_json(F.struct(exp.alias("exp_id"), "field", "metric"))
-    rules = members.select("layout_id", name(F.col("exp_id")).alias("rule_id"), F.coalesce("lang", F.lit("css")).alias("lang"), "kind", "merge", "rule", name(F.lit("")).alias("ref"))
-    rules = rules.unionByName(gt.select("layout_id", name(F.lit("")).alias("rule_id"), F.lit("css").alias("lang"), "kind", "merge", "rule", F.lit(None).cast("string").alias("ref")))
-    found = rule_values(pages, rules, ["layout_id"], ["layout_id", "page"]).where("ref_vals is not null")
-    at = F.from_json("rule_id", "exp_id string, field string, metric string")
-    cell = found.withColumn("r", at).select("r.exp_id", "layout_id", "page", "r.field", "r.metric", F.col("ref_vals").alias("gt"), F.col("vals").alias("pred"))
-    return summaries.score_cells(cell)
+    gt = gt_rules.select("layout_id", "field", F.col("rule").alias("gt_rule")).dropDuplicates(["layout_id", "field"])
+    rules = members.join(gt, ["layout_id", "field"], "left").select("layout_id", "exp_id", "field", "metric", F.coalesce("lang", F.lit("css")).alias("lang"), "kind", "merge", "rule", "gt_rule")
+    schema = "exp_id string, field string, metric string, n_gt int, n_pred int, raw double" + ", gt array<string>, pred array<string>" * values
+    return over_rules(pages, rules, ["layout_id"], ["layout_id", "page"], scored_values(values), schema)
 
 
 def mark_samples(cells: DataFrame, samples: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def rewritten(pages: DataFrame, fields: DataFrame, gt_rules: DataFrame, model_ru
     after = rewrite(model_rules.withColumn("was", F.col("rule")))
     changed = after.groupBy("exp_id").agg(F.sum((F.coalesce("rule", F.lit("")) != F.coalesce("was", F.lit(""))).cast("long")).alias("changed"))
     named = lambda df, form: df.withColumn("exp_id", F.to_json(F.struct(F.lit(form).alias("form"), "exp_id")))
-    cells = grid(pages, fields, gt_rules, named(model_rules, "before").unionByName(named(after.drop("was"), "after")))
+    cells = summaries.labelled(scored(pages, fields, gt_rules, named(model_rules, "before").unionByName(named(after.drop("was"), "after"))))
     means = summaries.experiment_summary(cells.withColumn("is_sample", F.lit(False))).withColumn("e", F.from_json("exp_id", "form string, exp_id string"))
     one = lambda form: means.where(F.col("e.form") == form).select("e.exp_id", "mean")
     return summaries.rescored(one("before"), one("after")).join(changed, "exp_id")

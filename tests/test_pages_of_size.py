@@ -42,3 +42,51 @@ def test_cut_references(spark, cut, name):
 def test_pages_of_one_address(spark, tmp_path):
     urls = ["https://abcdefghij/en/x", "https://abcdefghij/en/x", "https://abcdefghij/en/y", "https://abcdefghij/en/x", "https://abcdefghij/en/x"]
     assert_twins(spark, tables(spark, tmp_path, urls, [LONG, "short", LONG + "<p>more</p>", LONG + "<p>three</p>", "<p>five</p>" * 300]), "fetched_pages")
+
+
+def longest_common(p, q):
+    row = [0] * (len(q) + 1)
+    for w in p:
+        row = [0, *(m := row)][: len(q) + 1]
+        for j, v in enumerate(q, 1):
+            row[j] = m[j - 1] + 1 if w == v else max(m[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_subsequence_by_bits():
+    import random
+
+    from fieldloom.functions.bags import lcs_f1
+
+    draw = random.Random(5)
+    for _ in range(300):
+        p, q = ([draw.choice("abcdefg") for _ in range(draw.randrange(1, 90))] for _ in range(2))
+        p, q = p, q[: draw.randrange(1, 90)]
+        assert lcs_f1(p, q) == 2 * longest_common(p, q) / (len(p) + len(q))
+    assert (lcs_f1([], []), lcs_f1(["a"], []), lcs_f1(["a", "b"], ["c"])) == (1.0, 0.0, 0.0)
+
+
+def test_scores_in_python_are_those_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from fieldloom.functions import metrics as m
+    from fieldloom.functions.bags import score_of
+
+    sides = [[], [""], ["a b", "B a"], ["A  b"], ["b\xa0a", "c"], ["bac"], ["b a", "c\x1c"], [" a b B a "], ["a b B a"]]
+    rows = [(g, p, k) for g in sides for p in sides for k in ("rouge", "jaccard", "exact_match", None)]
+    found = spark.createDataFrame(rows, "gt array<string>, pred array<string>, metric string").withColumn("raw", m.raw_score(F.col("gt"), F.col("pred"), F.col("metric"))).collect()
+    assert [r["raw"] for r in found] == [score_of(r["gt"], r["pred"], r["metric"]) for r in found]
+
+
+def test_results_leave_in_slices(spark, cut, monkeypatch):
+    from fieldloom import extract
+
+    whole = sorted(map(tuple, QUERIES["css_values_long"](spark, str(cut)).collect()))
+    monkeypatch.setattr(extract, "HELD_CHARS", 1)
+    assert sorted(map(tuple, QUERIES["css_values_long"](spark, str(cut)).collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["heat_map", "gap_quartiles", "label_histogram", "reference_support", "class_tests_rescored"])
+def test_cells_are_scored_where_pages_are_read(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "word_f1" not in plan
