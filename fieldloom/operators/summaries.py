@@ -25,10 +25,15 @@ def score_cells(grid: DataFrame, gt: str = "gt", pred: str = "pred", metric: str
     return raw.withColumns({"score": F.round("raw", 4), "label": m.label_of(F.col("raw"), F.col(gt), F.col(pred))}).drop("raw")
 
 
-def labelled(scored: DataFrame) -> DataFrame:
-    """score_cells for cells that have their numbers of values n_gt, n_pred and raw already; these three go."""
+def labelled(scored: DataFrame, counts: bool = False) -> DataFrame:
+    """score_cells for cells that have their numbers of values n_gt, n_pred and raw already; these three go, or with counts raw alone."""
     label = F.when(F.col("n_gt") == 0, "NO_GT").when(F.col("n_pred") == 0, "MISS").otherwise(m.score_label(F.col("raw")))
-    return scored.withColumns({"score": F.round("raw", 4), "label": label}).drop("raw", "n_gt", "n_pred")
+    return scored.withColumns({"score": F.round("raw", 4), "label": label}).drop("raw", *(() if counts else ("n_gt", "n_pred")))
+
+
+def n_values(cells: DataFrame, side: str) -> Column:
+    """How many values cells have on a side: the column n_<side> if there is one, so that texts needn't come along, else the size of its array; null for a null array."""
+    return F.col(f"n_{side}") if f"n_{side}" in cells.columns else F.when(F.col(side).isNotNull(), F.size(side))
 
 
 def layout_summary(cells: DataFrame) -> DataFrame:
@@ -152,8 +157,9 @@ def gap_statistics(cells: DataFrame) -> DataFrame:
 
 
 def coverage_reasons(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Cells scored or not per layout and field, with the reason; cells: layout_id, page, field, gt; rules: layout_id, field (those with a ground-truth rule)."""
-    status = F.when(F.col("ruled").isNull(), "no_rule").when(F.col("gt").isNull(), "no_page").when(F.size("gt") == 0, "rule_found_nothing").otherwise("scored")
+    """Cells scored or not per layout and field, with the reason; cells: layout_id, page, field, gt or n_gt; rules: layout_id, field (those with a ground-truth rule)."""
+    n = n_values(cells, "gt")
+    status = F.when(F.col("ruled").isNull(), "no_rule").when(n.isNull(), "no_page").when(n == 0, "rule_found_nothing").otherwise("scored")
     return cells.join(rules.select("layout_id", "field", F.lit(True).alias("ruled")).distinct(), ["layout_id", "field"], "left").groupBy("layout_id", "field", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -201,8 +207,8 @@ def reference_support(similarities: DataFrame) -> DataFrame:
 
 
 def over_extraction(cells: DataFrame, absent: DataFrame) -> DataFrame:
-    """Share of cells with a value among fields that no annotator found on the layout; absent: layout_id, field."""
-    return cells.join(absent, ["layout_id", "field"], "left_semi").groupBy("exp_id").agg(F.round(F.avg((F.size("pred") > 0).cast("double")), 4).alias("share"), F.count(F.lit(1)).alias("n"))
+    """Share of cells with a value among fields that no annotator found on the layout; cells: exp_id, layout_id, field, pred or n_pred; absent: layout_id, field."""
+    return cells.join(absent, ["layout_id", "field"], "left_semi").groupBy("exp_id").agg(F.round(F.avg((n_values(cells, "pred") > 0).cast("double")), 4).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
 def timing(times: DataFrame) -> DataFrame:

@@ -90,3 +90,22 @@ def test_results_leave_in_slices(spark, cut, monkeypatch):
 def test_cells_are_scored_where_pages_are_read(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "word_f1" not in plan
+
+
+@pytest.mark.parametrize("name", ["over_extraction"])
+def test_texts_of_counted_values_stay_in_python(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    made = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert "n_pred#" in made and "pred#" not in made.replace("n_pred#", "") and "gt#" not in made.replace("n_gt#", "")
+
+
+def test_counts_stand_for_values(spark):
+    from fieldloom.operators import summaries
+
+    rows = [("e", "l", "p", "ad", [], ["x"]), ("e", "l", "q", "ad", ["y"], []), ("e", "l", "r", "ad", None, None), ("e", "l", "p", "title", ["t"], ["t"])]
+    values = spark.createDataFrame(rows, "exp_id string, layout_id string, page string, field string, gt array<string>, pred array<string>")
+    counts = values.selectExpr("exp_id", "layout_id", "page", "field", "if(gt is null, null, size(gt)) as n_gt", "if(pred is null, null, size(pred)) as n_pred")
+    rules = spark.createDataFrame([("l", "ad")], "layout_id string, field string")
+    for f in (summaries.coverage_reasons, summaries.over_extraction):
+        assert sorted(map(tuple, f(values, rules).collect())) == sorted(map(tuple, f(counts, rules).collect()))
+    assert sorted(map(tuple, summaries.coverage_reasons(counts, rules).collect())) == [("l", "ad", "no_page", 1), ("l", "ad", "rule_found_nothing", 1), ("l", "ad", "scored", 1), ("l", "title", "no_rule", 1)]
