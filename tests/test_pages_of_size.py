@@ -92,7 +92,7 @@ def test_cells_are_scored_where_pages_are_read(spark, sf, name):
     assert "MapInArrow" in plan and "word_f1" not in plan
 
 
-@pytest.mark.parametrize("name", ["over_extraction"])
+@pytest.mark.parametrize("name", ["over_extraction", "coverage_reasons"])
 def test_texts_of_counted_values_stay_in_python(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     made = next(x for x in plan.splitlines() if "MapInArrow" in x)
