@@ -93,9 +93,11 @@ def heat_map(cells: DataFrame, experiments: list[str]) -> DataFrame:
 
 def compare(cells: DataFrame, a: str, b: str) -> DataFrame:
     """Common layouts of two experiments, the largest difference first."""
-    s = layout_summary(cells)
-    x, y = (s.where(F.col("exp_id") == e).select("layout_id", F.col("mean").alias(n)) for e, n in ((a, "mean_a"), (b, "mean_b")))
-    return x.join(y, "layout_id").withColumn("delta", F.round(F.col("mean_b") - F.col("mean_a"), 4)).orderBy(F.desc_nulls_last(F.abs("delta")), "layout_id")
+    of = lambda e: F.col("exp_id") == e
+    # both sides from one pass: a join of the two would run the cells twice
+    sides = layout_summary(cells.where(of(a) | of(b))).groupBy("layout_id").agg(F.max(F.when(of(a), F.col("mean"))).alias("mean_a"), F.max(F.when(of(b), F.col("mean"))).alias("mean_b"), F.max(of(a)).alias("has_a"), F.max(of(b)).alias("has_b"))
+    both = sides.where("has_a and has_b and layout_id is not null").drop("has_a", "has_b")
+    return both.withColumn("delta", F.round(F.col("mean_b") - F.col("mean_a"), 4)).orderBy(F.desc_nulls_last(F.abs("delta")), "layout_id")
 
 
 def pairs_of(listed: Column, who: str) -> Column:

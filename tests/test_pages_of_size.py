@@ -109,3 +109,16 @@ def test_counts_stand_for_values(spark):
     for f in (summaries.coverage_reasons, summaries.over_extraction):
         assert sorted(map(tuple, f(values, rules).collect())) == sorted(map(tuple, f(counts, rules).collect()))
     assert sorted(map(tuple, summaries.coverage_reasons(counts, rules).collect())) == [("l", "ad", "no_page", 1), ("l", "ad", "rule_found_nothing", 1), ("l", "ad", "scored", 1), ("l", "title", "no_rule", 1)]
+
+
+def test_comparison_reads_pages_once(spark, sf):
+    assert QUERIES["compare_two"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_comparison_keeps_common_layouts(spark):
+    from fieldloom.operators import summaries
+
+    rows = [("a", "l", 0.5), ("b", "l", 0.75), ("a", "only a", 1.0), ("b", "only b", 1.0), ("a", "no mean", None), ("b", "no mean", 0.25), ("a", None, 1.0), ("b", None, 1.0), ("c", "l", 0.0)]
+    cells = spark.createDataFrame([(e, x, "p", "f", s, True) for e, x, s in rows], "exp_id string, layout_id string, page string, field string, score double, is_sample boolean")
+    assert [tuple(r) for r in summaries.compare(cells, "a", "b").select("layout_id", "mean_a", "mean_b", "delta").collect()] == [("l", 0.5, 0.75, 0.25), ("no mean", None, 0.25, None)]
+    assert [tuple(r) for r in summaries.compare(cells, "a", "a").select("layout_id", "delta").collect()] == [("l", 0.0), ("only a", 0.0), ("no mean", None)]
