@@ -1,5 +1,7 @@
 """What the driver's larger tables showed: cut references, addresses that several pages have."""
 
+import re
+
 import pandas as pd
 import pytest
 import twins
@@ -99,6 +101,19 @@ def test_texts_of_counted_values_stay_in_python(spark, sf, name):
     assert "n_pred#" in made and "pred#" not in made.replace("n_pred#", "") and "gt#" not in made.replace("n_gt#", "")
 
 
+#: Their Python hands on numbers alone, page by page; before, the texts of all cells of a batch went out and came back to be scored.
+SUMMARIES = ["layout_summary"]
+
+
+@pytest.mark.parametrize("name", SUMMARIES)
+def test_summaries_get_numbers_from_python(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert len(made) == 1 and "ArrowEvalPython" not in plan
+    out = set(re.findall(r"(\w+)#", made[0][made[0].rindex("[") :]))
+    assert out == {"layout_id", "page", "exp_id", "field", "metric", "n_gt", "n_pred", "raw"}
+
+
 def test_counts_stand_for_values(spark):
     from fieldloom.operators import summaries
 
