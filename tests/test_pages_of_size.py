@@ -102,7 +102,7 @@ def test_texts_of_counted_values_stay_in_python(spark, sf, name):
 
 
 #: Their Python hands on numbers alone, page by page; before, the texts of all cells of a batch went out and came back to be scored.
-SUMMARIES = ["layout_summary"]
+SUMMARIES = ["layout_summary", "layouts_won", "leaderboard", "reference_points", "experiment_breakdown", "experiment_summary", "match_rate"]
 
 
 @pytest.mark.parametrize("name", SUMMARIES)
