@@ -114,6 +114,12 @@ def test_summaries_get_numbers_from_python(spark, sf, name):
     assert out == {"layout_id", "page", "exp_id", "field", "metric", "n_gt", "n_pred", "raw"}
 
 
+def test_cross_check_scores_only_pairs_after_the_shuffle(spark, sf):
+    """Against the ground truth cells are scored where the page is read; before, those texts went to Python once more."""
+    plan = QUERIES["cross_check_fields"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == plan.count("MapInArrow") == 1 and plan.index("ArrowEvalPython") < plan.index("collect_list") < plan.index("MapInArrow")
+
+
 def test_counts_stand_for_values(spark):
     from fieldloom.operators import summaries
 
