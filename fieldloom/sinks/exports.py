@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..extract import over_rules
+
 
 def layout_documents(rows: DataFrame, scope: DataFrame) -> DataFrame:
     """A row per layout: maps of selectors and metrics by field, and how many pages it has; rows as groundtruth.export_rows gives them. layout_pages has the pages, a row each."""
@@ -22,9 +24,17 @@ def layout_pages(scope: DataFrame) -> DataFrame:
     return scope.select("domain", "layout_id", "page").orderBy("domain", "layout_id", "page")
 
 
-def page_documents(values: DataFrame) -> DataFrame:
-    """A row per page: the values of its fields as a map; values: domain, layout_id, page, field, vals."""
-    return values.groupBy("domain", "layout_id", "page").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "vals")))).alias("fields"))
+def page_documents(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """A row per page of a layout with rules: the values of its fields as a map, made where the page is read, so that values don't shuffle and pages of one name have a row each.
+
+    pages: domain, layout_id, page, html. rules: layout_id, field, kind, merge, rule (CSS).
+    """
+
+    def kernel(page, mine):
+        yield (sorted((field, page.values(rule, "css", kind, bool(merge))) for field, kind, merge, rule in mine),)
+
+    own = rules.select("layout_id", "field", "kind", "merge", "rule").dropDuplicates(["layout_id", "field"])
+    return over_rules(pages, own, ["layout_id"], ["domain", "layout_id", "page"], kernel, "fields map<string, array<string>>")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -46,6 +46,20 @@ def test_pages_of_one_address(spark, tmp_path):
     assert_twins(spark, tables(spark, tmp_path, urls, [LONG, "short", LONG + "<p>more</p>", LONG + "<p>three</p>", "<p>five</p>" * 300]), "fetched_pages")
 
 
+def test_exported_pages_of_one_name(spark, tmp_path):
+    """Names have six digits, so those of larger numbers are cut; before, the values of such pages met in one map."""
+    page = lambda x: f'<html><head><title>{x}</title></head><body><nav><ul><li><a href="/{x}">a</a></li></ul></nav><article><h1>{x}</h1></article></body></html>'
+    rows = [(1234561, "https://a.example/en/1", page("x")), (1234567, "https://a.example/en/2", page("y")), (123456, "https://b.example/de/3", page("z"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(f"{tmp_path}/plain.parquet")
+    assert_twins(spark, tmp_path, "export_page_values")
+
+
+def test_exported_values_do_not_shuffle(spark, sf):
+    plan = QUERIES["export_page_values"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan and "Join" not in plan
+
+
 def longest_common(p, q):
     row = [0] * (len(q) + 1)
     for w in p:
